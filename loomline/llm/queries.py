@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm.html_extract import op9_html_extraction
+from loomline.llm.quality import op7_quality_rules
 from loomline.llm.simhash import op1_simhash_near_dedup
+from loomline.llm.substring import op2_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op7_quality_rules": op7_quality_rules,
+    "op9_html_extraction": op9_html_extraction,
 }
 
 ORACLES: dict[str, str] = {}
