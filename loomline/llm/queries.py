@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomline.llm.bpe import op8_bpe_round_trip
 from loomline.llm.html_extract import op9_html_extraction
+from loomline.llm.packing import op4_packing
 from loomline.llm.quality import op7_quality_rules
 from loomline.llm.simhash import op1_simhash_near_dedup
 from loomline.llm.substring import op2_substring_dedup
@@ -14,7 +16,9 @@ from loomline.llm.substring import op2_substring_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_html_extraction": op9_html_extraction,
 }
 
