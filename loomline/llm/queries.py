@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.bpe import op8_bpe_round_trip
+from loomline.llm.brown import op10_brown_scores
 from loomline.llm.html_extract import op9_html_extraction
 from loomline.llm.packing import op4_packing
 from loomline.llm.quality import op7_quality_rules
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_html_extraction": op9_html_extraction,
+    "op10_brown_scores": op10_brown_scores,
 }
 
 ORACLES: dict[str, str] = {}
