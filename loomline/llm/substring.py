@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.common import read, slices, text_bytes
+from loomline.llm.common import cut, read, slices, text_bytes
 
 WINDOW = 20
 #: Words of a phrase. Every window holds WINDOW - PHRASE + 1 phrases, and its least hashed one stands for it.
-PHRASE = 8
+PHRASE = 6
 #: Bytes of text whose recurring phrases make one automaton.
 SHARD_BYTES = 1_000_000
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
@@ -125,7 +125,9 @@ def _occurrences(batch: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBa
         raw = [w.encode() for w in words]
         one = gram_hashes(word_hashes(raw, 0), window, 0)[starts].view(np.int64)
         two = (gram_hashes(word_hashes(raw, 1), window, 1)[starts] >> np.uint64(33)).astype(np.int64)
-        own = np.unique(np.stack([one, two]), axis=1, return_index=True)[1]
+        own, back = np.unique(one, return_index=True, return_inverse=True)[1:]
+        if (two != two[own][back]).any():
+            own = np.unique(np.stack([one, two]), axis=1, return_index=True)[1]
         # Runs are keyed by where they lie, so that no two are merged.
         for column, x in zip(out, (np.concatenate([np.zeros(len(own), np.int64), np.ones(len(lo), np.int64)]), np.concatenate([one[own], np.zeros(len(lo), np.int64)]), np.concatenate([two[own], lo]), np.full(len(own) + len(lo), i), np.concatenate([starts[own], lo]), np.concatenate([np.zeros(len(own), np.int64), hi])), strict=True):
             column.append(x)
@@ -146,7 +148,7 @@ def _kept(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
             covers = np.zeros(len(words), dtype=bool)
             for x in spans:
                 if x["stop"]:
-                    covers[x["start"] : x["stop"]] = True
+                    covers[x["start"] : min(x["stop"], max(0, len(words) - window + 1))] = True
             covers[[x["start"] for x in spans if not x["stop"]]] = False
             delta = np.zeros(len(words) + window + 1, dtype=np.int64)
             starts = np.flatnonzero(covers)
@@ -180,6 +182,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     Returns doc_id, text, n_words, n_removed, kept_sha256, kept_text (the text
     as it is if nothing goes, else the kept words joined by a space).
 
+    0. Of rows with equal texts, only the first takes part; in the others all windows start earlier.
     1. Each window is stood for by its least hashed phrase, so equal windows
        share one; phrases found at two places in all documents recur.
     2. For each shard of documents, the phrases that recur and lie in it are
@@ -193,20 +196,30 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     results. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Rows that repeat an id are told apart by a second key; else it is a constant, which costs no space.
+    # Rows that repeat an id are told apart by a second key.
     ties = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), (F.coalesce(F.xxhash64("text"), F.lit(0)) if ties else F.lit(0)).cast("long").alias("tie"), "doc_id", "text")
-    spots = keyed.select("doc", "tie", "text").mapInArrow(_over(_phrases, SHARD_BYTES, window, phrase), "phrase long, doc long, tie long, start int, n int")
+    keys = ["doc", "tie"] if ties else ["doc"]
+    no_tie, none = F.lit(0).cast("long").alias("tie"), F.lit(-(2**63))
+    keyed = docs.select(F.coalesce("doc_id", none).alias("doc"), *([F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie")] if ties else []), "text")
+    full = keyed if ties else keyed.select("doc", no_tie, "text")
+    # Of equal texts only the first goes further: the others' windows all start earlier there.
+    equal = keyed.select(*keys, F.xxhash64("text", F.lit(1)).alias("h"), F.xxhash64(F.lit(2), "text").alias("g"))
+    lead = equal.groupBy("h", "g").agg(F.min(F.struct(*keys)).alias("lead") if ties else F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    copies = equal.join(lead, ["h", "g"]).where((F.struct(*keys) if ties else F.col("doc")) != F.col("lead")).select(*keys).distinct()
+    copies = cut(copies)
+    spots = full.mapInArrow(_over(_phrases, SHARD_BYTES, window, phrase), "phrase long, doc long, tie long, start int, n int")
     recurs = spots.groupBy("phrase").agg(F.sum("n").alias("times")).where("times > 1").select("phrase")
-    starts = spots.select("phrase", "doc", "tie", "start").join(recurs, "phrase").groupBy("doc", "tie").agg(F.collect_list("start").alias("starts"))
-    found = keyed.join(starts, ["doc", "tie"]).select("doc", "tie", "text", "starts").mapInArrow(_over(_occurrences, SHARD_BYTES, window, phrase), "kind int, one long, two int, doc long, tie long, start int, stop int")
+    starts = spots.select("phrase", *keys, "start").join(recurs, "phrase").groupBy(*keys).agg(F.collect_list("start").alias("starts")).join(copies, keys, "left_anti")
+    near = keyed.join(starts, keys).select("doc", F.col("tie") if ties else no_tie, "text", "starts")
+    found = near.mapInArrow(_over(_occurrences, SHARD_BYTES, window, phrase), "kind int, one long, two int, doc long, tie long, start int, stop int")
     if ties:
-        first = F.min(F.struct("doc", "tie", "start", "stop"))
-        lead = found.groupBy("kind", "one", "two", F.expr("if(kind = 1, doc, 0)").alias("run_doc"), F.expr("if(kind = 1, tie, 0)").alias("run_tie")).agg(first.alias("f")).select("kind", "f.*")
+        head = found.groupBy("kind", "one", "two", F.expr("if(kind = 1, doc, 0)").alias("run_doc"), F.expr("if(kind = 1, tie, 0)").alias("run_tie")).agg(F.min(F.struct("doc", "tie", "start", "stop")).alias("f")).select("f.*")
     else:
-        lead = found.groupBy("kind", "one", "two", F.expr("if(kind = 1, doc, 0)").alias("run_doc")).agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"), F.min_by("stop", "doc").alias("stop")).withColumn("tie", F.lit(0).cast("long"))
-    spans = lead.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    out = keyed.join(spans, ["doc", "tie"], "left").select("doc_id", "text", "spans")
+        head = found.groupBy("kind", "one", "two", F.expr("if(kind = 1, doc, 0)").alias("run_doc")).agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"), F.min_by("stop", "doc").alias("stop"))
+    # A copy is covered from its first window to its last.
+    head = head.select(*keys, "start", "stop").union(copies.select(*keys, F.lit(0), F.lit(2**31 - 1)))
+    spans = head.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    out = keyed.join(spans, keys, "left").select(F.nullif("doc", none).alias("doc_id"), "text", "spans")
     return out.mapInArrow(_over(_kept, 8 * SHARD_BYTES, window), "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
