@@ -13,10 +13,12 @@ from loomline.llm.packing import op4_packing
 from loomline.llm.quality import op7_quality_rules
 from loomline.llm.simhash import op1_simhash_near_dedup
 from loomline.llm.substring import op2_substring_dedup
+from loomline.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_bpe_round_trip": op8_bpe_round_trip,
