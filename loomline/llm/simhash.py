@@ -7,7 +7,7 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.llm.common import cut, map_texts, read, text_bytes
@@ -121,5 +121,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The rows of `docs` with the least doc_id of their component: one of each, whole.
+
+    Of rows that share that doc_id the one with the least hash of its text stays.
+    """
+    kept = near_duplicates(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    kept = cut(kept.withColumnRenamed("doc_id", "kept_id"))
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    if kept.where("count > 1").isEmpty():
+        return out
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return out.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")

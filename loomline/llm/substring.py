@@ -176,10 +176,10 @@ def _over(step, limit: int, *args):
     return run
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove words in windows of `window` words that start earlier as well.
 
-    Returns doc_id, text, n_words, n_removed, kept_sha256, kept_text (the text
+    Returns doc_id, the columns in `carry`, text, n_words, n_removed, kept_sha256, kept_text (the text
     as it is if nothing goes, else the kept words joined by a space).
 
     0. Of rows with equal texts, only the first takes part; in the others all windows start earlier.
@@ -193,15 +193,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
 
     A null text has no words. A null doc_id counts as the smallest. Rows that
     share a doc_id are ordered by the hash of their text; equal rows get equal
-    results. Extra columns are ignored.
+    results. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0), *carry).alias("carry"))
     # Rows that repeat an id are told apart by a second key.
     ties = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     keys = ["doc", "tie"] if ties else ["doc"]
     no_tie, none = F.lit(0).cast("long").alias("tie"), F.lit(-(2**63))
-    keyed = docs.select(F.coalesce("doc_id", none).alias("doc"), *([F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie")] if ties else []), "text")
-    full = keyed if ties else keyed.select("doc", no_tie, "text")
+    keyed = docs.select(F.coalesce("doc_id", none).alias("doc"), *([F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie")] if ties else []), "text", *(["carry"] if carry else []))
+    full = keyed.select("doc", "tie", "text") if ties else keyed.select("doc", no_tie, "text")
     # Of equal texts only the first goes further: the others' windows all start earlier there.
     equal = keyed.select(*keys, F.xxhash64("text", F.lit(1)).alias("h"), F.xxhash64(F.lit(2), "text").alias("g"))
     lead = equal.groupBy("h", "g").agg(F.min(F.struct(*keys)).alias("lead") if ties else F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
@@ -219,8 +219,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     # A copy is covered from its first window to its last.
     head = head.select(*keys, "start", "stop").union(copies.select(*keys, F.lit(0), F.lit(2**31 - 1)))
     spans = head.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    out = keyed.join(spans, keys, "left").select(F.nullif("doc", none).alias("doc_id"), "text", "spans")
-    return out.mapInArrow(_over(_kept, 8 * SHARD_BYTES, window), "doc_id long, text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = keyed.join(spans, keys, "left").select(F.nullif("doc", none).alias("doc_id"), *(F.col(f"carry.{c}").alias(c) for c in carry), "text", "spans")
+    kinds = "".join(f"`{c}` {out.schema[c].dataType.simpleString()}, " for c in carry)
+    return out.mapInArrow(_over(_kept, 8 * SHARD_BYTES, window), f"doc_id long, {kinds}text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
