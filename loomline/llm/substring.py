@@ -94,8 +94,10 @@ def _phrases(batch: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBatch:
 def _occurrences(batch: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBatch:
     """Compile the shard's recurring phrases and stream its documents through them.
 
-    Rows of kind 0 are windows with a recurring phrase, each at its first
-    start in the document; rows of kind 1 are runs of starts of such windows.
+    Rows with a tag from 0 on are windows with a recurring phrase, each at its
+    first start in the document, keyed by 95 bits of hash. Rows with a tag below
+    are runs of starts of such windows, keyed by where they lie, so that no two
+    are merged. A place is a start times 2 ** 32 plus a run's end, 0 for a window.
     """
     docs = [x.decode("utf-8").split(" ") if x else [] for x in (b" ".join(t.split()) for t in text_bytes(batch))]
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
@@ -103,7 +105,8 @@ def _occurrences(batch: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBa
         for s in starts:
             automaton.add_word(f" {' '.join(words[s : s + phrase])} ")
     automaton.make_automaton()
-    out: list[list[np.ndarray]] = [[] for _ in range(6)]
+    out: list[list[np.ndarray]] = [[] for _ in range(4)]
+    ids = [x or 0 for x in batch.column("doc").to_pylist()]
     for i, words in enumerate(docs):
         n = len(words) - window + 1
         if n < 1:
@@ -128,14 +131,14 @@ def _occurrences(batch: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBa
         own, back = np.unique(one, return_index=True, return_inverse=True)[1:]
         if (two != two[own][back]).any():
             own = np.unique(np.stack([one, two]), axis=1, return_index=True)[1]
-        # Runs are keyed by where they lie, so that no two are merged.
-        for column, x in zip(out, (np.concatenate([np.zeros(len(own), np.int64), np.ones(len(lo), np.int64)]), np.concatenate([one[own], np.zeros(len(lo), np.int64)]), np.concatenate([two[own], lo]), np.full(len(own) + len(lo), i), np.concatenate([starts[own], lo]), np.concatenate([np.zeros(len(own), np.int64), hi])), strict=True):
+        runs = np.full(len(lo), ids[i], np.int64)
+        for column, x in zip(out, (np.concatenate([one[own], runs]), np.concatenate([two[own], -1 - lo]), np.full(len(own) + len(lo), i), np.concatenate([starts[own] << 32, lo << 32 | hi])), strict=True):
             column.append(x)
-    kind, one, two, owner, start, stop = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
+    one, tag, owner, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
     rows = pa.array(owner, pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int32()), batch.column("doc").take(rows), batch.column("tie").take(rows), pa.array(start, pa.int32()), pa.array(stop, pa.int32())],
-        ["kind", "one", "two", "doc", "tie", "start", "stop"],
+        [pa.array(one, pa.int64()), pa.array(tag, pa.int32()), batch.column("doc").take(rows), batch.column("tie").take(rows), pa.array(place, pa.int64())],
+        ["one", "tag", "doc", "tie", "place"],
     )
 
 
@@ -146,10 +149,11 @@ def _kept(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
         left = words
         if spans:
             covers = np.zeros(len(words), dtype=bool)
-            for x in spans:
-                if x["stop"]:
-                    covers[x["start"] : min(x["stop"], max(0, len(words) - window + 1))] = True
-            covers[[x["start"] for x in spans if not x["stop"]]] = False
+            at = np.array(spans, dtype=np.int64)
+            starts, stops = at >> 32, at & 0xFFFFFFFF
+            for start, stop in zip(starts[stops > 0].tolist(), stops[stops > 0].tolist(), strict=True):
+                covers[start : min(stop, max(0, len(words) - window + 1))] = True
+            covers[starts[stops == 0]] = False
             delta = np.zeros(len(words) + window + 1, dtype=np.int64)
             starts = np.flatnonzero(covers)
             np.add.at(delta, starts, 1)
@@ -211,14 +215,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     recurs = spots.groupBy("phrase").agg(F.sum("n").alias("times")).where("times > 1").select("phrase")
     starts = spots.select("phrase", *keys, "start").join(recurs, "phrase").groupBy(*keys).agg(F.collect_list("start").alias("starts")).join(copies, keys, "left_anti")
     near = keyed.join(starts, keys).select("doc", F.col("tie") if ties else no_tie, "text", "starts")
-    found = near.mapInArrow(_over(_occurrences, SHARD_BYTES, window, phrase), "kind int, one long, two int, doc long, tie long, start int, stop int")
+    found = near.mapInArrow(_over(_occurrences, SHARD_BYTES, window, phrase), "one long, tag int, doc long, tie long, place long")
     if ties:
-        head = found.groupBy("kind", "one", "two", F.expr("if(kind = 1, doc, 0)").alias("run_doc"), F.expr("if(kind = 1, tie, 0)").alias("run_tie")).agg(F.min(F.struct("doc", "tie", "start", "stop")).alias("f")).select("f.*")
+        run = [F.expr(f"if(tag < 0, {c}, 0)").alias(f"run_{c}") for c in keys]
+        head = found.groupBy("one", "tag", *run).agg(F.min(F.struct("doc", "tie", "place")).alias("f")).select("f.*")
     else:
-        head = found.groupBy("kind", "one", "two", F.expr("if(kind = 1, doc, 0)").alias("run_doc")).agg(F.min("doc").alias("doc"), F.min_by("start", "doc").alias("start"), F.min_by("stop", "doc").alias("stop"))
+        head = found.groupBy("one", "tag").agg(F.min("doc").alias("doc"), F.min_by("place", "doc").alias("place"))
     # A copy is covered from its first window to its last.
-    head = head.select(*keys, "start", "stop").union(copies.select(*keys, F.lit(0), F.lit(2**31 - 1)))
-    spans = head.groupBy(*keys).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    head = head.select(*keys, "place").union(copies.select(*keys, F.lit(2**31 - 1).cast("long")))
+    spans = head.groupBy(*keys).agg(F.collect_list("place").alias("spans"))
     out = keyed.join(spans, keys, "left").select(F.nullif("doc", none).alias("doc_id"), *(F.col(f"carry.{c}").alias(c) for c in carry), "text", "spans")
     kinds = "".join(f"`{c}` {out.schema[c].dataType.simpleString()}, " for c in carry)
     return out.mapInArrow(_over(_kept, 8 * SHARD_BYTES, window), f"doc_id long, {kinds}text string, n_words long, n_removed long, kept_sha256 string, kept_text string")
