@@ -294,8 +294,9 @@ def tag(docs: DataFrame, tagger: Tagger, keys: tuple[str, ...] = ("doc_id",), ca
     """`keys`, evidence, score and spans of every row of `docs`.
 
     spans: character offsets (from, to) of neighbouring words that are likelier
-    toxic than not, with their highest probability. evidence: log odds that at
-    least one word with features is toxic. A null text counts as empty; texts
+    toxic than not, with their highest probability. evidence: the log odds of the
+    likeliest toxic word with features; a sum over words would grow with a clean
+    text's length. A null text counts as empty; texts
     without words with features share the lowest score. Repeated rows are each
     scored; an empty table gives no rows; other columns are ignored.
     """
@@ -322,8 +323,9 @@ def tag(docs: DataFrame, tagger: Tagger, keys: tuple[str, ...] = ("doc_id",), ca
             owner = np.searchsorted(np.cumsum(lengths), at, side="right")
             place = at - firsts[owner]
             p = marginals(tagger, owner, place, weight[at], lengths)
-            total = np.bincount(owner, -np.log1p(-np.minimum(p, 1 - 1e-12)), len(rows))
-            evidence = np.clip(np.log(np.expm1(np.clip(total, 1e-9, 40))), _FEWEST, _MOST)
+            evidence = np.full(len(rows), _FEWEST)
+            with np.errstate(divide="ignore"):
+                np.maximum.at(evidence, owner, np.minimum(np.log(p) - np.log1p(-p), _MOST))
             spans: list[list[dict]] = [[] for _ in rows]
             hits = np.flatnonzero(p >= 0.5).tolist()
             before = (-1, -1)
