@@ -209,8 +209,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     # Of equal texts only the first goes further: the others' windows all start earlier there.
     equal = keyed.select(*keys, F.xxhash64("text", F.lit(1)).alias("h"), F.xxhash64(F.lit(2), "text").alias("g"))
     lead = equal.groupBy("h", "g").agg(F.min(F.struct(*keys)).alias("lead") if ties else F.min("doc").alias("lead"), F.count("*").alias("n")).where("n > 1")
-    copies = equal.join(lead, ["h", "g"]).where((F.struct(*keys) if ties else F.col("doc")) != F.col("lead")).select(*keys).distinct()
-    copies = cut(copies)
+    # Written first, so that the join has no aggregate beside it and a large group of copies can be split.
+    copies = equal.join(cut(lead), ["h", "g"]).where((F.struct(*keys) if ties else F.col("doc")) != F.col("lead")).select(*keys)
+    copies = cut(copies.distinct() if ties else copies)
     spots = full.mapInArrow(_over(_phrases, SHARD_BYTES, window, phrase), "phrase long, doc long, tie long, start int, n int")
     recurs = spots.groupBy("phrase").agg(F.sum("n").alias("times")).where("times > 1").select("phrase")
     starts = spots.select("phrase", *keys, "start").join(recurs, "phrase").groupBy(*keys).agg(F.collect_list("start").alias("starts")).join(copies, keys, "left_anti")

@@ -58,7 +58,7 @@ class Tagger:
         return sum(get(p, 0.0) for p in pieces(word))
 
     def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.shift + self.slope * evidence)))
+        return 1 / (1 + np.exp(-np.clip(self.shift + self.slope * evidence, -500, 500)))
 
 
 def _step(moves: np.ndarray, bias: float):
