@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +14,11 @@ def depths(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataF
 
     `edges` has src and dst, `seeds` has node. Each round joins the nodes found
     last with the edges and drops nodes known before, so cycles end. A round's rows
-    are written to the shared folder; edges are dealt out by src once. Both
-    joins may be split by AQE where one node has many edges, and distinct
-    aggregates before it shuffles.
+    are written to the shared folder. Edges are written there too, and held in
+    memory, dealt out by src once, so that a round moves its frontier only; what
+    is held on an executor that is lost is read again. Distinct aggregates before it shuffles.
     """
-    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct()).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
     frontier = cut(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     known, depth = frontier, 0
     while most is None or depth < most:
@@ -29,6 +30,7 @@ def depths(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataF
         known = known.union(frontier)
         if depth % 8 == 0:
             known = cut(known)
+    edges.unpersist()
     return known
 
 
