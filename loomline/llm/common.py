@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.operators.lineage import cut, shared_dir
+
+__all__ = ["crc_mod", "cut", "map_texts", "read", "shared_dir", "slices", "stored", "text_bytes", "texts", "tokenizer_path", "worker_threads_off"]
+
 #: Characters of a text that one Python step handles at a time.
 SLICE_CHARS = 8_000_000
 
@@ -20,23 +23,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared folder: read again by column, where cut() reads whole rows."""
     path = f"{shared_dir(df.sparkSession)}/loomline-{uuid.uuid4().hex}"
