@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.paths import dirname, matches_any, normalise
+from loomline.functions.paths import ancestors, dirname, matches_any, normalise, prefixes
 from loomline.functions.references import exports, file_keys, language, reference_keys, references
 from loomline.operators import graph, rules
 from loomline.operators.lineage import cut
@@ -114,10 +114,47 @@ def entries(files: DataFrame, options: Options = Options()) -> DataFrame:
     return every.groupBy("path").agg(F.min(F.struct("rank", "reason"))["reason"].alias("reason"))
 
 
+def aliases(files: DataFrame) -> DataFrame:
+    """(dir, prefix, target): what module names that begin with `prefix` stand for in files below `dir`.
+
+    From the paths and baseUrl (prefix empty) of TypeScript configurations, whose
+    comments and last commas are dropped outside strings, and from names of packages.
+    """
+    plain = F.regexp_replace(F.regexp_replace("content", r'(?s)("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', "$1"), r",(\s*[}\]])", "$1")
+    configs = files.where(F.col("path").rlike(r"(?:^|/)[jt]sconfig[^/]*\.json\z")).select(dirname("path").alias("dir"), plain.alias("json"))
+    configs = configs.select("dir", "json", F.get_json_object("json", "$.compilerOptions.baseUrl").alias("base"))
+    star = r"/?\*\z"
+
+    def below(*parts) -> Column:
+        return normalise(F.concat_ws("/", F.nullif("dir", F.lit("")), *parts))
+
+    paths = F.from_json(F.get_json_object("json", "$.compilerOptions.paths"), "map<string,array<string>>")
+    mapped = configs.select("dir", "base", F.explode(paths).alias("alias", "targets")).select("dir", "base", "alias", F.explode("targets").alias("to"))
+    mapped = mapped.select("dir", F.regexp_replace("alias", star, "").alias("prefix"), below("base", F.regexp_replace("to", star, "")).alias("target"))
+    based = configs.where("base is not null").select("dir", F.lit("").alias("prefix"), below("base").alias("target"))
+    packages = files.where(F.col("path").rlike(r"(?:^|/)package\.json\z")).select(dirname("path").alias("target"), F.get_json_object("content", "$.name").alias("prefix"))
+    named = packages.where("prefix is not null and target <> ''").select(F.lit("").alias("dir"), "prefix", F.explode(F.array("target", F.concat("target", F.lit("/src")))).alias("target"))
+    return mapped.union(based).union(named).where("target is not null").distinct()
+
+
+def aliased_keys(refs: DataFrame, table: DataFrame) -> DataFrame:
+    """(path, module, kind, rank, key): script references that aliases rewrite; the nearest folder's longest alias ranks first.
+
+    Folders above and prefixes are exploded, so that this is a join on equality.
+    """
+    bare = refs.where((F.col("language") == "javascript") & ~F.col("module").rlike(r"^[./]"))
+    probes = bare.select("path", "module", "kind", F.explode(ancestors("path")).alias("dir")).withColumn("prefix", F.explode(F.concat(prefixes("module", "/"), F.array(F.lit("")))))
+    hits = probes.join(table, ["dir", "prefix"])
+    rank = -(F.when(F.col("prefix") != "", 1_000_000).otherwise(0) + F.length("dir") * 500 + F.least(F.length("prefix"), F.lit(499)))
+    rest = F.regexp_replace(F.expr("substring(module, length(prefix) + 1)"), "^/", "")
+    return hits.select("path", "module", "kind", rank.cast("int").alias("rank"), F.concat(F.lit("p:"), normalise(F.concat_ws("/", "target", rest))).alias("key"))
+
+
 def edges(files: DataFrame) -> DataFrame:
     """(src, dst): references resolved to files, and hubs that link files of one Go folder, JVM package or C# namespace."""
     keys = file_keys(files.where(language("path").isNotNull()).select("path"))
-    refs = references(files).withColumn("keys", reference_keys()).select("path", "module", "kind", F.inline("keys"))
+    raw = references(files)
+    refs = raw.withColumn("keys", reference_keys()).select("path", "module", "kind", F.inline("keys")).unionByName(aliased_keys(raw, aliases(files)))
     # A folder's name doesn't stand for its files that are set aside by theirs.
     found = refs.join(keys.where(~(F.col("key").startswith("d:") & F.col("target").rlike(VETO))), "key")
     # The least rank of each reference, aggregated with its targets: no window over hot references.

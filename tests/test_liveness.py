@@ -1,6 +1,6 @@
 import pytest
 
-from loomline.plans.liveness import Options, scan, without_references
+from loomline.plans.liveness import Options, edges, scan, without_references
 from loomline.sources.tree import read_tree
 
 TREE = {
@@ -90,3 +90,24 @@ def test_lines_that_import_removed_files_go(spark, files):
     removed = spark.createDataFrame([("src/lib/b.ts",), ("src/barrel/thing.ts",)], "path string")
     got = {r.path: (r.content, r.n_dropped) for r in without_references(files.select("path", "content"), removed).collect()}
     assert got == {"src/lib/a.ts": ("export function a() { return b; }\nexport const neverUsed = 1;\n", 1), "src/barrel/index.ts": ("", 1)}
+
+
+def test_aliases(spark):
+    tree = {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", // not "a comment" in a string\n "paths": {"@/*": ["src/*"], "one": ["src/only.ts"],}, /* x */ }}',
+        "packages/ui/package.json": '{"name": "@acme/ui"}',
+        "packages/ui/tsconfig.json": '{"compilerOptions": {"paths": {"@/*": ["./local/*"]}}}',
+        "packages/ui/src/index.ts": "import '@/x';\n",
+        "packages/ui/src/button.ts": "export const b = 1;\n",
+        "packages/ui/local/x.ts": "export {};\n",
+        "src/index.ts": "import { a } from '@/lib/a';\nimport '@acme/ui';\nimport '@acme/ui/button';\nimport 'shared/thing';\nimport 'one';\nimport 'react';\n",
+        "src/lib/a.ts": "export const a = 1;\n",
+        "src/x.ts": "export {};\n",
+        "src/only.ts": "export {};\n",
+        "shared/thing.ts": "export {};\n",
+    }
+    files = spark.createDataFrame([(k, v) for k, v in tree.items()], "path string, content string")
+    assert {(r.src, r.dst) for r in edges(files).collect()} == {
+        ("packages/ui/src/index.ts", "packages/ui/local/x.ts"),
+        *(("src/index.ts", x) for x in ("src/lib/a.ts", "packages/ui/src/index.ts", "packages/ui/src/button.ts", "shared/thing.ts", "src/only.ts")),
+    }
