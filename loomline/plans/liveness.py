@@ -109,7 +109,7 @@ def entries(files: DataFrame, options: Options = Options()) -> DataFrame:
         checks.append(("dynamic", matches_any("path", options.live)))
     ranked = F.filter(F.array(*(F.when(hit, F.struct(F.lit(i).alias("rank"), F.lit(r).alias("reason"))) for i, (r, hit) in enumerate(checks))), lambda x: x.isNotNull())
     own = code.select("path", F.explode(ranked).alias("e")).select("path", "e.rank", "e.reason")
-    named = manifest_entries(files).union(page_entries(files)).withColumn("rank", F.lit(len(checks))).select("path", "rank", "reason")
+    named = manifest_entries(files).union(page_entries(files)).union(framework_entries(files)).withColumn("rank", F.lit(len(checks))).select("path", "rank", "reason")
     every = own.union(named.join(code.select("path"), "path", "left_semi")).where(~path.rlike(VETO))
     return every.groupBy("path").agg(F.min(F.struct("rank", "reason"))["reason"].alias("reason"))
 
@@ -150,8 +150,50 @@ def aliased_keys(refs: DataFrame, table: DataFrame) -> DataFrame:
     return hits.select("path", "module", "kind", rank.cast("int").alias("rank"), F.concat(F.lit("p:"), normalise(F.concat_ws("/", "target", rest))).alias("key"))
 
 
+def class_edges(files: DataFrame) -> DataFrame:
+    """Edges from C# files to those that define a type whose name they use, through a hub for each type.
+
+    A hub takes as many edges as there are uses and definitions, however many files share a name.
+    """
+    sharp = files.where(language("path") == "csharp")
+    defined = sharp.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b(?:class|interface|record|struct|enum)\s+([A-Z]\w*)"), F.lit(1)))).alias("name"))
+    used = sharp.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b[A-Z]\w*"), F.lit(0)))).alias("name"))
+    hub = F.concat(F.lit("hub:type "), "name")
+    uses = used.join(defined, ["path", "name"], "left_anti").join(defined.select("name").distinct(), "name", "left_semi")
+    return uses.select(F.col("path").alias("src"), hub.alias("dst")).union(defined.select(hub, "path"))
+
+
+#: Packages by which a framework is known, and paths it calls by itself.
+FRAMEWORKS = {
+    "nestjs": (("@nestjs/core", "@nestjs/common"), r"\.(?:controller|module|resolver|gateway|guard|interceptor|pipe)\.ts\z"),
+    "vue": (("vue",), r"(?:^|/)(?:router|plugins)/[^/]+\.[jt]s\z"),
+    "nuxt": (("nuxt", "nuxt3"), r"(?:^|/)(?:components|composables|layouts|middleware|plugins|server)/"),
+    "pinia": (("pinia", "vuex"), r"(?:^|/)stores?/[^/]+\.[jt]s\z"),
+    "oclif": (("@oclif/core", "@oclif/command"), r"(?:^|/)commands/.*\.[jt]s\z"),
+    "eslint": (("eslint",), r"(?:^|/)\.?eslint[^/]*\.[cm]?js\z"),
+}
+
+
+def frameworks(files: DataFrame) -> DataFrame:
+    """(framework): those that a package manifest depends on."""
+    manifests = files.where(F.col("path").rlike(r"(?:^|/)package\.json\z"))
+    fields = F.array(*(F.map_keys(F.from_json(F.get_json_object("content", f"$.{f}"), "map<string,string>")) for f in ("dependencies", "devDependencies", "peerDependencies")))
+    names = manifests.select(F.explode(F.flatten(F.filter(fields, lambda x: x.isNotNull()))).alias("package")).distinct()
+    label = F.lit(None).cast("string")
+    for name, (packages, _) in FRAMEWORKS.items():
+        label = F.when(F.col("package").isin(*packages), name).otherwise(label)
+    return names.select(label.alias("framework")).where("framework is not null").distinct()
+
+
+def framework_entries(files: DataFrame) -> DataFrame:
+    """(path, reason): files that a framework in use calls by their path; at most one row per framework is broadcast."""
+    hits = F.filter(F.array(*(F.when(F.col("path").rlike(p), F.lit(name)) for name, (_, p) in FRAMEWORKS.items())), lambda x: x.isNotNull())
+    rows = files.where(language("path").isNotNull()).select("path", F.explode(hits).alias("framework"))
+    return rows.join(F.broadcast(frameworks(files)), "framework").select("path", F.concat(F.lit("framework "), "framework").alias("reason"))
+
+
 def edges(files: DataFrame) -> DataFrame:
-    """(src, dst): references resolved to files, and hubs that link files of one Go folder, JVM package or C# namespace."""
+    """(src, dst): references resolved to files, and hubs that link files of one Go folder, JVM package or C# namespace, and users of C# types."""
     keys = file_keys(files.where(language("path").isNotNull()).select("path"))
     raw = references(files)
     refs = raw.withColumn("keys", reference_keys()).select("path", "module", "kind", F.inline("keys")).unionByName(aliased_keys(raw, aliases(files)))
@@ -166,7 +208,7 @@ def edges(files: DataFrame) -> DataFrame:
     unit = unit.when(lang == "csharp", F.concat(F.lit("cs "), F.regexp_extract("content", r"(?m)^\s*namespace\s+([\w.]+)", 1)))
     members = files.withColumn("language", language("path")).select("path", unit.alias("unit")).where("unit is not null and unit not in ('jvm ', 'cs ')")
     hubs = graph.hub_edges(members, "path", "unit", into=members.where(~F.col("path").rlike(VETO)))
-    return direct.union(hubs).where("src <> dst").distinct()
+    return direct.union(hubs).union(class_edges(files)).where("src <> dst").distinct()
 
 
 def is_generated(path: Column, content: Column) -> Column:

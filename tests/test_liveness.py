@@ -111,3 +111,21 @@ def test_aliases(spark):
         ("packages/ui/src/index.ts", "packages/ui/local/x.ts"),
         *(("src/index.ts", x) for x in ("src/lib/a.ts", "packages/ui/src/index.ts", "packages/ui/src/button.ts", "shared/thing.ts", "src/only.ts")),
     }
+
+
+def test_types_and_frameworks(spark):
+    tree = {
+        "package.json": '{"dependencies": {"@nestjs/core": "10"}, "devDependencies": {"x": "1"}}',
+        "api/user.controller.ts": "import './user';\n",
+        "api/user.ts": "export {};\n",
+        "api/store/x.ts": "export {};\n",
+        "App/Program.cs": "namespace App;\nvar w = new Worker();\n",
+        "Lib/Worker.cs": "namespace Lib.A;\npublic class Worker : Base {}\n",
+        "Lib/Base.cs": "namespace Lib.B;\npublic class Base {}\n",
+        "Lib/Near.cs": "namespace Lib.B;\nclass Near {}\n",
+        "Lib/Unused.cs": "namespace Lib.C;\nclass Unused { Worker w; }\n",
+    }
+    files = spark.createDataFrame([(k, v, len(v)) for k, v in tree.items()], "path string, content string, size long")
+    report = scan(files)
+    assert {r.path for r in report.unreachable.collect()} == {"Lib/Unused.cs", "api/store/x.ts"}
+    assert {r.path: r.reason for r in report.entries.collect()} == {"api/user.controller.ts": "framework nestjs", "App/Program.cs": "main"}
