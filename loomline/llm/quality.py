@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import read, slices, text_bytes
+from loomline.llm.common import read, slices, stored, text_bytes
 
 SYMBOLS = b"#*$%&|<>"
 #: Character classes of UTF-8 octets; octets within a character count as none.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other", "beyond_ascii")
 #: Words of a text below which its histograms are too small to judge.
 LEAST_WORDS = 40
-#: Common words of a language's reference: the most frequent of at most 4 octets.
-COMMON, COMMON_OCTETS = 40, 4
-#: Share of all words that a language needs to be a reference, so at most 200 are.
-LEAST_SHARE = 0.005
-#: Largest accepted distances (base 2, 0 to 1) from the nearest reference; a text of n words may be WORD_NOISE / sqrt(n) farther in words.
+#: Common words of a language's reference: its most frequent; words of more octets are known by a digest.
+COMMON, WORD_OCTETS = 40, 32
+#: Words of a language below which its histograms are no reference, and its texts are judged by the base rules only.
+LEAST_REFERENCE = 5_000
+#: Distinct words that a task counts before it hands them on.
+TALLIED = 200_000
+#: Largest accepted distances (base 2, 0 to 1) from the reference; a text of n words may be WORD_NOISE / sqrt(n) farther in words.
 MOST_CHAR, MOST_WORD, WORD_NOISE = 0.28, 0.2, 1.6
 SLICE_BYTES = 4_000_000
 
@@ -75,48 +79,72 @@ def repeat_words(ids: np.ndarray, window: int = 8) -> int:
     return int((np.cumsum(delta) > 0).sum())
 
 
+def _low(text: bytes) -> bytes:
+    return text.lower() if text.isascii() else text.decode("utf-8", "replace").lower().encode()
+
+
+def _key(word: bytes) -> str:
+    """A lower-case word as it is counted, of bounded size."""
+    return word.decode() if len(word) <= WORD_OCTETS else f"{hashlib.blake2b(word, digest_size=16).hexdigest()}~"
+
+
+def _is_word(word: bytes) -> bool:
+    """Short ones of ASCII letters."""
+    return len(word) <= 4 and word.isalpha()
+
+
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language: counts of character classes (as #name) and of short words."""
+    """Per language: counts of character classes and of all words (as their name after a space), and of each word."""
+
+    def rows() -> pa.RecordBatch:
+        out = [(k, f" {c}", int(x)) for k, (chars, _) in found.items() for c, x in zip(CLASSES, chars, strict=True)]
+        out += [(k, " words", sum(tally.values())) for k, (_, tally) in found.items()]
+        out += [(k, _key(w), x) for k, (_, tally) in found.items() for w, x in tally.items() if _is_word(w)]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "what", "n"])
+
+    found: dict[str, tuple[np.ndarray, Counter]] = {}
     for batch in slices(batches, "text", SLICE_BYTES):
-        found: dict[str, Counter] = {}
         for text, lang in zip(text_bytes(batch), batch.column("__lang").to_pylist(), strict=True):
-            tally = found.setdefault(lang or "", Counter())
-            chars = np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _CLASS
-            tally.update(dict(zip((f"#{c}" for c in CLASSES), chars.tolist(), strict=True)))
-            words = text.lower().split()
-            tally["#words"] += len(words)
-            tally.update(w.decode() for w in words if len(w) <= COMMON_OCTETS and w.isalpha())
-        rows = [(k, t, n) for k, tally in found.items() for t, n in tally.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "what", "n"])
-
+            chars, tally = found.setdefault(lang, (np.zeros(len(CLASSES), dtype=np.int64), Counter()))
+            chars += np.bincount(np.frombuffer(text, np.uint8), minlength=256) @ _CLASS
+            tally.update(_low(text).split())
+        if sum(len(tally) for _, tally in found.values()) > TALLIED:
+            yield rows()
+            found = {}
+    if found:
+        yield rows()
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """(__lang, __ref) for each language of `docs` (text, __lang) with LEAST_REFERENCE words; see `parsed`. Counts cover all rows."""
+    counts = docs.select("text", "__lang").mapInArrow(_tallies, "lang string, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n"))
+    # Spark takes the first of each language before rows are brought together.
+    order = Window.partitionBy("lang").orderBy(F.col("what").startswith(" ").desc(), F.desc("n"), "what")
+    first = counts.withColumn("at", F.row_number().over(order)).where(F.col("at") <= COMMON + len(CLASSES) + 1)
+    rows = first.groupBy("lang").agg(F.max(F.expr("if(what = ' words', n, 0)")).alias("n"), F.to_json(F.sort_array(F.collect_list(F.struct("at", "what", "n")))).alias("__ref"))
+    return rows.where(F.col("n") >= LEAST_REFERENCE).select(F.col("lang").alias("__lang"), "__ref")
 
-def references(docs: DataFrame) -> list[tuple[np.ndarray, dict[bytes, int], np.ndarray]]:
-    """For each language (`docs` has text and __lang): class histogram, places of its common words, their histogram (last: all other words).
 
-    Counts cover all rows; what reaches the driver is bounded by the number of
-    classes and common words of at most 1 / LEAST_SHARE languages.
-    """
-    counts = docs.select("text", "__lang").mapInArrow(_tallies, "lang string, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n"))
-    heads = counts.where("what like '#%'").groupBy("lang").pivot("what", [*(f"#{c}" for c in CLASSES), "#words"]).agg(F.sum("n"))
-    ranked = counts.where("what not like '#%'").groupBy("what").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by")).orderBy(F.desc("n"), "what").limit(COMMON * 25)
-    rows = heads.collect()
-    words: dict[str, list[tuple[int, str]]] = {}
-    for r in ranked.collect():
-        for x in r.by:
-            words.setdefault(x.lang, []).append((-x.n, r.what))
-    total = sum(r["#words"] or 0 for r in rows)
-    out = []
-    for r in sorted(rows, key=lambda r: r.lang):
-        if total and (r["#words"] or 0) >= LEAST_SHARE * total:
-            top = sorted(words.get(r.lang, []))[:COMMON]
-            out.append((np.array([r[f"#{c}"] or 0 for c in CLASSES], float), {w.encode(): i for i, (_, w) in enumerate(top)}, np.array([-n for n, _ in top] + [r["#words"] + sum(n for n, _ in top)], float)))
-    return out
+def parsed(ref: str) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
+    """Class histogram, places of the common words, their histogram (last: all other words)."""
+    counts = {x["what"]: x["n"] for x in json.loads(ref)}
+    top = {w: n for w, n in counts.items() if not w.startswith(" ")}
+    return np.array([counts[f" {c}"] for c in CLASSES], float), {w: i for i, w in enumerate(top)}, np.array([*top.values(), counts[" words"] - sum(top.values())], float)
 
 
-def _judge(batches: Iterator[pa.RecordBatch], refs, carry_text: bool) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], unnamed, carry_text: bool) -> Iterator[pa.RecordBatch]:
+    known: dict[str, list] = {}
     for batch in slices(batches, "text", SLICE_BYTES):
         rows = []
-        for text in text_bytes(batch):
+        if len(known) > 1000:
+            known.clear()
+        for text, lang, ref in zip(text_bytes(batch), batch.column("__lang").to_pylist(), batch.column("__ref").to_pylist(), strict=True):
+            if ref is None:
+                refs = []
+            elif lang == "":
+                refs = unnamed.value
+            else:
+                refs = known.get(ref) or known.setdefault(ref, [parsed(ref)])
             octets = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
             chars = octets @ _CLASS
             words = text.split()
@@ -128,21 +156,24 @@ def _judge(batches: Iterator[pa.RecordBatch], refs, carry_text: bool) -> Iterato
             failed = n < 20 or 100 * repeats > 30 * n
             char_far = word_far = 0.0
             if not failed and n >= LEAST_WORDS and refs:
-                times: dict[bytes, int] = {}
+                times: dict[str, int] = {}
                 for w, k in zip(seen, np.bincount(ids).tolist(), strict=True):
-                    low = w.lower()
+                    low = _key(_low(w))
                     times[low] = times.get(low, 0) + k
                 char_far = min(jensen_shannon(chars, c) for c, _, _ in refs)
-                word_far = 1.0
+                # A reference without common words is at 0 from any text.
+                fars = []
                 for _, at, ref in refs:
-                    own = np.zeros(len(ref))
-                    for w, i in at.items():
-                        own[i] = times.get(w, 0)
-                    own[-1] = n - own.sum()
-                    word_far = min(word_far, jensen_shannon(own, ref))
+                    if at:
+                        own = np.zeros(len(ref))
+                        for w, i in at.items():
+                            own[i] = times.get(w, 0)
+                        own[-1] = n - own.sum()
+                        fars.append(jensen_shannon(own, ref))
+                word_far = min(fars, default=0.0)
             rows.append((n, points - int(chars[CLASSES.index("space")]), int(octets[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeats, failed, not failed and char_far <= MOST_CHAR and word_far <= MOST_WORD + WORD_NOISE / max(1, n) ** 0.5, char_far, word_far))
         kinds = (pa.int64(),) * 5 + (pa.bool_(),) * 2 + (pa.float64(),) * 2
-        names = [c for c in batch.schema.names if c != "text" or carry_text]
+        names = [c for c in batch.schema.names if c not in ("__lang", "__ref") and (c != "text" or carry_text)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], [*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
 
 
@@ -152,14 +183,19 @@ def quality(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), carry_text: bo
     A text fails by its base counts (fewer than 20 words, or over 30 % of them
     in repeated windows), or, from LEAST_WORDS words on, if its histogram of
     character classes or of common words is farther than MOST_CHAR or MOST_WORD
-    (and a margin for its length) from every language's reference. References are sums over all rows of a
-    language; a null language counts as one named "". Null and empty texts have
+    (and a margin for its length) from its language's reference. References are sums over all rows of a
+    language; with under LEAST_REFERENCE words it has none, and distances are 0. A null language counts as
+    one named "", whose texts may be near any reference. Null and empty texts have
     no words and fail. Repeated rows are each judged; an empty table gives no rows.
     """
-    docs = docs.select(*keys, F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("__lang"))
-    refs = references(docs)
+    docs = docs.select(*keys, F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("__lang"))
+    refs = stored(references(docs))
+    # All references, of about 1 KB each, go along only if texts without a language need them.
+    every = [] if refs.where("__lang = ''").isEmpty() else [parsed(r["__ref"]) for r in refs.collect()]
+    unnamed = docs.sparkSession.sparkContext.broadcast(every)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys), *["text string"] * carry_text, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"])
-    return docs.select(*keys, "text").mapInArrow(lambda batches: _judge(batches, refs, carry_text), schema)
+    # Few languages, so that Spark broadcasts them; the texts stay where they are.
+    return docs.join(refs, "__lang", "left").select(*keys, "text", "__lang", "__ref").mapInArrow(lambda batches: _judge(batches, unnamed, carry_text), schema)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

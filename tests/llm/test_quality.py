@@ -62,3 +62,19 @@ def test_distance():
     assert jensen_shannon(p, p * 3) == 0 and jensen_shannon(np.array([1.0, 0]), np.array([0.0, 5])) == 1
     assert jensen_shannon(p, np.zeros(3)) == 1
     assert repeat_words(np.zeros(9, dtype=np.int64)) == 9
+
+
+def words_of(letters, rng, n=300):
+    vocab = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    return lambda k: " ".join(vocab[int(n * rng.random() ** 3)] for _ in range(k))
+
+
+def test_rare_language_is_not_judged_by_others(spark):
+    rng = random.Random(3)
+    common, rare, mid = words_of("abcdefghij", rng), words_of("абвгдежзик", rng), words_of("klmnopqrst", rng)
+    rows = [(common(4000), i, "en", "", 0) for i in range(500)]
+    rows += [(rare(100), 1000 + i, "ru", "", 0) for i in range(5)] + [(mid(100), 2000 + i, "de", "", 0) for i in range(80)]
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert len(got) == 585 and all(r.kept for r in got.values() if not r.base_failed)
+    assert sum(got[d].base_failed for d in got) == 0
+    assert all(got[1000 + i].char_distance == 0 for i in range(5)) and all(got[2000 + i].word_distance > 0 for i in range(80))
