@@ -89,8 +89,8 @@ def _key(word: bytes) -> str:
 
 
 def _is_word(word: bytes) -> bool:
-    """Short ones of ASCII letters."""
-    return len(word) <= 4 and word.isalpha()
+    """ASCII letters only, or in any other script at least one letter, as vowel signs and joiners are none."""
+    return word.isalpha() if word.isascii() else any(map(str.isalpha, word.decode()))
 
 
 def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -78,3 +78,14 @@ def test_rare_language_is_not_judged_by_others(spark):
     assert len(got) == 585 and all(r.kept for r in got.values() if not r.base_failed)
     assert sum(got[d].base_failed for d in got) == 0
     assert all(got[1000 + i].char_distance == 0 for i in range(5)) and all(got[2000 + i].word_distance > 0 for i in range(80))
+
+
+def test_common_words_of_each_language(spark):
+    rng = random.Random(4)
+    makes = {"en": words_of("abcdefghij", rng), "ru": words_of("абвгдежзик", rng), "hi": words_of("कखगघचिीुूा", rng)}
+    rows = [(make(150), 1000 * k + i, lang, "", 0) for k, (lang, make) in enumerate(makes.items()) for i in range(80)]
+    for k, letters in enumerate(("abcdefghij", "абвгдежзик", "कखगघचिीुूा")):
+        rows.append((" ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(300)), 9000 + k, list(makes)[k], "", 0))
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert all(r.kept for d, r in got.items() if d < 9000)
+    assert not any(got[9000 + k].kept or got[9000 + k].base_failed for k in range(3))
