@@ -21,6 +21,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MARKS = frozenset("ad ads advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent dialog disclaimer discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related replies respond search share sharing sidebar social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split())
 #: A paragraph tag is closed by these when they begin.
 ENDS_P = BLOCKS - {"br", "body", "html", "head", "title", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
+#: Elements that may hold an article; paragraphs, headings, lists and tables are parts of one.
+CONTAINERS = frozenset("article body center details div fieldset html main section".split())
+#: Elements whose lines, next to the content, belong to it.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z]+")
 SMOOTH = 1.0
 
@@ -39,6 +43,9 @@ class Lines(HTMLParser):
         self.tags = 0
         self.linked = 0
         self.roots: set[int] = set()
+        self.containers: set[int] = set()
+        self.pages: set[int] = set()
+        self.paragraphs: set[int] = set()
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -77,6 +84,12 @@ class Lines(HTMLParser):
         self.links += tag == "a"
         if tag in ("article", "main"):
             self.roots.add(self.count)
+        if tag in CONTAINERS:
+            self.containers.add(self.count)
+        if tag in ("html", "body"):
+            self.pages.add(self.count)
+        if tag in PROSE:
+            self.paragraphs.add(self.count)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,24 +136,42 @@ def main_text(html: str) -> str:
     ratios = np.array([0.0 if barred else (len(text) - min(linked, len(text))) / max(1, tags) for text, tags, linked, barred, _ in lines])
     level = smoothed(ratios)
     above = level >= min(float(level.std()), float(level.max()))
-    weight: dict[int, int] = {}
-    for (text, _, linked, barred, path), content in zip(lines, above, strict=True):
-        if content and not barred:
-            for k in path:
-                weight[k] = weight.get(k, 0) + max(0, len(text) - linked)
-    total = max(weight.values(), default=0)
-    roots = [k for k in parser.roots if weight.get(k)]
-    if roots:
-        # The element named for it that holds most content; of nested ones the inner, if it holds nearly all.
-        best = max(roots, key=lambda k: (weight[k] >= 0.9 * max(weight[r] for r in roots), k if weight[k] >= 0.9 * max(weight[r] for r in roots) else weight[k]))
-    else:
-        # The innermost container of nearly all content.
-        best = max((k for k, n in weight.items() if n >= 0.9 * total), default=0)
-    out = []
-    for text, _, linked, barred, path in lines:
-        if not barred and (not best or best in path) and (roots or 2 * linked <= len(text) or len(text) > 200):
-            out.append(text)
-    return " ".join(out)
+    free = [i for i, line in enumerate(lines) if not line[3]]
+    content = [i for i in free if above[i]] or free
+    weight = {i: max(0, len(lines[i][0]) - lines[i][2]) for i in content}
+
+    def held(ids: set[int], among: list[int]) -> list[int]:
+        return [i for i in among if not ids.isdisjoint(lines[i][4])]
+
+    def mass(ids: set[int]) -> int:
+        return sum(weight[i] for i in held(ids, content))
+
+    # Elements named for it are a hint: they count if they hold most of the content, siblings together.
+    roots = {k for k in parser.roots if mass({k})}
+    if roots and 2 * mass(roots) >= sum(weight.values()):
+        # Of nested ones the inner, if those hold nearly all.
+        for k in sorted(roots):
+            inner = {r for r in roots if r > k and any(k in lines[i][4] for i in held({r}, content))}
+            if inner and mass(inner) >= 0.9 * mass({k}):
+                roots.discard(k)
+        return " ".join(lines[i][0] for i in held(roots, free))
+    # The clusters' common container; on a whole page its parts that have some, and what stands between.
+    paths = [[k for k in lines[i][4] if k in parser.containers] for i in content]
+    common = set(paths[0]).intersection(*paths)
+    best = max(common, default=0)
+    inside = set(held({best}, free)) if best else set(free)
+    if best in parser.pages:
+        parts = {next((k for k in path if k not in common), best) for path in paths}
+        if best not in parts:
+            inside = set(held(parts, free)) | {i for i in free if content[0] < i < content[-1]}
+    own = [2 * linked <= len(text) for text, _, linked, _, _ in lines]
+    prose = [not parser.paragraphs.isdisjoint(path) for *_, path in lines]
+    chosen = set(content) | {i for i in inside if own[i] or prose[i]}
+    # Headings and paragraphs right before and after, in whatever container, up to the first other line.
+    for at, step in ((min(chosen), -1), (max(chosen), 1)):
+        while 0 <= (at := at + step) < len(lines) and not lines[at][3] and own[at] and prose[at]:
+            chosen.add(at)
+    return " ".join(lines[i][0] for i in sorted(chosen))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,3 +34,32 @@ def test_given_pages(spark):
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
         inner = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
         assert main_text(r.html) == " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+
+
+def page(body):
+    return f'<html><head><title>T</title></head><body><nav><a href="/a">A</a></nav>{body}<footer>me</footer></body></html>'
+
+
+LONG, SHORT = "many words of a paragraph that is long " * 60, "A paragraph of its own with some words to read."
+
+
+def test_one_very_long_paragraph():
+    text = f"<div id=x><h1>Title</h1><p>{SHORT}</p><p>{LONG}</p><p>{SHORT}</p></div>"
+    assert main_text(page(text)) == f"Title {SHORT} {LONG.strip()} {SHORT}"
+
+
+def test_heading_and_last_section_outside_the_body_container():
+    text = f"<div><h1>Title</h1><p>{SHORT}</p></div><div>{f'<p>{LONG[:400]}</p>' * 8}</div><section><p>{SHORT}</p></section>"
+    assert main_text(page(text)) == " ".join(["Title", SHORT, *[LONG[:400].strip()] * 8, SHORT])
+
+
+def test_linked_line_between_paragraphs():
+    text = f"<div><p>{LONG}</p><p>Short.</p><p>Shorter.</p><p><a href=/r>See the whole report</a></p><p>Short.</p><p>Shorter.</p><p>{LONG}</p></div>"
+    assert "See the whole report" in main_text(page(text))
+
+
+def test_sibling_articles_are_kept_and_a_small_one_is_only_a_hint():
+    two = f"<article><p>{LONG}</p></article><article><p>{SHORT} {LONG[:300]}</p></article>"
+    assert main_text(page(two)) == f"{LONG.strip()} {SHORT} {LONG[:300].strip()}"
+    small = f"<article><p>{SHORT}</p></article><div><p>{LONG}</p><p>{LONG}</p></div>"
+    assert main_text(page(small)).count(LONG.strip()) == 2
