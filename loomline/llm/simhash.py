@@ -40,13 +40,14 @@ def simhash(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row; a null, empty or blank text has fingerprint zero."""
+    """(doc_id, digest, fp) for every row; digest is a 64-bit hash of the text. A null, empty or blank text has fingerprint zero."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = pa.array([simhash(x, shingle) for x in text_bytes(batch)], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), fps], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), fps], ["doc_id", "digest", "fp"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), step, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return map_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("digest"), text.alias("text")), step, "doc_id long, digest long, fp long")
 
 
 def _byte_masks(k: int) -> list[tuple[int, int]]:
@@ -66,12 +67,14 @@ def links(fps: DataFrame, distance: int = 4, star_from: int = STAR_FROM) -> Data
     """Edges (u, v) that connect exactly what pairs within `distance` bits connect.
 
     `fps` has distinct values `fp`. Within `distance` differing bits at least
-    8 - distance of the 8 bytes agree in place. The inverted index therefore
-    has one posting per choice of 8 - distance positions with their bytes: two
-    fingerprints meet in a posting exactly if their tally of shared positional
-    bytes reaches that minimum. In a posting of moderate length pairs are
-    tallied once (in the first posting they share), filtered by the count and
-    verified, all within the join condition. Fingerprints in longer postings
+    8 - distance of the 8 bytes agree in place. An index by single bytes would
+    have 2,048 postings, whose pairs grow with the square of the input. Here the
+    minimum count is part of the key: one posting per choice of 8 - distance
+    positions with their bytes, so that two fingerprints meet exactly if their
+    tally of shared positional bytes reaches that minimum. In a posting of
+    moderate length a pair's tally, taken anew, names the first posting that the
+    two share; the pair counts there only, and is verified, all within the join
+    condition. Fingerprints in longer postings
     emit no pairs: each is listed under all values within distance/2 bits of
     it; members of one such list are within `distance` of each other, and any
     two that are so share a list, so a star per list keeps every link.
@@ -81,7 +84,8 @@ def links(fps: DataFrame, distance: int = 4, star_from: int = STAR_FROM) -> Data
     least = 8 - distance
     masks = F.array(*[F.struct(F.lit(bits).alias("places"), F.lit(mask).cast("long").alias("mask")) for bits, mask in _byte_masks(least)])
     index = fps.select("fp", F.explode(masks).alias("m")).select(F.col("m.places").alias("places"), F.col("fp").bitwiseAND(F.col("m.mask")).alias("octets"), "fp")
-    sizes = index.groupBy("places", "octets").agg(F.count("*").alias("n")).where("n > 1")
+    # Written first, so that the join has no aggregate beside it and a long posting can be split.
+    sizes = cut(index.groupBy("places", "octets").agg(F.count("*").alias("n")).where("n > 1"))
     postings = cut(index.join(sizes, ["places", "octets"]))
 
     few = postings.where(F.col("n") <= star_from)
@@ -104,34 +108,46 @@ def links(fps: DataFrame, distance: int = 4, star_from: int = STAR_FROM) -> Data
     return pairs.union(stars)
 
 
+def _members(docs: DataFrame, shingle: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, fp) of each row, and (fp, label), where fingerprints of one component have one label."""
+    fps = cut(fingerprints(docs, shingle))
+    first = cut(fps.select("fp").distinct())
+    labels = components(links(first, distance)).withColumnRenamed("node", "fp")
+    return fps, first.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for each row of `docs`.
 
     Nulls, empty and blank texts have fingerprint zero and link like others.
     Repeated rows are each returned. A null doc_id is never a component's id
-    unless nothing else is in it. Further columns of `docs` are ignored.
+    unless nothing else is in it. A text of any length is hashed whole, in a
+    batch of its own; an empty table gives no rows; further columns of `docs`
+    are ignored, whatever their names.
     """
-    fps = cut(fingerprints(docs, shingle))
-    first = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    labels = components(links(first.select("fp"), distance))
-    own = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left")
-    least = own.where("label is not null").groupBy("label").agg(F.min("first").alias("least"))
-    of = own.join(least, "label", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    out = fps.join(of, "fp")
-    return out.select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    fps, of = _members(docs, shingle, distance)
+    least = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(of, "fp").groupBy("label").agg(F.min("least").alias("component_id")))
+    ids = cut(of.join(least, "label").select("fp", "component_id"))
+    return fps.join(ids, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """The rows of `docs` with the least doc_id of their component: one of each, whole.
+    """One row of `docs` of each component, whole: that with the least doc_id (null: the greatest), then the least hash of its text.
 
-    Of rows that share that doc_id the one with the least hash of its text stays.
+    Rows that share an id are told apart by their texts: each is kept or goes
+    with its own component. Of rows that agree in both, one stays.
     """
-    kept = near_duplicates(docs, shingle, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    kept = cut(kept.withColumnRenamed("doc_id", "kept_id"))
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    if kept.where("count > 1").isEmpty():
+    fps, of = _members(docs, shingle, distance)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    least = fps.groupBy("fp").agg(F.min(order).alias("row"))
+    kept = cut(least.join(of, "fp").groupBy("label").agg(F.min("row").alias("row")).select("row.kept_id", "row.kept_digest"))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("kept_digest"))
+    out = docs.join(kept, own, "left_semi")
+    # Only where rows repeat are they ranked, which moves them once more.
+    if fps.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))).groupBy("kept_id", "kept_digest").count().where("count > 1").isEmpty():
         return out
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    text = F.xxhash64(F.col("text").cast("string"))
+    first = Window.partitionBy(F.col("doc_id").cast("long"), text).orderBy(F.xxhash64(*(c for c, t in out.dtypes if not t.startswith("map"))))
     return out.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
 
 

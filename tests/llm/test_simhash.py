@@ -3,7 +3,7 @@ from itertools import combinations
 import xxhash
 from pyspark.sql import functions as F
 
-from loomline.llm.simhash import links, near_duplicates, simhash
+from loomline.llm.simhash import keep_one, links, near_duplicates, simhash
 from loomline.llm.components import components
 
 SCHEMA = "text string, doc_id long, fp int, label string"
@@ -78,3 +78,19 @@ def test_edge_rows(spark):
     got = {(r.doc_id, r.component_id) for r in out}
     assert got == {(5, 3), (3, 3), (9, 8), (8, 8), (None, None)}
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_of_each_group_is_kept_whatever_the_ids(spark):
+    a, b, c, d = ("alpha beta gamma delta eps", "one two three four five six", "red green blue black white", "left right up down in out")
+    rows = [(a, 1, 1, ""), (b, 1, 2, ""), (c, None, 3, ""), (d, None, 4, ""), (a, 7, 5, ""), (b, 0, 6, ""), (c, 9, 7, ""), (c, 9, 7, ""), (d, None, 4, ""), (None, 5, 0, None), ("", 6, 0, "")]
+    got = sorted(map(str, keep_one(spark.createDataFrame(rows, SCHEMA)).collect()))
+    want = [(a, 1, 1, ""), (b, 0, 6, ""), (c, 9, 7, ""), (d, None, 4, ""), (None, 5, 0, None)]
+    assert got == sorted(map(str, spark.createDataFrame(want, SCHEMA).collect()))
+    assert keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 9973}" for i in range(400_000))
+    got = near_duplicates(spark.createDataFrame([(text, 4, 0, ""), (text + " x", 2, 0, "")], SCHEMA)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(4, 2), (2, 2)}
+    assert {r.doc_id: int(r.fingerprint, 16) for r in got}[4] == slow(text)
