@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -158,6 +159,8 @@ class WordIds:
         self.known: dict[bytes, int] = {}
         self.values, self.starts, self.sizes = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
         names = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Finds, in any case, what may be a special token, whose own case counts.
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or None
         self.last = np.zeros(max(names.values()) + 1, dtype=bool)
         self.last[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
@@ -219,9 +222,13 @@ _MARK, _APART = r"([a-z0-9À-ÖØ-öø-ÿ])([.,!?;:*$%&#]+)([\t-\r ]|$)", r"\1 \
 def token_ids(memory: WordIds, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Numbers of ids of each text with `end` behind them, all those ids, and the places in them where sentences end.
 
-    Each distinct word is looked up once.
+    Each distinct word is looked up once, in lower case unless its text may hold a special token.
     """
-    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.ascii_lower(pc.fill_null(texts, "")), _MARK, _APART))
+    texts = pc.fill_null(texts, "")
+    low = pc.ascii_lower(texts)
+    if memory.special:
+        low = pc.if_else(pc.match_substring_regex(low, memory.special, ignore_case=True), texts, low)
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _MARK, _APART))
     bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
     coded = lists.flatten().dictionary_encode()
     at = coded.indices.to_numpy(zero_copy_only=False)

@@ -55,7 +55,7 @@ def check(rows, texts, capacity):
 
 def test_pieces(spark):
     rng = random.Random(9)
-    vocab = ["the", "Of.", "and!", "É", "日本", "x1y2", "it's", "<|endoftext|>", "a<|startoftext|>b", "word?", "İx", "ﬁ"]
+    vocab = ["the", "Of.", "and!", "É", "日本", "x1y2", "it's", "<|endoftext|>", "a<|startoftext|>b", "<|EndOfText|>", "x<|ENDOFTEXT|>.", "WORD?", "END.", "word?", "İx", "ﬁ"]
     texts = {d * 7 - 90: rng.choice([" ", "\n", "　 "]).join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 5, 40, 400]))) for d in range(150)}
     texts |= {5000: None, 5001: "", 5002: "long " * 30000, 5003: "x" * 20000}
     df = spark.createDataFrame([(t, d, "", 0) for d, t in texts.items()], SCHEMA).repartition(3)
