@@ -19,9 +19,8 @@ PHRASE = 6
 #: Bytes of text whose recurring phrases make one automaton.
 SHARD_BYTES = 1_000_000
 _MIX = [np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)]
-_BASES = [0x9E3779B97F4A7C15, 0xD1342543DE82EF95]
-_rng = np.random.default_rng(20)
-_OCTET = [_rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in _BASES]
+_BASE = 0x9E3779B97F4A7C15
+_OCTET = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -40,25 +39,28 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base]
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end], for many ranges at once."""
+def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of values[start:end], for many ranges at once.
+
+    They only choose phrases: a collision adds an occurrence to look at, and removes nothing.
+    """
     n = len(values)
-    up, down = _power(base, n), _power(pow(base, -1, 2**64), n)
+    up, down = _power(_BASE, n), _power(pow(_BASE, -1, 2**64), n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(values * up[:n], dtype=np.uint64, out=sums[1:])
     return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(words: list[bytes], which: int = 0) -> np.ndarray:
+def word_hashes(words: list[bytes]) -> np.ndarray:
     joined = np.frombuffer(b" ".join(words), dtype=np.uint8)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    return _ranges(_OCTET[which][joined], starts, ends, _BASES[which])
+    return _ranges(_OCTET[joined], starts, ends)
 
 
-def gram_hashes(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:
+def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     starts = np.arange(max(0, len(hashes) - n + 1))
-    return _ranges(hashes, starts, starts + n, _BASES[which])
+    return _ranges(hashes, starts, starts + n)
 
 
 def _phrases(batch: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBatch:
@@ -95,7 +97,7 @@ def _occurrences(batch: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBa
     """Compile the shard's recurring phrases and stream its documents through them.
 
     Rows with a tag from 0 on are windows with a recurring phrase, each at its
-    first start in the document, keyed by 95 bits of hash. Rows with a tag below
+    first start in the document, keyed by 95 bits of its BLAKE2b digest. Rows with a tag below
     are runs of starts of such windows, keyed by where they lie, so that no two
     are merged. A place is a start times 2 ** 32 plus a run's end, 0 for a window.
     """
@@ -125,14 +127,16 @@ def _occurrences(batch: pa.RecordBatch, window: int, phrase: int) -> pa.RecordBa
         edges = np.flatnonzero(np.diff(np.concatenate([[0], inside.view(np.int8), [0]])))
         lo, hi = edges[::2], edges[1::2]
         starts = np.flatnonzero(inside)
-        raw = [w.encode() for w in words]
-        one = gram_hashes(word_hashes(raw, 0), window, 0)[starts].view(np.int64)
-        two = (gram_hashes(word_hashes(raw, 1), window, 1)[starts] >> np.uint64(33)).astype(np.int64)
-        own, back = np.unique(one, return_index=True, return_inverse=True)[1:]
-        if (two != two[own][back]).any():
-            own = np.unique(np.stack([one, two]), axis=1, return_index=True)[1]
+        raw = " ".join(words).encode()
+        stops = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in words), dtype=np.int64, count=len(words)) + 1) - 1
+        begins = np.concatenate([[0], stops[:-1] + 1])
+        first: dict[bytes, int] = {}
+        for s, a, b in zip(starts.tolist(), begins[starts].tolist(), stops[starts + window - 1].tolist(), strict=True):
+            first.setdefault(hashlib.blake2b(raw[a:b], digest_size=12).digest(), s)
+        keys = np.frombuffer(b"".join(first), dtype=[("one", "<i8"), ("two", "<u4")])
+        own = np.fromiter(first.values(), dtype=np.int64, count=len(first))
         runs = np.full(len(lo), ids[i], np.int64)
-        for column, x in zip(out, (np.concatenate([one[own], runs]), np.concatenate([two[own], -1 - lo]), np.full(len(own) + len(lo), i), np.concatenate([starts[own] << 32, lo << 32 | hi])), strict=True):
+        for column, x in zip(out, (np.concatenate([keys["one"], runs]), np.concatenate([(keys["two"] >> np.uint32(1)).astype(np.int64), -1 - lo]), np.full(len(own) + len(lo), i), np.concatenate([own << 32, lo << 32 | hi])), strict=True):
             column.append(x)
     one, tag, owner, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
     rows = pa.array(owner, pa.int64())
@@ -192,12 +196,15 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     2. For each shard of documents, the phrases that recur and lie in it are
        compiled to an Aho-Corasick automaton, which streams the shard's
        documents and locates every occurrence. Each distinct window around an
-       occurrence is hashed to 95 bits; the first document of each is kept.
+       occurrence is known by 95 bits of its BLAKE2b digest; the first document
+       of each is kept. Documents that share no phrase with another place hold no
+       occurrence, and aren't streamed.
     3. A document's words go if covered by a window that isn't first.
 
     A null text has no words. A null doc_id counts as the smallest. Rows that
     share a doc_id are ordered by the hash of their text; equal rows get equal
-    results. Other columns are ignored.
+    results. A text of any length is one row of a batch of its own; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(F.lit(0), *carry).alias("carry"))
     # Rows that repeat an id are told apart by a second key.
@@ -213,7 +220,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE
     copies = equal.join(cut(lead), ["h", "g"]).where((F.struct(*keys) if ties else F.col("doc")) != F.col("lead")).select(*keys)
     copies = cut(copies.distinct() if ties else copies)
     spots = full.mapInArrow(_over(_phrases, SHARD_BYTES, window, phrase), "phrase long, doc long, tie long, start int, n int")
-    recurs = spots.groupBy("phrase").agg(F.sum("n").alias("times")).where("times > 1").select("phrase")
+    # Written first, so that the join has no aggregate beside it and a phrase of very many documents can be split.
+    recurs = cut(spots.groupBy("phrase").agg(F.sum("n").alias("times")).where("times > 1").select("phrase"))
     starts = spots.select("phrase", *keys, "start").join(recurs, "phrase").groupBy(*keys).agg(F.collect_list("start").alias("starts")).join(copies, keys, "left_anti")
     near = keyed.join(starts, keys).select("doc", F.col("tie") if ties else no_tie, "text", "starts")
     found = near.mapInArrow(_over(_occurrences, SHARD_BYTES, window, phrase), "one long, tag int, doc long, tie long, place long")

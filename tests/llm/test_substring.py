@@ -47,3 +47,29 @@ def test_edge_rows(spark):
     got = {(r.doc_id, r.n_words, r.n_removed) for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(None, 30, 0), (1, 30, 30), (1, 31, 30)}
     assert dedup_substrings(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def thue_morse(n, zero, one):
+    return "".join(one if bin(i).count("1") % 2 else zero for i in range(n))
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    """Polynomials modulo a power of two don't tell these words apart, whatever their base."""
+    same = [f"w{i}" for i in range(25)]
+    rows = [(1, " ".join([*same[:10], thue_morse(2048, "a", "b"), *same[10:19]])), (2, " ".join([*same[:10], thue_morse(2048, "b", "a"), *same[10:19]]))]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in dedup_substrings(spark.createDataFrame([(t, d, 1, "p") for d, t in rows], SCHEMA)).collect())
+    assert got == brute(rows, 20) and sum(r[2] for r in got) == 0
+
+
+def test_join_of_phrases_can_be_split(spark):
+    """No aggregate between the join of recurring phrases and its exchanges, so that a very common phrase isn't one task's."""
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(" ".join(words), 1, 0, ""), (" ".join(["x", *words]), 2, 0, "")], SCHEMA)
+    plan = dedup_substrings(df)._jdf.queryExecution().executedPlan().toString()
+    joins = [i for i, line in enumerate(plan.split("\n")) if "Join [phrase" in line]
+    assert joins
+    for i in joins:
+        for line in plan.split("\n")[i + 1 : i + 4]:
+            if "Exchange" in line:
+                break
+            assert "Aggregate" not in line
