@@ -9,6 +9,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ LEAF, PART = 4096, 131_072
 #: Most pieces whose ids a worker remembers; others are encoded each time.
 REMEMBERED = 400_000
 SLICE_BYTES = 4_000_000
+#: Ids that one Python step turns into text at a time.
+SLICE_IDS = 1_000_000
 #: A piece is white space and the word after it: no pre-token spans the end of one.
 _ASCII = re.compile(rb"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -188,6 +191,19 @@ def tables(path: str) -> tuple[list[bytes], list[bytes]]:
     return _tables[path]
 
 
+def id_slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE_IDS) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds about `limit` ids, or one row."""
+    for batch in batches:
+        at, size = 0, 0
+        for i, n in enumerate(pc.list_value_length(batch.column("ids")).to_pylist()):
+            if size and size + (n or 0) > limit:
+                yield batch.slice(at, i - at)
+                at, size = i, 0
+            size += n or 0
+        if at < batch.num_rows:
+            yield batch.slice(at)
+
+
 def _with(batch: pa.RecordBatch, names: list[str], raw: list[bytes]) -> pa.RecordBatch:
     ends = np.cumsum([0, *(len(x) // 4 for x in raw)])
     ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32), pa.int32()))
@@ -266,7 +282,7 @@ def digests(encoded: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         octets, decimal = tables(path)
-        for batch in batches:
+        for batch in id_slices(batches):
             count, ids_sha, text_sha = [], [], []
             for row in range(batch.num_rows):
                 x = batch.column("ids")[row].values
@@ -285,7 +301,7 @@ def decode(encoded: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",)) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         octets, _ = tables(path)
-        for batch in batches:
+        for batch in id_slices(batches):
             out = [b"".join(picked(octets, x or [])).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(out, pa.string())], [*keys, "text"])
 
