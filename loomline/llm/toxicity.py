@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import crc_mod, cut, read, slices, texts
 
-#: Most labelled documents, pieces of words (features) and stretches of text that the model is fitted on.
-LABELLED, FEATURES, STRETCHES = 12_000, 5_000, 20_000
+#: Most labelled documents that the model is fitted on; all else follows from them.
+LABELLED = 12_000
+#: Stretches of text that a step of the fit holds at a time.
+BLOCK = 20_000
 #: Lengths of the prefixes that are features of a word, beside the word itself (kind 0).
 PREFIXES = (3, 4, 5, 6)
 #: Words on either side of a word with features, in training.
@@ -118,53 +120,60 @@ def train(offsets: np.ndarray, features: np.ndarray, tokens: np.ndarray, labels:
     Stretch i has sizes[i] words; `features` belong to the flat words `tokens`,
     `labels` are of flat words, and stretch i begins at offsets[i].
     """
-    longest = int(sizes.max())
-    grid = offsets[:, None] + np.arange(longest)
-    inside = np.arange(longest) < sizes[:, None]
-    grid = np.where(inside, grid, 0)
-    y = labels[grid] * inside
-    total = float(inside.sum())
     x = np.zeros(n_features + 4)  # features, bias, transitions 0-1, 1-0, 1-1
     m, v = np.zeros_like(x), np.zeros_like(x)
-    seen = np.zeros(n_features + 4)
+    blocks, seen, total = [], np.zeros(n_features + 4), float(sizes.sum())
     np.add.at(seen, features, labels[tokens])
-    seen[n_features] = y.sum()
-    pair_in = inside[:, 1:]
-    for k, (a, b) in enumerate(((0, 1), (1, 0), (1, 1))):
-        seen[n_features + 1 + k] = ((y[:, :-1] == a) & (y[:, 1:] == b) & pair_in).sum()
+    for at in range(0, len(sizes), BLOCK):
+        own = sizes[at : at + BLOCK]
+        inside = np.arange(int(own.max())) < own[:, None]
+        grid = np.where(inside, offsets[at : at + BLOCK, None] + np.arange(inside.shape[1]), 0)
+        y, pair_in = labels[grid] * inside, inside[:, 1:]
+        seen[n_features] += y.sum()
+        for k, (a, b) in enumerate(((0, 1), (1, 0), (1, 1))):
+            seen[n_features + 1 + k] += ((y[:, :-1] == a) & (y[:, 1:] == b) & pair_in).sum()
+        blocks.append((grid, inside))
     for t in range(1, steps + 1):
         flat = np.bincount(tokens, x[features], len(labels))
-        e1 = np.exp(np.clip(flat[grid] + x[n_features], -30, 30))
-        across = np.exp(np.array([[0.0, x[n_features + 1]], [x[n_features + 2], x[n_features + 3]]]))
-        f, b = np.empty((*grid.shape, 2)), np.ones((*grid.shape, 2))
-        f[:, 0] = np.stack([np.ones(len(grid)), e1[:, 0]], axis=1)
-        for i in range(1, longest):
-            f[:, i] = f[:, i - 1] @ across
-            f[:, i, 1] *= e1[:, i]
-            f[:, i] /= f[:, i].sum(axis=1, keepdims=True)
-        for i in range(longest - 2, -1, -1):
-            behind = b[:, i + 1].copy()
-            behind[:, 1] *= e1[:, i + 1]
-            behind = behind @ across.T
-            behind /= behind.sum(axis=1, keepdims=True)
-            b[:, i] = np.where(inside[:, i + 1, None], behind, 1.0)
-        node = f * b
-        p = node[..., 1] / node.sum(axis=2) * inside
-        after = b[:, 1:].copy()
-        after[..., 1] *= e1[:, 1:]
-        pair = f[:, :-1, :, None] * across * after[:, :, None, :]
-        pair *= (pair_in / np.maximum(pair.sum(axis=(2, 3)), 1e-300))[..., None, None]
-        expected = np.zeros(n_features + 4)
-        flat_p = np.bincount(grid[inside], p[inside], len(labels))
+        flat_p, expected = np.zeros(len(labels)), np.zeros(n_features + 4)
+        for grid, inside in blocks:
+            p, ends = _expected(flat[grid] + x[n_features], x[n_features + 1 :], inside)
+            flat_p[grid[inside]] = p[inside]
+            expected[n_features] += p.sum()
+            expected[n_features + 1 :] += ends
         np.add.at(expected, features, flat_p[tokens])
-        expected[n_features] = p.sum()
-        expected[n_features + 1 :] = pair[..., 0, 1].sum(), pair[..., 1, 0].sum(), pair[..., 1, 1].sum()
         g = (seen - expected) / total - RIDGE * x
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x += RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8) * (1 - (t - 1) / steps)
     return x[:n_features], float(x[n_features]), np.array([[0.0, x[n_features + 1]], [x[n_features + 2], x[n_features + 3]]])
 
 
+def _expected(weight: np.ndarray, moves: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """Forward and backward over stretches (rows): probabilities of label 1, and expected transitions 0-1, 1-0, 1-1."""
+    e1 = np.exp(np.clip(weight, -30, 30))
+    across = np.exp(np.array([[0.0, moves[0]], [moves[1], moves[2]]]))
+    longest = inside.shape[1]
+    f, b = np.empty((*inside.shape, 2)), np.ones((*inside.shape, 2))
+    f[:, 0] = np.stack([np.ones(len(inside)), e1[:, 0]], axis=1)
+    for i in range(1, longest):
+        f[:, i] = f[:, i - 1] @ across
+        f[:, i, 1] *= e1[:, i]
+        f[:, i] /= f[:, i].sum(axis=1, keepdims=True)
+    for i in range(longest - 2, -1, -1):
+        behind = b[:, i + 1].copy()
+        behind[:, 1] *= e1[:, i + 1]
+        behind = behind @ across.T
+        behind /= behind.sum(axis=1, keepdims=True)
+        b[:, i] = np.where(inside[:, i + 1, None], behind, 1.0)
+    node = f * b
+    p = node[..., 1] / node.sum(axis=2) * inside
+    after = b[:, 1:].copy()
+    after[..., 1] *= e1[:, 1:]
+    pair = f[:, :-1, :, None] * across * after[:, :, None, :]
+    pair *= (inside[:, 1:] / np.maximum(pair.sum(axis=(2, 3)), 1e-300))[..., None, None]
+    return p, (pair[..., 0, 1].sum(), pair[..., 1, 0].sum(), pair[..., 1, 1].sum())
+
+
 def calibrate(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     """Slope (above 0) and shift of a logistic curve, by Newton steps towards slope 1 and shift 0 where data are few."""
     x, w = np.stack([evidence, np.ones(len(evidence))], axis=1), np.array([1.0, 0.0])
@@ -210,7 +219,7 @@ def choose_features(sample: DataFrame, toxic: int, every: int) -> list[tuple[int
     """Features whose documents are toxic more often than chance allows, and whether they label tokens.
 
     The likelihood ratio must beat what the best of all features would reach by
-    chance; at most FEATURES rows come to the driver.
+    chance. Only those come to the driver: words of the bounded sample that do.
     """
     counts = sample.mapInArrow(_tally, "kind int, piece string, toxic long, docs long").groupBy("kind", "piece").agg(F.sum("toxic").alias("a"), F.sum("docs").alias("n"))
     counts = cut(counts.where((F.col("a") >= LEAST_DOCS) & (F.col("piece") != "")))
@@ -222,7 +231,7 @@ def choose_features(sample: DataFrame, toxic: int, every: int) -> list[tuple[int
     a, n, t, s = F.col("a").cast("double"), F.col("n").cast("double"), F.lit(float(toxic)), F.lit(float(every))
     ratio = 2 * (x_log_x(a) + x_log_x(n - a) + x_log_x(t - a) + x_log_x(s - t - n + a) - x_log_x(n) - x_log_x(s - n) - x_log_x(t) - x_log_x(s - t) + x_log_x(s))
     best = counts.withColumn("ratio", ratio).where((a * s > n * t) & (F.col("ratio") > 2 * np.log(20.0 * max(1, tested))))
-    return [(r.kind, r.piece, r.a >= DECISIVE * r.n) for r in best.orderBy(F.desc("ratio"), "kind", "piece").limit(FEATURES).collect()]
+    return [(r.kind, r.piece, r.a >= DECISIVE * r.n) for r in best.orderBy(F.desc("ratio"), "kind", "piece").collect()]
 
 
 def stretches(sample: DataFrame, chosen: list[tuple[int, str, bool]]) -> pa.Table:
@@ -253,7 +262,7 @@ def stretches(sample: DataFrame, chosen: list[tuple[int, str, bool]]) -> pa.Tabl
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc", "at", "size", "place", "feature", "ones"])
 
     found = sample.mapInArrow(run, "doc long, at long, size int, place array<int>, feature array<int>, ones array<int>")
-    return found.orderBy(F.xxhash64("doc", "at"), "doc", "at").limit(STRETCHES).toArrow()
+    return found.orderBy("doc", "at").toArrow()
 
 
 def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -349,4 +358,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = tag(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")))
     held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")

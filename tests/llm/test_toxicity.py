@@ -5,7 +5,8 @@ from itertools import product
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomline.llm.toxicity import Tagger, fit, marginals, op3_toxicity, tag, train
+from loomline.llm import toxicity
+from loomline.llm.toxicity import THRESHOLD, Tagger, fit, marginals, op3_toxicity, pieces, tag, train
 
 SCHEMA = "text string, doc_id long, score string, spans int"
 
@@ -93,4 +94,51 @@ def test_given_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = out.join(labels, "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int")).alias("right"), F.count("*").alias("n")).first()
     assert got.n > 100 and got.right > 0.93
-    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 1000
+    assert out.columns == ["doc_id", "held_out", "score", "predicted", "spans"] and out.count() == 1000
+
+
+def slow_score(text, tagger):
+    """Forward and backward, word by word; score and words above one half."""
+    words = text.lower().split()
+    on = [any(p in tagger.weights for p in pieces(w)) for w in words]
+    emit = [np.array([1.0, np.exp(tagger.bias + sum(tagger.weights.get(p, 0.0) for p in pieces(w)))]) for w in words]
+    across = np.exp(tagger.moves)
+    f, b = [], [np.ones(2)]
+    for i, e in enumerate(emit):
+        v = (f[-1] @ across if i else np.ones(2)) * e
+        f.append(v / v.sum())
+    for e in emit[:0:-1]:
+        v = across @ (e * b[-1])
+        b.append(v / v.sum())
+    p = [float((x * y)[1] / (x * y).sum()) for x, y in zip(f, b[::-1])]
+    best = max((min(np.log(x) - np.log1p(-x), 20.0) for x, k in zip(p, on) if k), default=-8.0)
+    return 1 / (1 + np.exp(-(tagger.shift + tagger.slope * max(best, -8.0)))), sum(x >= 0.5 for x, k in zip(p, on) if k)
+
+
+def test_scores_of_given_documents_equal_brute_force(spark):
+    """Also where several labels of a document disagree: one toxic label is enough."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    tagger = fit(more, labels.union(labels.selectExpr("doc_id", "quality", "0 as toxic")))
+    assert tagger.weights == fit(more, labels).weights and tagger.weights
+    hits = 0
+    for r in tag(docs, tagger, carry_text=True).collect():
+        score, n = slow_score(r.text, tagger)
+        assert abs(r.score - score) < 1e-6 and bool(r.spans) == bool(n)
+        hits += score >= THRESHOLD
+    assert hits
+
+
+def test_blocks_of_the_fit_change_nothing(monkeypatch):
+    rng = random.Random(6)
+    sizes = np.array([rng.randint(1, 9) for _ in range(101)])
+    n = int(sizes.sum())
+    tokens = np.arange(0, n, 2)
+    features, labels = np.array([rng.randrange(3) for _ in tokens]), np.array([float(rng.random() < 0.3) for _ in range(n)])
+    out = []
+    for block in (7, 20_000):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        w, bias, moves = train(np.cumsum(sizes) - sizes, features, tokens, labels, sizes, 3, steps=40)
+        out.append([*w, bias, *moves.ravel()])
+    assert np.allclose(*out)
