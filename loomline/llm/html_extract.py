@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -14,19 +16,37 @@ from pyspark.sql import functions as F
 from loomline.llm.common import read, slices, texts
 
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-#: Elements whose content is never part of an article.
-OUTSIDE = frozenset("head script style noscript template nav header footer aside form button select textarea input iframe object svg canvas audio video menu dialog".split())
+#: Elements whose content is no text of the page.
+OUTSIDE = frozenset("head script style noscript template button select textarea input iframe object svg canvas audio video".split())
+#: Elements that hold boilerplate; a form or header does not if most of the page's text is in it.
+ASIDE = frozenset("nav footer aside menu dialog".split())
+WRAPPERS = frozenset("header form".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class, id or role that mark boilerplate.
-MARKS = frozenset("ad ads advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent dialog disclaimer discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related replies respond search share sharing sidebar social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split())
+#: Parts of a class, id or role that mark boilerplate, and parts that may stand beside them.
+MARKS = frozenset("ad ads advert adverts advertisement advertising alert alertdialog banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent dialog disclaimer discussion disqus footer form header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related replies reply respond search share sharing sidebar social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split())
+BESIDE = frozenset("area articles bar block bottom box buttons column container content global group holder icons inner item items left links list main message outer page pane panel posts primary right section site slot stories the top unit wrap wrapper".split())
+#: Last parts that mark boilerplate beside any other, but for the words that deny it.
+READERS, DENIALS = frozenset("comments replies".split()), frozenset("no not without has with hide hidden disable disabled allow closed".split())
 #: A paragraph tag is closed by these when they begin.
 ENDS_P = BLOCKS - {"br", "body", "html", "head", "title", "option", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: Elements that may hold an article; paragraphs, headings, lists and tables are parts of one.
 CONTAINERS = frozenset("article body center details div fieldset html main section".split())
-#: Elements whose lines, next to the content, belong to it.
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SPLIT = re.compile(r"[^a-z]+")
-SMOOTH = 1.0
+#: Width of the smoothing in lines; the share of the threshold that lines next to a cluster need.
+SMOOTH, NEXT = 1.0, 0.5
+#: What an element named for it adds to its lines' scores, what the score of lines outside it is multiplied by, and what a heading's is raised by.
+INSIDE, ELSEWHERE, HEADING = 1.5, 0.3, 1.0
+
+
+@lru_cache(65536)
+def is_marked(value: str) -> bool:
+    """Whether a class, id or role has a name that, taken whole, stands for boilerplate: `cookie-notice`, but not `notice-board`."""
+    for name in value.lower().split():
+        parts = {x for x in _SPLIT.split(name) if x}
+        if parts and parts <= MARKS | BESIDE and parts & MARKS or READERS & parts and not DENIALS & parts:
+            return True
+    return False
 
 
 class Lines(HTMLParser):
@@ -34,23 +54,24 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
+        self.open: list[tuple[str, bool, int]] = []  # name, whether its text is none of the page's, number
         self.barred = 0
         self.count = 0
         self.links = 0
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.linked = 0
         self.roots: set[int] = set()
         self.containers: set[int] = set()
-        self.pages: set[int] = set()
-        self.paragraphs: set[int] = set()
+        self.marked: set[int] = set()
+        self.aside: set[int] = set()
+        self.headings: set[int] = set()
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, bool(self.barred), tuple(k for _, _, k in self.open)))
+            self.lines.append((text, self.tags, self.linked, tuple(k for _, _, k in self.open)))
             self.tags = self.linked = 0
         self.parts.clear()
 
@@ -71,25 +92,27 @@ class Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        bars = tag in OUTSIDE
-        if not bars and attrs and tag not in ("html", "body"):
+        bars, marked = tag in OUTSIDE, tag in WRAPPERS and not (tag == "header" and any(x[0] == "article" for x in self.open))
+        if attrs and tag not in ("html", "body"):
             for name, value in attrs:
-                if name in ("class", "id", "role") and value and not MARKS.isdisjoint(_SPLIT.split(value.lower())):
-                    bars = True
+                if name in ("class", "id", "role") and value and is_marked(value):
+                    marked = True
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
                     bars = True
         self.count += 1
         self.open.append((tag, bars, self.count))
         self.barred += bars
         self.links += tag == "a"
+        if marked:
+            self.marked.add(self.count)
+        if tag in ASIDE:
+            self.aside.add(self.count)
         if tag in ("article", "main"):
             self.roots.add(self.count)
         if tag in CONTAINERS:
             self.containers.add(self.count)
-        if tag in ("html", "body"):
-            self.pages.add(self.count)
-        if tag in PROSE:
-            self.paragraphs.add(self.count)
+        if tag in HEADINGS:
+            self.headings.add(self.count)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -109,7 +132,7 @@ class Lines(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
-        if self.open and self.open[-1][0] in ("script", "style"):
+        if self.barred:
             return
         self.parts.append(data)
         if self.links:
@@ -123,54 +146,81 @@ def smoothed(ratios: np.ndarray, sigma: float = SMOOTH) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def barred(parser: Lines) -> list[bool]:
+    """Whether each line is boilerplate by the names of its elements.
+
+    A mark is void if its element holds four times the text of all free lines, and no article or main has any.
+    """
+    lines = parser.lines
+    aside = [not parser.aside.isdisjoint(path) for *_, path in lines]
+    marks = [frozenset(parser.marked.intersection(path)) for *_, path in lines]
+    lifted: set[int] = set()
+    while True:
+        left = [m - lifted for m in marks]
+        mass: Counter = Counter()
+        named = False
+        for (text, _, linked, path), m, a in zip(lines, left, aside, strict=True):
+            if len(m) <= 1 and not a:
+                mass[next(iter(m), 0)] += max(0, len(text) - linked)
+                named |= not m and not parser.roots.isdisjoint(path)
+        free = mass.pop(0, 0)
+        k, most = max(mass.items(), key=lambda x: (x[1], -x[0]), default=(0, 0))
+        if named or most <= 4 * free:
+            return [bool(m) or a for m, a in zip(left, aside, strict=True)]
+        lifted.add(k)
+
+
+def hinted(lines: list[tuple[str, int, int, tuple[int, ...]]], free: list[int], roots: set[int]) -> set[int]:
+    """Elements named article or main, siblings together, if they hold half of the free text; of nested ones the inner, if those hold nearly all."""
+
+    def mass(ids: set[int]) -> int:
+        return sum(max(0, len(lines[i][0]) - lines[i][2]) for i in free if not ids.isdisjoint(lines[i][3]))
+
+    roots = {k for k in roots if mass({k})}
+    if not roots or 2 * mass(roots) < sum(max(0, len(lines[i][0]) - lines[i][2]) for i in free):
+        return set()
+    for k in sorted(roots):
+        inner = {r for r in roots if r > k and any(k in lines[i][3] and r in lines[i][3] for i in free)}
+        if inner and mass(inner) >= 0.9 * mass({k}):
+            roots = roots - {k}
+    return roots
+
+
 def main_text(html: str) -> str:
-    """The article of a page; empty if nothing on it is content."""
+    """The article of a page; empty if nothing on it is content.
+
+    A line's score is the logarithm of its text-to-tag ratio, without text in
+    links; marked elements have none, and elements named article or main add to
+    theirs. Smoothed scores above their standard deviation make clusters.
+    Lines next to a cluster in its container, and headings right before it,
+    join it if their smoothed score is not far below.
+    """
     parser = Lines()
     parser.feed(html)
     parser.close()
     parser.flush()
     lines = parser.lines
-    if not any(not barred for _, _, _, barred, _ in lines):
+    bars = barred(parser)
+    free = [i for i, b in enumerate(bars) if not b]
+    if not free:
         return ""
-    # Text-to-tag ratio, without what stands in links or boilerplate.
-    ratios = np.array([0.0 if barred else (len(text) - min(linked, len(text))) / max(1, tags) for text, tags, linked, barred, _ in lines])
-    level = smoothed(ratios)
-    above = level >= min(float(level.std()), float(level.max()))
-    free = [i for i, line in enumerate(lines) if not line[3]]
-    content = [i for i in free if above[i]] or free
-    weight = {i: max(0, len(lines[i][0]) - lines[i][2]) for i in content}
-
-    def held(ids: set[int], among: list[int]) -> list[int]:
-        return [i for i in among if not ids.isdisjoint(lines[i][4])]
-
-    def mass(ids: set[int]) -> int:
-        return sum(weight[i] for i in held(ids, content))
-
-    # Elements named for it are a hint: they count if they hold most of the content, siblings together.
-    roots = {k for k in parser.roots if mass({k})}
-    if roots and 2 * mass(roots) >= sum(weight.values()):
-        # Of nested ones the inner, if those hold nearly all.
-        for k in sorted(roots):
-            inner = {r for r in roots if r > k and any(k in lines[i][4] for i in held({r}, content))}
-            if inner and mass(inner) >= 0.9 * mass({k}):
-                roots.discard(k)
-        return " ".join(lines[i][0] for i in held(roots, free))
-    # The clusters' common container; on a whole page its parts that have some, and what stands between.
-    paths = [[k for k in lines[i][4] if k in parser.containers] for i in content]
-    common = set(paths[0]).intersection(*paths)
-    best = max(common, default=0)
-    inside = set(held({best}, free)) if best else set(free)
-    if best in parser.pages:
-        parts = {next((k for k in path if k not in common), best) for path in paths}
-        if best not in parts:
-            inside = set(held(parts, free)) | {i for i in free if content[0] < i < content[-1]}
-    own = [2 * linked <= len(text) for text, _, linked, _, _ in lines]
-    prose = [not parser.paragraphs.isdisjoint(path) for *_, path in lines]
-    chosen = set(content) | {i for i in inside if own[i] or prose[i]}
-    # Headings and paragraphs right before and after, in whatever container, up to the first other line.
-    for at, step in ((min(chosen), -1), (max(chosen), 1)):
-        while 0 <= (at := at + step) < len(lines) and not lines[at][3] and own[at] and prose[at]:
-            chosen.add(at)
+    scores = np.array([0.0 if b else np.log1p(max(0, len(text) - linked) / max(1, tags)) for (text, tags, linked, _), b in zip(lines, bars, strict=True)])
+    for i in free:
+        if scores[i] and not parser.headings.isdisjoint(lines[i][3]):
+            scores[i] += HEADING
+    roots = hinted(lines, free, parser.roots)
+    for i in free if roots else ():
+        scores[i] = scores[i] * ELSEWHERE if roots.isdisjoint(lines[i][3]) else scores[i] + INSIDE
+    level = smoothed(scores)
+    high = min(float(level.std()), float(level.max()))
+    chosen = {i for i in free if level[i] >= high} or set(free)
+    home = {i: max((k for k in lines[i][3] if k in parser.containers), default=0) for i in free}
+    # Along free lines in both directions, so that a line joins one that has joined.
+    for order in (free, free[::-1]):
+        for before, i in zip(order, order[1:]):
+            near = home[i] == home[before] or order is not free and not parser.headings.isdisjoint(lines[i][3])
+            if before in chosen and near and level[i] >= NEXT * high:
+                chosen.add(i)
     return " ".join(lines[i][0] for i in sorted(chosen))
 
 
@@ -185,7 +235,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     A null or empty html, and a page without content, give an empty text.
     Unclosed and stray tags are taken as browsers take them, as far as blocks
-    go. Repeated rows are each returned; extra columns are ignored.
+    go. A page of any length is parsed whole, in a batch of its own. Repeated
+    rows are each returned; an empty table gives no rows; extra columns are
+    ignored, whatever their names.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return pages.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -1,6 +1,9 @@
 import html
 import re
 
+import numpy as np
+
+from loomline.llm import html_extract
 from loomline.llm.html_extract import extract, main_text
 
 SCHEMA = "html string, page_id long, url string, text int"
@@ -63,3 +66,30 @@ def test_sibling_articles_are_kept_and_a_small_one_is_only_a_hint():
     assert main_text(page(two)) == f"{LONG.strip()} {SHORT} {LONG[:300].strip()}"
     small = f"<article><p>{SHORT}</p></article><div><p>{LONG}</p><p>{LONG}</p></div>"
     assert main_text(page(small)).count(LONG.strip()) == 2
+
+
+def body(text, head=""):
+    return f"<html><body><nav><a href=/a>A</a></nav>{head}{text}<footer>me</footer></body></html>"
+
+
+def test_names_mark_boilerplate_only_as_a_whole():
+    prose = f"<h1>Title</h1><p>{LONG}</p><p>{SHORT}</p>"
+    want = f"Title {LONG.strip()} {SHORT}"
+    for name in ("layout has-sidebar", "no-comments", "ad-free content", "notice-board", "post social-post"):
+        assert main_text(body(f'<div class="{name}">{prose}</div>')) == want, name
+    for name in ("sidebar", "ad", "site-header", "cookie-notice", "post-comments", "footer-links", "box related-posts"):
+        assert main_text(body(f'<div>{prose}</div><div class="{name}"><p>{SHORT}</p></div>')) == want, name
+    assert main_text(f"<body><form action=/x><div>{prose}<input name=q><select><option>no</select></div></form></body>") == want
+    assert main_text(body(f"<article><header><h1>Title</h1></header><p>{LONG}</p><p>{SHORT}</p></article>", "<header><h2>Site</h2></header>")) == want
+
+
+def test_levels_decide(monkeypatch):
+    """With random levels most pages come out otherwise; a block of short lines is left out by its level alone."""
+    rng = np.random.default_rng(2)
+    plain = "".join(f"<p>{LONG[: 100 + 37 * k]}</p>" for k in range(12))
+    links = "<div>" + "".join(f"<span>Go</span><br><b>to</b><br><i>{k}</i><br>" for k in range(9)) + "</div>"
+    text = body(f"<div>{plain}</div>{links}")
+    want = " ".join(LONG[: 100 + 37 * k].strip() for k in range(12))
+    assert main_text(text) == want
+    monkeypatch.setattr(html_extract, "smoothed", lambda x: rng.random(len(x)))
+    assert sum(main_text(text) != want for _ in range(20)) > 10
