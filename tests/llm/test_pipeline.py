@@ -50,3 +50,35 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
 
     assert check(stage("packing", fourth).collect(), {r[0]: r[1] for r in rows(fourth)}, 4096) < 0.02
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, spark.read.parquet(str(tmp_path / "packing")).collect()))
+
+
+def odd(spark):
+    """Nulls in any column, empty and long texts, repeated rows, and columns whose names the operators use themselves."""
+    long = " ".join(f"word{i % 4999} of the" for i in range(60_000))
+    plain = [" ".join(f"{'abcdefgh'[(k * i) % 8]}{i % 13}the" for i in range(60)) for k in (1, 3, 5)]
+    rows = [(i, plain[i % 3] + f" tail{i}", "en", "s", 5) for i in range(12)]
+    rows += [(100, None, "en", "s", None), (101, "", None, None, 0), (None, plain[0], "en", "s", 1), (None, None, None, None, None), (102, long, "en", "s", 9), (103, "x" * 100_000, "de", None, 9), (3, plain[1], "en", "s", 5), (3, plain[1], "en", "s", 5)]
+    return spark.createDataFrame([(*r, 1, "w", 0.5, "k", True, 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, score int, word string, kept double, phrase string, held boolean, start int")
+
+
+def test_each_stage_on_odd_rows_and_on_none(spark):
+    docs = odd(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    steps = dict(corpus_pipeline.STAGES)
+
+    def ids(df):
+        return sorted((r.doc_id is not None, r.doc_id or 0, len(r.text or "")) for r in df.collect())
+
+    all_rows = ids(docs)
+    assert ids(steps["toxicity"](spark, docs, SF)) == all_rows
+    kept = ids(steps["quality rules"](spark, docs, SF))
+    assert set(kept) <= set(all_rows) and all(n for _, _, n in kept) and sum(k == 3 for _, k, _ in kept) in (0, 1, 3)
+    one = steps["SimHash near-dedup"](spark, docs, SF)
+    assert one.columns == corpus_pipeline.COLUMNS
+    assert sum(not n for _, _, n in ids(one)) == 1 and sum(k == 3 for _, k, _ in ids(one)) <= 2
+    cut = steps["substring dedup"](spark, docs, SF)
+    assert cut.columns == corpus_pipeline.COLUMNS and cut.count() == docs.count()
+    assert [r.text for r in cut.where("doc_id in (100, 101)").collect()] == ["", ""]
+    pieces = steps["packing"](spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in pieces) == docs.count()
