@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; one is set only where there is none, as in local tests."""
+    """The session's spark.checkpoint.dir; one is set only where there is none and all runs on this machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -18,6 +20,12 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that this library wrote and nothing reads any more, on whatever file system it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder; later steps start from there, also after executors are lost."""
     shared_dir(df.sparkSession)
