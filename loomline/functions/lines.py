@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,13 +39,16 @@ def without(every: Column, pattern: str) -> Column:
     return F.transform(let, lambda k: F.filter(k, lambda x, i: (F.trim(x) != "") | (i == 0) | (F.trim(F.get(k, F.greatest(i - 1, F.lit(0)))) != "")))[0]
 
 
-def open_before(every: Column, mark: str, skip: Column | None = None) -> Column:
-    """For each line, whether an odd number of `mark` lies before it: one pass over the array.
+def open_before(every: Column, mark: str, skip: Callable[[Column], Column] | None = None) -> Column:
+    """For each line, whether an odd number of `mark`, not behind a backslash, lies before it.
 
-    `skip`, an array of booleans, names lines whose marks don't count.
+    Lines that `skip` is true of count for nothing. Linear in the text: what
+    lies between an odd mark and the next gets a sign behind each of its breaks.
     """
-    size = len(mark)
-    skipped = skip if skip is not None else F.transform(every, lambda x: F.lit(False))
-    counted = F.zip_with(every, skipped, lambda x, s: F.when(s, 0).otherwise(((F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit("")))) / size).cast("int")))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("out"))
-    return F.aggregate(counted, start, lambda s, c: F.struct((s["n"] + c).alias("n"), F.concat(s["out"], F.array(s["n"] % 2 == 1)).alias("out")), lambda s: s["out"])
+    sign = "\x01"
+    bare = F.transform(every, lambda x: F.replace(F.replace(x, F.lit(sign), F.lit("")), F.lit("\\" + mark), F.lit("")))
+    if skip is not None:
+        bare = F.transform(bare, lambda x: F.when(skip(x), F.replace(x, F.lit(mark), F.lit(""))).otherwise(x))
+    parts = F.split(F.array_join(bare, "\n"), re.escape(mark), -1)
+    signed = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit("\n"), F.lit("\n" + sign))).otherwise(x)), "")
+    return F.transform(F.split(signed, "\n", -1), lambda x: x.startswith(sign))

@@ -101,3 +101,22 @@ def matches_any(path: Column | str, globs: list[str]) -> Column:
     if not globs:
         return F.lit(False)
     return _col(path).rlike("|".join(f"(?:{glob_regex(g)})" for g in globs))
+
+
+def glob_root(glob: Column) -> Column:
+    """The folder before a glob's first wildcard; a glob without one stands for its own folder."""
+    return F.regexp_replace(F.regexp_extract(glob, r"^[^*?{\[]*", 0), r"/?[^/]*\z", "")
+
+
+def glob_pattern(glob: Column) -> Column:
+    """An anchored pattern for a column of globs, as `glob_regex` makes it of one; unclosed braces stand for themselves."""
+    out = F.regexp_replace(glob, r"([.+^$()|\[\]\\])", r"\\$1")
+    # Signs that no path has stand for stars while single ones are replaced.
+    out = F.regexp_replace(out, r"\*\*/", "\x01")
+    out = F.regexp_replace(out, r"\*\*", "\x02")
+    out = F.regexp_replace(F.regexp_replace(out, r"\*", "[^/]*"), r"\?", "[^/]")
+    out = F.replace(F.replace(out, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit(".*"))
+    for _ in range(3):
+        inner = F.regexp_extract(out, r"\{([^{}]*)\}", 1)
+        out = F.when(out.rlike(r"\{[^{}]*\}"), F.replace(out, F.concat(F.lit("{"), inner, F.lit("}")), F.concat(F.lit("(?:"), F.replace(inner, F.lit(","), F.lit("|")), F.lit(")")))).otherwise(out)
+    return F.concat(F.lit(r"\A"), F.regexp_replace(out, r"([{}])", r"\\$1"), F.lit(r"\z"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.paths import basename, dirname, extension, normalise, stem, suffixes
+from loomline.functions.paths import ancestors, basename, dirname, extension, normalise, prefixes, stem, suffixes
 
 LANGUAGES = {
     "javascript": (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts", ".vue", ".svelte"),
@@ -43,6 +46,8 @@ def _javascript(text: Column) -> Column:
         _all(text, r"""(?m)^\s*export\s+(?:type\s+)?[*{][^'"();]*?\sfrom\s*['"]([^'"\n]+)['"]""", "reexport"),
         _all(text, r"""\bimport\(\s*['"]([^'"\n]+)['"]\s*\)""", "dynamic"),
         _all(text, r"""\brequire\(\s*['"]([^'"\n]+)['"]\s*\)""", "require"),
+        _all(text, r"""\b(?:import\.meta\.glob|glob\.sync|globSync)\(\s*['"]([^'"\n]+)['"]""", "glob"),
+        F.transform(F.regexp_extract_all(text, F.lit(r"""\brequire\.context\(\s*['"]([^'"\n]+)['"]"""), F.lit(1)), lambda m: F.struct(F.concat(F.regexp_replace(m, r"/+\z", ""), F.lit("/**")).alias("module"), F.lit("glob").alias("kind"))),
     )
 
 
@@ -55,7 +60,10 @@ def _python(text: Column) -> Column:
         return F.transform(bare, lambda n: F.concat(s["a"], F.when(s["a"].endswith("."), "").otherwise("."), n))
 
     plain = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^[ \t]*import[ \t]+([^\n#]*)"), F.lit(1)), lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(y, r"^\s*([\w.]+)", 1))))
-    return F.concat(_kinds(plain, "import"), _kinds(F.transform(froms, lambda s: s["a"]), "from"), _kinds(F.flatten(F.transform(froms, names)), "submodule"))
+    # Modules named in strings, where a package loads them by name, and its folder where it loads what it is asked for.
+    named = F.when(text.rlike(r"\bimport_module\(|(?m)^def\s+__getattr__\("), F.regexp_extract_all(text, F.lit(r"""['"](\.?[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)['"]"""), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    folder = F.when(text.rlike(r"(?m)^def\s+__getattr__\("), F.array(F.lit("."))).otherwise(F.array().cast("array<string>"))
+    return F.concat(_kinds(plain, "import"), _kinds(F.transform(froms, lambda s: s["a"]), "from"), _kinds(F.flatten(F.transform(froms, names)), "submodule"), _kinds(named, "named"), _kinds(folder, "lazy"))
 
 
 def _go(text: Column) -> Column:
@@ -64,7 +72,20 @@ def _go(text: Column) -> Column:
 
 
 def _rust(text: Column) -> Column:
-    return F.concat(_all(text, r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?:r#)?(\w+)\s*;", "mod"), _all(text, r"\buse\s+crate::([\w:]+)", "use"))
+    braces = r"\buse\s+((?:crate|super|self)(?:::\w+)*)::\{([^{}]*)\}"
+    heads = F.arrays_zip(F.regexp_extract_all(text, F.lit(braces), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(braces), F.lit(2)).alias("b"))
+    inner = F.flatten(F.transform(heads, lambda s: F.transform(F.regexp_extract_all(s["b"], F.lit(r"(?:^|,)\s*([\w:]+)"), F.lit(1)), lambda n: F.concat(s["a"], F.lit("::"), n))))
+    return F.concat(
+        _all(text, r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?:r#)?(\w+)\s*;", "mod"),
+        _all(text, r"""#\[path\s*=\s*"([^"\n]+)"\]""", "path"),
+        _all(text, r"""\binclude!\(\s*"([^"\n]+)"\s*\)""", "path"),
+        _all(text, r"\buse\s+((?:crate|super|self)(?:::\w+)+)", "use"),
+        _kinds(inner, "use"),
+    )
+
+
+def _csharp(text: Column) -> Column:
+    return _all(text, r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([A-Z][\w.]*)\s*;", "using")
 
 
 def references(files: DataFrame, *keys: str) -> DataFrame:
@@ -77,61 +98,183 @@ def references(files: DataFrame, *keys: str) -> DataFrame:
         .when(lang.isin("java", "kotlin"), _all(text, r"(?m)^\s*import\s+(?:static\s+)?([\w.]+\*?)", "import"))
         .when(lang == "go", _go(text))
         .when(lang == "rust", _rust(text))
+        .when(lang == "csharp", _csharp(text))
     )
     rows = files.withColumn("language", language("path")).where("language is not null")
     return rows.select("path", *keys, "language", F.inline(F.array_distinct(found))).where("module <> ''")
 
 
+def is_upper_first(name: Column) -> Column:
+    """Whether the first character is its own upper case."""
+    return F.substring(name, 1, 1) == F.upper(F.substring(name, 1, 1))
+
+
+def _listed(blocks: Column) -> Column:
+    """Names that lists in braces offer: the last word of each item."""
+    return F.flatten(F.transform(blocks, lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(y, r"([\w$]+)\s*$", 1))))
+
+
 def exports(files: DataFrame) -> DataFrame:
-    """(path, name) of symbols that JavaScript and Python files offer."""
+    """(path, name, is_direct) of symbols that files offer; not direct: handed on from another file."""
     text, lang = F.coalesce(F.col("content"), F.lit("")), language("path")
 
     def every(pattern: str) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
-    lists = F.flatten(F.transform(every(r"(?m)^\s*export\s*\{([^}]*)\}(?!\s*from)"), lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(y, r"(\w+)\s*$", 1))))
-    script = F.concat(every(r"(?m)^\s*export\s+(?:declare\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([\w$]+)"), lists, F.transform(every(r"(?m)^\s*export\s+(default)\b"), lambda x: x))
+    script = F.concat(
+        every(r"(?m)^\s*export\s+(?:declare\s+)?(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\*?|class|const|let|var|interface|type|enum|namespace)\s+([\w$]+)"),
+        _listed(every(r"(?m)^\s*export\s*(?:type\s*)?\{([^}]*)\}(?!\s*from)")),
+        every(r"(?m)^\s*export\s+(default)\b"),
+        # CommonJS: single names, and the keys of an object.
+        every(r"(?m)^\s*(?:module\.)?exports\.([A-Za-z_$][\w$]*)\s*="),
+        every(r"""\bdefineProperty\(\s*exports\s*,\s*['"]([\w$]+)['"]"""),
+        F.flatten(F.transform(every(r"(?m)^\s*module\.exports\s*=\s*\{([^{}]*)\}"), lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(y, r"^\s*([A-Za-z_$][\w$]*)", 1)))),
+    )
     listed = F.flatten(F.transform(every(r"(?m)^__all__\s*=\s*[\[(]([^\])]*)[\])]"), lambda x: F.regexp_extract_all(x, F.lit(r"""['"](\w+)['"]"""), F.lit(1))))
     python = F.when(F.size(listed) > 0, listed).otherwise(every(r"(?m)^(?:async\s+def|def|class)\s+([A-Za-z]\w*)"))
-    names = F.when(lang == "javascript", script).when(lang == "python", python)
-    return files.select("path", F.explode(F.array_distinct(names)).alias("name")).where("name <> ''")
+    java = every(r"(?m)^\s*public\s+(?:(?:static|final|abstract|sealed|strictfp)\s+)*(?:class|interface|enum|record|@interface)\s+(\w+)")
+    kotlin = every(r"(?m)^(?!\s*(?:private|internal)\b)(?:(?:public|open|abstract|sealed|data|inline|suspend|const|enum|annotation|value|operator|infix)\s+)*(?:fun\s+interface|class|interface|object|typealias|fun(?:\s*<[^>]*>)?|val|var)\s+(?:[\w<>?]+\.)?(\w+)")
+    go = F.filter(F.concat(every(r"(?m)^func\s+(?:\([^)]*\)\s*)?(\w+)"), every(r"(?m)^(?:type|var|const)\s+(\w+)")), is_upper_first)
+    rust = every(r"(?m)^\s*pub(?:\([^)]*\))?\s+(?:(?:async|unsafe|const|extern\s+\"[^\"]*\")\s+)*(?:fn|struct|enum|union|trait|mod|type|static(?:\s+mut)?|const)\s+(?:r#)?(\w+)")
+    sharp = every(r"(?m)^\s*(?:public|protected|internal)\s+(?:(?:static|sealed|abstract|partial|readonly|ref|unsafe|internal)\s+)*(?:class|interface|struct|enum|record(?:\s+struct|\s+class)?|delegate\s+[\w<>\[\]?]+)\s+(\w+)")
+    names = F.when(lang == "javascript", script)
+    for name, found in (("python", python), ("java", java), ("kotlin", kotlin), ("go", go), ("rust", rust), ("csharp", sharp)):
+        names = names.when(lang == name, found)
+    handed = F.when(lang == "javascript", F.concat(_listed(every(r"(?m)^\s*export\s*(?:type\s*)?\{([^}]*)\}\s*from")), every(r"(?m)^\s*export\s*\*\s*as\s+([\w$]+)\s+from"))).otherwise(F.array().cast("array<string>"))
+
+    def flagged(found: Column, direct: bool) -> Column:
+        return F.transform(F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))), lambda n: F.struct(n.alias("name"), F.lit(direct).alias("is_direct")))
+
+    return files.select("path", F.inline(F.concat(flagged(names, True), flagged(F.array_except(handed, F.coalesce(names, handed)), False)))).where("name <> ''")
+
+
+def imported_names(files: DataFrame) -> DataFrame:
+    """(path, module, name): what JavaScript and Python files take from a module: names as it offers them, `default`, `*` for all, and '' where it only runs."""
+    text, lang = F.coalesce(F.col("content"), F.lit("")), language("path")
+
+    def pairs(pattern: str, name: Callable[[Column], Column], module: int = 2, what: int = 1) -> Column:
+        both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(what)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(module)).alias("m"))
+        return F.flatten(F.transform(both, lambda s: F.transform(name(s["a"]), lambda n: F.struct(s["m"].alias("module"), n.alias("name")))))
+
+    def first_words(x: Column) -> Column:
+        return F.filter(F.transform(F.split(x, ","), lambda y: F.regexp_extract(y, r"^\s*(?:type\s+)?([\w$]+)", 1)), lambda n: n != "")
+
+    def one(value: str) -> Callable[[Column], Column]:
+        return lambda x: F.array(F.lit(value))
+
+    source = r"""\sfrom\s*['"]([^'"\n]+)['"]"""
+    script = F.concat(
+        pairs(r"(?m)^\s*import\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{([^}]*)\}" + source, first_words),
+        pairs(r"(?m)^\s*export\s+(?:type\s+)?\{([^}]*)\}" + source, first_words),
+        pairs(r"(?m)^\s*(import)\s+[\w$]+\s*(?:,[^'\";]*?)?" + source, one("default")),
+        pairs(r"(?m)^\s*(import|export)\s+(?:[\w$]+\s*,\s*)?\*(?:\s+as\s+[\w$]+)?" + source, one("*")),
+        pairs(r"""(?m)^\s*(import)\s*['"]([^'"\n]+)['"]""", one("")),
+        pairs(r"""\b(import|require)\(\s*['"]([^'"\n]+)['"]\s*\)""", one("*")),
+    )
+    froms = r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#]*)"
+    python = pairs(froms, lambda x: F.regexp_extract_all(F.regexp_replace(x, r"#[^\n]*|\bas\s+\w+", ""), F.lit(r"\w+|\*"), F.lit(0)), module=1, what=2)
+    found = F.when(lang == "javascript", script).when(lang == "python", python)
+    return files.select("path", F.inline(F.array_distinct(found)))
+
+
+#: Beginnings of definitions: functions, classes and the like, whose name is the first group.
+DEFINITIONS = {
+    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:abstract\s+)?(?:function\*?|class)\s+([\w$]+)|^\s*(?:export\s+)?(?:const|let|var)\s+([\w$]+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>",
+    "python": r"^\s*(?:async\s+def|def|class)\s+(\w+)",
+    "java": r"^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:class|interface|enum|record)\s+(\w+)",
+    "kotlin": r"^\s*(?:\w+\s+)*?(?:class|interface|object|fun)\s+(\w+)",
+    "go": r"^(?:func\s+(?:\([^)]*\)\s*)?|type\s+)(\w+)",
+    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+)*(?:fn|struct|enum|trait)\s+(\w+)",
+    "csharp": r"^\s*(?:\w+\s+)*?(?:class|interface|struct|record|enum)\s+(\w+)",
+}
+
+
+def definitions(files: DataFrame) -> DataFrame:
+    """(path, definitions): the definitions of each file by line: struct(line_no, name, size), where size is the characters up to the next one."""
+    every = F.split(F.coalesce("content", F.lit("")), "\n", -1)
+    lang, name = language("path"), lambda x, p: F.coalesce(*(F.nullif(F.regexp_extract(x, p, g + 1), F.lit("")) for g in range(re.compile(p).groups)))
+
+    def own(x: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for k, p in DEFINITIONS.items():
+            out = F.when(lang == k, name(x, p)).otherwise(out)
+        return out
+
+    found = F.filter(F.transform("__lines", lambda x, i: F.struct((i + 1).alias("line_no"), own(x).alias("name"))), lambda s: s["name"].isNotNull())
+    rows = files.where(lang.isNotNull()).select("path", every.alias("__lines")).select("path", "__lines", found.alias("__found"))
+    stop = lambda i: F.coalesce(F.get("__found", i + 1)["line_no"], F.size("__lines") + 1)
+    sized = F.transform("__found", lambda s, i: F.struct(s["line_no"].alias("line_no"), s["name"].alias("name"), F.length(F.array_join(F.slice("__lines", s["line_no"], stop(i) - s["line_no"]), "\n")).alias("size")))
+    return rows.select("path", F.array_sort(sized).alias("definitions")).where(F.size("definitions") > 0)
+
+
+#: Parts before the extension that name a platform.
+PLATFORMS = r"\.(?:ios|android|web|native|macos|windows)\z"
 
 
 def file_keys(paths: DataFrame) -> DataFrame:
-    """(key, target): by what references may name a file. p: path, s: end of a path, d: end of its folder's path."""
+    """(key, target): by what references may name a file. p: path, s: end of a path, f: folder, d: end of its folder's path, i: the folder above that of a package's initial file."""
     bare = stem("path")
     name = F.regexp_replace(basename("path"), r"\..*\z", "")
     folder = dirname("path")
-    keys = F.array(F.concat(F.lit("p:"), F.col("path")), F.concat(F.lit("p:"), bare), F.when(name.isin(*FOLDER_NAMES), F.concat(F.lit("p:"), folder)))
+    keys = F.array(F.concat(F.lit("p:"), F.col("path")), F.concat(F.lit("p:"), bare), F.concat(F.lit("p:"), F.regexp_replace(bare, PLATFORMS, "")), F.when(name.isin(*FOLDER_NAMES), F.concat(F.lit("p:"), folder)), F.concat(F.lit("f:"), folder), F.when(name == "__init__", F.concat(F.lit("i:"), dirname(folder))))
     ends = F.transform(suffixes(bare), lambda x: F.concat(F.lit("s:"), x))
     dirs = F.transform(suffixes(folder), lambda x: F.concat(F.lit("d:"), x))
     every = F.concat(F.filter(keys, lambda k: k.isNotNull()), ends, dirs)
     return paths.select(F.explode(F.array_distinct(every)).alias("key"), F.col("path").alias("target"))
 
 
-def reference_keys() -> Column:
-    """An array of struct(rank, key) for a row of `references`; external modules have keys that no file has."""
-    lang, module, folder = F.col("language"), F.col("module"), dirname("path")
+#: Packages of the languages themselves, which no tree holds.
+PLATFORM_PACKAGES = r"^(?:java|javax|jdk|sun|kotlin|kotlinx|android|androidx)\."
+
+
+def with_keys(refs: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, rank and key for each row of `references`: what file it may mean, the least rank first; external modules have keys that no file has.
+
+    Paths are normalised once, when the keys are rows.
+    """
+    rows = refs.select(*keep, F.inline(_candidates())).where("key is not null")
+    return rows.select(*keep, "rank", F.concat(F.substring("key", 1, 2), normalise(F.expr("substring(key, 3)"))).alias("key")).where("key is not null")
+
+
+def _candidates() -> Column:
+    """An array of struct(rank, key), where a key's path may have dots."""
+    lang, kind, module, folder = F.col("language"), F.col("kind"), F.col("module"), dirname("path")
+
+    def key(prefix: str, x: Column) -> Column:
+        return F.concat(F.lit(prefix), x)
 
-    def key(kind: str, x: Column) -> Column:
-        return F.concat(F.lit(kind), x)
+    def numbered(keys: Column) -> Column:
+        return F.transform(keys, lambda k, i: F.struct((i + 1).alias("rank"), k.alias("key")))
 
     def ranked(*keys: Column) -> Column:
-        every = F.array(*(F.struct(F.lit(i + 1).alias("rank"), k.alias("key")) for i, k in enumerate(keys)))
-        return F.filter(every, lambda s: s["key"].isNotNull())
+        return numbered(F.filter(F.array(*keys), lambda k: k.isNotNull()))
 
-    near = normalise(F.concat_ws("/", folder, module))
-    script = F.when(module.rlike(r"^\.\.?(?:/|\z)"), ranked(key("p:", near), F.when(extension(near).isin(*LANGUAGES["javascript"]), key("p:", stem(near)))))
-    script = script.when(module.startswith("/"), ranked(key("p:", normalise(module)))).otherwise(ranked(key("p:", module), key("p:", F.concat(F.lit("src/"), module))))
+    near = F.concat_ws("/", folder, module)
+    script = F.when(module.rlike(r"^\.\.?(?:/|\z)"), ranked(key("p:", near), F.when(extension(module).isin(*LANGUAGES["javascript"]), key("p:", stem(near)))))
+    script = script.when(module.startswith("/"), ranked(key("p:", module))).otherwise(ranked(key("p:", module), key("p:", F.concat(F.lit("src/"), module))))
+    script = F.when(kind != "glob", script)
     dots = F.length(F.regexp_extract(module, r"^\.*", 0))
     rest = F.translate(F.regexp_replace(module, r"^\.+", ""), ".", "/")
-    relative = normalise(F.concat_ws("/", folder, F.repeat(F.lit("../"), dots - 1), rest))
-    python = F.when(dots > 0, ranked(key("p:", relative))).otherwise(ranked(key("p:", rest), key("s:", rest)))
+    relative = F.concat_ws("/", folder, F.repeat(F.lit("../"), dots - 1), rest)
+    # The whole name, below the folders above the importer, nearest first; then without its last parts.
+    shorter = F.reverse(prefixes(rest, "/"))
+    below = F.flatten(F.transform(shorter, lambda r: F.transform(ancestors("path"), lambda d: F.concat(F.lit("p:"), d, F.when(d == "", "").otherwise("/"), r))))
+    ends = F.when(rest.contains("/"), F.array(key("s:", rest))).otherwise(F.array().cast("array<string>"))
+    python = F.when(dots > 0, ranked(key("p:", relative))).otherwise(numbered(F.concat(F.slice(below, 1, F.size(ancestors("path"))), ends, F.slice(below, F.size(ancestors("path")) + 1, F.size(below)))))
+    both = F.array(F.struct(F.lit(1).alias("rank"), key("f:", folder).alias("key")), F.struct(F.lit(1).alias("rank"), key("i:", folder).alias("key")))
+    python = F.when(kind == "lazy", both).otherwise(python)
     dotted = F.translate(module, ".", "/")
-    jvm = F.when(module.endswith(".*"), ranked(key("d:", F.regexp_replace(dotted, r"/\*\z", "")))).otherwise(ranked(key("s:", dotted), key("s:", dirname(dotted))))
-    ends = suffixes("module")
-    go = F.transform(ends, lambda x, i: F.struct((i + 1).alias("rank"), key("d:", x).alias("key")))
-    used = F.replace(module, F.lit("::"), F.lit("/"))
-    own = F.when(~F.regexp_replace(basename("path"), r"\..*\z", "").isin("main", "lib", "mod"), key("p:", normalise(F.concat_ws("/", stem("path"), module))))
-    rust = F.when(F.col("kind") == "mod", ranked(key("p:", normalise(F.concat_ws("/", folder, module))), own)).otherwise(ranked(key("s:", F.concat(F.lit("src/"), used)), key("s:", F.concat(F.lit("src/"), dirname(used)))))
-    return F.when(lang == "javascript", script).when(lang == "python", python).when(lang.isin("java", "kotlin"), jvm).when(lang == "go", go).when(lang == "rust", rust)
+    jvm = F.when(module.rlike(PLATFORM_PACKAGES), F.array().cast("array<struct<rank: int, key: string>>"))
+    jvm = jvm.when(module.endswith(".*"), ranked(key("d:", F.regexp_replace(dotted, r"/\*\z", "")), key("s:", F.regexp_replace(dotted, r"/\*\z", "")))).otherwise(ranked(key("s:", dotted), key("s:", dirname(dotted))))
+    ends_of = suffixes("module")
+    go = F.transform(ends_of, lambda x, i: F.struct((i + 1).alias("rank"), key("d:", x).alias("key")))
+    parts = F.split(module, "::")
+    used = F.array_join(F.slice(parts, 2, F.size(parts)), "/")
+    # The module's own folder: that of main, lib and mod is where they lie, that of others is named like them.
+    own = F.when(F.regexp_replace(basename("path"), r"\..*\z", "").isin("main", "lib", "mod"), folder).otherwise(stem("path"))
+    base = F.when(parts[0] == "self", own).when(parts[0] == "super", dirname(own))
+    crate = ranked(key("s:", F.concat(F.lit("src/"), used)), key("s:", F.concat(F.lit("src/"), dirname(used))))
+    at = F.concat_ws("/", base, used)
+    rust = F.when(kind == "mod", ranked(key("p:", F.concat_ws("/", own, module)))).when(kind == "path", ranked(key("p:", near))).when(parts[0] == "crate", crate).otherwise(ranked(key("p:", at), key("p:", dirname(at))))
+    sharp = ranked(key("s:", dotted), key("d:", dotted))
+    return F.when(lang == "javascript", script).when(lang == "python", python).when(lang.isin("java", "kotlin"), jvm).when(lang == "go", go).when(lang == "rust", rust).when(lang == "csharp", sharp)

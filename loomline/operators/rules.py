@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.lines import is_comment, numbered
+from loomline.functions.lines import is_comment, lines, open_before
 
 LEVELS = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A pattern that Java and RE2 read alike; `languages` empty: all."""
+    """A pattern that Java and RE2 read alike; `languages` empty: all. `gate`: strings of which what matches has one, if there are such."""
 
     id: str
     pattern: str
@@ -22,6 +24,14 @@ class Rule:
     group: str = ""
     confidence: float = 1.0
     languages: tuple[str, ...] = ()
+    gate: tuple[str, ...] = ()
+
+    def hits(self, text: Column) -> Column:
+        """Whether the text matches; a search for the gate's strings comes first, as it is much cheaper than a pattern."""
+        out = text.rlike(self.pattern)
+        if self.gate:
+            out = reduce(or_, (text.contains(x) for x in self.gate)) & out
+        return out
 
 
 def rank(severity: Column) -> Column:
@@ -40,7 +50,7 @@ def first_match(text: Column, rules: list[Rule], language: Column | None = None)
     """The place in `rules` of the first rule that matches; null if none does."""
     out = F.lit(None).cast("int")
     for i in reversed(range(len(rules))):
-        hit = text.rlike(rules[i].pattern)
+        hit = rules[i].hits(text)
         if rules[i].languages and language is not None:
             hit = language.isin(*rules[i].languages) & hit
         out = F.when(hit, i).otherwise(out)
@@ -52,16 +62,28 @@ def attribute(place: Column, rules: list[Rule], name: str) -> Column:
     return F.get(F.array(*(F.lit(getattr(r, name)) for r in rules)), place)
 
 
-def scan_lines(df: DataFrame, rules: list[Rule], text: str, *keys: str, comments: bool = True, language: str | None = None) -> DataFrame:
+#: Lines that show rather than do, and lines after such lines.
+EXAMPLE = r"(?i)\bfor example\b|\bexample:|\be\.g\.|@example\b|<(?:code|pre|samp)\b|^\s*```"
+
+
+def scan_lines(df: DataFrame, rules: list[Rule], text: str, *keys: str, comments: bool = True, language: str | None = None, quiet: bool = False) -> DataFrame:
     """One row per line that a rule matches: keys, line_no, line (120 characters), rule, severity, group.
 
-    Texts without any match are dropped before their lines are made, by one
-    alternation of all rules; the rest needs no shuffle either.
+    Texts that no rule can match are dropped before their lines are made; the
+    rest needs no shuffle either. Without `comments`, comment lines are left out;
+    `quiet` leaves out lines that begin within a template literal, and examples:
+    lines with a mark of one, and the line after.
     """
-    some = "|".join(f"(?:{r.pattern})" for r in rules)
-    rows = numbered(df.where(F.col(text).rlike(f"(?m:{some})")), text, *keys)
+    some = reduce(or_, (reduce(or_, (F.col(text).contains(x) for x in r.gate)) if r.gate else F.col(text).rlike(f"(?m){r.pattern}") for r in rules))
+    every = lines(F.col(text))
+    inside = open_before(every, "`", is_comment) if quiet else F.transform(every, lambda x: F.lit(False))
+    rows = df.where(some).select(*keys, every.alias("__lines"), inside.alias("__inside"))
+    cells = F.transform("__lines", lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("line"), F.when(i > 0, F.get("__lines", i - 1)).otherwise("").alias("previous"), F.get("__inside", i).alias("inside")))
+    rows = rows.select(*keys, F.explode(cells).alias("__l")).select(*keys, "__l.*")
     if not comments:
         rows = rows.where(~is_comment(F.col("line")))
+    if quiet:
+        rows = rows.where(~(F.col("inside") | F.col("line").rlike(EXAMPLE) | F.col("previous").rlike(EXAMPLE)))
     found = rows.withColumn("__rule", first_match(F.col("line"), rules, F.col(language) if language else None)).where("__rule is not null")
     return found.select(*keys, "line_no", F.substring(F.trim("line"), 1, 120).alias("line"), *(attribute(F.col("__rule"), rules, a).alias(b) for a, b in (("id", "rule"), ("severity", "severity"), ("group", "rule_group"))))
 

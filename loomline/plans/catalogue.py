@@ -16,10 +16,10 @@ ORACLES: dict[str, str] = {}
 
 #: What documents are searched for; first match wins.
 TEXT_RULES = [
-    Rule("token", 'token = "[0-9a-f]{40}"', "CRITICAL", "CWE-798", 0.85),
-    Rule("email", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z.]+", "HIGH", "CWE-359", 0.9),
+    Rule("token", 'token = "[0-9a-f]{40}"', "CRITICAL", "CWE-798", 0.85, gate=('token = "',)),
+    Rule("email", r"[A-Za-z0-9._+-]+@[A-Za-z0-9-]+\.[A-Za-z.]+", "HIGH", "CWE-359", 0.9, gate=("@",)),
     Rule("ipv4", r"(?:^|[^0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?:[^0-9.]|$)", "MEDIUM", "CWE-200", 0.9),
-    Rule("phone", r"\([0-9]{3}\)|\+[0-9]{1,3}[ -][0-9]", "LOW", "CWE-359", 0.7),
+    Rule("phone", r"\([0-9]{3}\)|\+[0-9]{1,3}[ -][0-9]", "LOW", "CWE-359", 0.7, gate=("(", "+")),
     Rule("licence", "(?i)licen[cs]e", "LOW", "notice", 0.95),
 ]
 #: How near to what matters a page lies.

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.paths import ancestors, dirname, matches_any, normalise, prefixes
-from loomline.functions.references import exports, file_keys, language, reference_keys, references
+from loomline.functions.references import exports, file_keys, language, references, with_keys
 from loomline.operators import graph, rules
 from loomline.operators.lineage import cut
 from loomline.operators.rules import Rule
+from loomline.plans import configs, manifests
 
 #: Why a path is an entry point; the first that matches is the reason.
 ENTRY_PATHS = [
@@ -41,57 +43,76 @@ VETO = r"(?i)(?:^|/)(?:dead|deprecated|legacy|old|unused)[-_][^/]*|(?i)(?:^|/)de
 GENERATED_PATH = r"(?:^|/)(?:generated|__generated__)/|\.(?:generated|gen|pb)\.[a-z]+\z|_pb2(?:_grpc)?\.py\z"
 GENERATED_TEXT = r"(?i)@generated|do not edit|automatically generated|code generated by"
 KEEP = r"(?i)do not delete"
-SCRIPT = ("javascript",)
-#: Lines that deserve a look, by weakness (cwe.mitre.org); the first that matches a line counts.
+JS, PY, JVM = ("javascript",), ("python",), ("java", "kotlin")
+#: Lines that deserve a look, by language; the first that matches a line counts. Chosen from the checks that public linters
+#: document (Bandit, gosec, ESLint's security plugin, Find Security Bugs, the .NET analyzers), with the number of their
+#: weakness (cwe.mitre.org). Levels: CRITICAL where input becomes code or a secret lies open, HIGH where input reaches a
+#: parser, a query or a page, MEDIUM where protection is weak or off, LOW where the code tells more than it should.
 CODE_RULES = [
-    Rule("shell-command", r"\bchild_process\b.*\bexec(?:Sync)?\(", "CRITICAL", "CWE-78", languages=SCRIPT),
-    Rule("shell-option", r"\bspawn(?:Sync)?\(.*shell\s*:\s*true", "CRITICAL", "CWE-78", languages=SCRIPT),
-    Rule("python-process", r"\bos\.(?:system|popen)\(|\bsubprocess\.\w+\(", "CRITICAL", "CWE-78", languages=("python",)),
-    Rule("go-process", r"\bexec\.Command(?:Context)?\(", "CRITICAL", "CWE-78", languages=("go",)),
-    Rule("eval", r"(?:^|[^\w.])eval\(", "CRITICAL", "CWE-94", languages=("javascript", "python")),
-    Rule("function-constructor", r"\bnew\s+Function\(", "CRITICAL", "CWE-94", languages=SCRIPT),
-    Rule("secret-literal", r"""(?i)\b(?:password|passwd|secret|api_?key)\b['"]?\s*[:=]\s*['"][^'"]{4,}['"]""", "CRITICAL", "CWE-798"),
-    Rule("aws-key", r"\bAKIA[0-9A-Z]{16}\b", "CRITICAL", "CWE-798"),
-    Rule("private-key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "CRITICAL", "CWE-798"),
-    Rule("request-path", r"\b(?:join|readFile(?:Sync)?|createReadStream)\(.*\breq\.(?:params|query|body)", "HIGH", "CWE-22", languages=SCRIPT),
-    Rule("pickle", r"\bpickle\.loads?\(", "HIGH", "CWE-502", languages=("python",)),
-    Rule("yaml-load", r"\byaml\.load\((?![^)]*Safe)", "HIGH", "CWE-502", languages=("python",)),
-    Rule("inner-html", r"\.innerHTML\s*=|\bdangerouslySetInnerHTML\b|\bdocument\.write\(", "HIGH", "CWE-79", languages=SCRIPT),
-    Rule("request-fetch", r"\bfetch\(.*\breq\.(?:params|query|body)", "HIGH", "CWE-918", languages=SCRIPT),
-    Rule("weak-hash", r"""\bcreateHash\(\s*['"](?:md5|sha1)|\bhashlib\.(?:md5|sha1)\(""", "MEDIUM", "CWE-327", languages=("javascript", "python")),
-    Rule("logged-secret", r"(?i)\bconsole\.\w+\(.*(?:password|secret|token)", "LOW", "CWE-200", languages=SCRIPT),
+    Rule("private-key", r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", "CRITICAL", "CWE-321", gate=("PRIVATE KEY",)),
+    Rule("provider-token", r"\b(?:gh[pousr]_[A-Za-z0-9]{36}|glpat-[\w-]{20}|xox[abprs]-[\w-]{10,}|A(?:KI|SI)A[A-Z2-7]{16}|AIza[\w-]{35}|sk-[A-Za-z0-9]{20,})\b", "CRITICAL", "CWE-798"),
+    Rule("secret-literal", r"""(?i)\b\w*(?:passw(?:or)?d|passphrase|secret|credential|api_?key)\w*['"]?\s*(?::=|=>|[:=])\s*['"][^'"\s]{6,}['"]""", "CRITICAL", "CWE-798"),
+    Rule("eval", r"(?:^|[^\w.])(?:eval|exec)\(", "CRITICAL", "CWE-95", languages=PY, gate=("eval(", "exec(")),
+    Rule("process", r"\bshell\s*=\s*True\b|\bos\.(?:system|popen|exec[lv]p?e?)\(|\bcommands\.getoutput\(", "CRITICAL", "CWE-78", languages=PY),
+    Rule("pickle", r"\b(?:c?[Pp]ickle|dill|shelve|marshal|jsonpickle)\.(?:loads?|open|decode|Unpickler)\(", "HIGH", "CWE-502", languages=PY),
+    Rule("yaml-load", r"\byaml\.(?:unsafe_load|full_load)\(|\byaml\.load\((?!.*Safe)", "HIGH", "CWE-502", languages=PY, gate=("yaml.",)),
+    Rule("sql-text", r"""(?i)\bexecute(?:many)?\(\s*(?:f['"]|['"](?:select|insert|update|delete)\b[^'"]*['"]\s*(?:%|\+|\.format))""", "HIGH", "CWE-89", languages=PY),
+    Rule("unverified", r"\bverify\s*=\s*False\b|\b_create_unverified_context\b|\bCERT_NONE\b", "MEDIUM", "CWE-295", languages=PY),
+    Rule("temporary-name", r"\btempfile\.mktemp\(", "MEDIUM", "CWE-377", languages=PY),
+    Rule("eval", r"(?:^|[^\w.])eval\(|\bnew\s+Function\(|\bset(?:Timeout|Interval)\(\s*['\"`]|\bvm\.(?:runIn\w+|compileFunction)\(", "CRITICAL", "CWE-95", languages=JS),
+    Rule("process", r"\bexec(?:Sync)?\(\s*(?:`|[^'\"`)]*\+)|\bshell\s*:\s*true\b|\bchild_process\b.*\bexec(?:Sync)?\(", "CRITICAL", "CWE-78", languages=JS),
+    Rule("inner-html", r"\.(?:inner|outer)HTML\s*\+?=[^=]|\binsertAdjacentHTML\(|\bdangerouslySetInnerHTML\b|\bdocument\.write(?:ln)?\(|\bv-html\b|\bbypassSecurityTrust\w+\(", "HIGH", "CWE-79", languages=JS),
+    Rule("request-path", r"\b(?:readFile|createReadStream|sendFile|unlink|join|resolve)\w*\([^)]*\breq(?:uest)?\.(?:params|query|body|headers)", "HIGH", "CWE-22", languages=JS, gate=("req",)),
+    Rule("request-url", r"\b(?:fetch|axios(?:\.\w+)?|got|request|https?\.get)\([^)]*\breq(?:uest)?\.(?:params|query|body)", "HIGH", "CWE-918", languages=JS, gate=("req",)),
+    Rule("sql-text", r"""(?i)\.query\(\s*(?:`[^`]*\$\{|['"](?:select|insert|update|delete)\b[^'"]*['"]\s*\+)""", "HIGH", "CWE-89", languages=JS),
+    Rule("weak-random", r"\b(?i:\w*(?:token|secret|password|session|nonce)\w*)\s*=.*\bMath\.random\(", "MEDIUM", "CWE-338", languages=JS, gate=("Math.random",)),
+    Rule("told-error", r"\bres(?:ponse)?\.(?:send|json|end|write)\([^)]*\b(?:stack|err(?:or)?\.message)\b", "LOW", "CWE-209", languages=JS),
+    Rule("logged-secret", r"\bconsole\.\w+\([^)]*(?i:passw|secret|token|credential)", "LOW", "CWE-532", languages=JS, gate=("console.",)),
+    Rule("process", r"\bexec\.Command(?:Context)?\([^)]*(?:\+|Sprintf|\"(?:ba|z)?sh\")", "CRITICAL", "CWE-78", languages=("go",), gate=("exec.Command",)),
+    Rule("unverified", r"\bInsecureSkipVerify\s*:\s*true\b", "MEDIUM", "CWE-295", languages=("go",)),
+    Rule("process", r"\.exec\([^)]*\+|\bnew\s+ProcessBuilder\([^)]*\+", "CRITICAL", "CWE-78", languages=JVM),
+    Rule("object-stream", r"\bnew\s+ObjectInputStream\(|\bXMLDecoder\(|\.readObject\(", "HIGH", "CWE-502", languages=JVM),
+    Rule("sql-text", r"""(?i)\b(?:execute(?:Query|Update)?|prepareStatement)\(\s*"[^"]*"\s*\+""", "HIGH", "CWE-89", languages=JVM),
+    Rule("object-stream", r"\b(?:BinaryFormatter|NetDataContractSerializer|LosFormatter|SoapFormatter)\b|\bTypeNameHandling\.(?:All|Auto|Objects)\b", "HIGH", "CWE-502", languages=("csharp",)),
+    Rule("unsafe", r"^\s*(?:pub\s+)?unsafe\s+(?:fn|impl|trait)\b|\bunsafe\s*\{|\btransmute(?:::<[^>]*>)?\(", "MEDIUM", "CWE-119", languages=("rust",), gate=("unsafe", "transmute")),
+    Rule("weak-hash", r"""(?i)\b(?:createHash|createHmac|getInstance|hashlib\.new)\(\s*['"](?:md[245]|sha-?1)['"]|\bhashlib\.(?:md5|sha1)\(|\b(?:md5|sha1)\.(?:New|Sum)\(|\b(?:MD5|SHA1)(?:CryptoServiceProvider|Managed)?\.Create\(""", "MEDIUM", "CWE-328"),
+    Rule("weak-cipher", r"""(?i)['"](?:des|des-?ede3?|rc[24]|bf|blowfish|aes[\w-]*/?ecb)[/'"-]|\b(?:DES|RC4|RC2|Blowfish|ARC4)\.(?:new|Create)\(""", "MEDIUM", "CWE-327"),
 ]
-#: Folders near which a finding weighs more.
+#: Folders near which a finding weighs more, by the risks of the OWASP Top 10 of 2021 that what they hold is exposed to.
+#: Who gets in, and what must stay secret (A02, A07): one slip opens everything. What moves money or grants rights (A01,
+#: A04): a slip costs those it concerns. What takes input from outside (A03, A08, A10): where a slip is reached from.
 NEAR = [
-    Rule("access", r"(?i)(?:^|/)(?:auth|login|oauth|sso|rbac|jwt|secrets?|crypto|encryption|payments?)/", "CRITICAL"),
-    Rule("admin", r"(?i)(?:^|/)(?:admin|billing|checkout|acl|permissions?|tokens?|uploads?|webhooks?)/", "HIGH"),
-    Rule("surface", r"(?i)(?:^|/)(?:api|graphql|middleware)/", "MEDIUM"),
+    Rule("identity", r"(?i)(?:^|/)(?:auth\w*|identity|login|signin|sessions?|passwords?|mfa|sso|saml|oidc)/", "CRITICAL"),
+    Rule("keys", r"(?i)(?:^|/)(?:crypto\w*|keys|keystore|secrets?|vault|certs?|certificates)/", "CRITICAL"),
+    Rule("rights", r"(?i)(?:^|/)(?:admin\w*|access|policies|policy|roles|grants|tenants?)/", "HIGH"),
+    Rule("money", r"(?i)(?:^|/)(?:payments?|payouts?|invoices?|wallets?|ledger|orders)/", "HIGH"),
+    Rule("input", r"(?i)(?:^|/)(?:api|rest|rpc|graphql|handlers|controllers|endpoints|gateway|upload\w*|parsers?|templates)/", "MEDIUM"),
 ]
 
 
 @dataclass(frozen=True)
 class Options:
-    """Globs that are always live, globs left out of results, more paths of entry points, and whether generated files are reported."""
+    """Globs that are always live, globs left out of results, more paths of entry points, whether generated files are reported, and whether `all` or only `dead` files are searched for findings."""
 
     live: list[str] = field(default_factory=list)
     ignore: list[str] = field(default_factory=list)
     entries: list[tuple[str, str]] = field(default_factory=list)
     report_generated: bool = False
+    #: Beside the usual ones: paths that are generated, decorators and container calls (with the type's name as first group) that make live, fields of manifests that name files.
+    generated: list[str] = field(default_factory=list)
+    decorators: list[str] = field(default_factory=list)
+    containers: list[str] = field(default_factory=list)
+    manifest_fields: list[str] = field(default_factory=list)
+    scope: str = "all"
 
 
-def manifest_entries(files: DataFrame) -> DataFrame:
-    """(path, reason): files that package manifests name as main, module, source or bin, or run in their scripts."""
-    rows = files.where(F.col("path").rlike(r"(?:^|/)package\.json\z")).select(dirname("path").alias("dir"), F.col("content").alias("json"))
-    fields = [F.struct(F.get_json_object("json", f"$.{k}").alias("file"), F.lit(f"manifest {k}").alias("reason")) for k in ("main", "module", "source", "types", "bin")]
-    maps = F.from_json(F.get_json_object("json", "$.bin"), "map<string,string>")
-    scripts = F.flatten(F.transform(F.map_values(F.from_json(F.get_json_object("json", "$.scripts"), "map<string,string>")), lambda s: F.regexp_extract_all(s, F.lit(r"(?:^|\s)(\.?[\w./-]+\.[cm]?[jt]sx?)(?=\s|$)"), F.lit(1))))
-    every = F.concat(F.array(*fields), F.transform(F.coalesce(F.map_values(maps), F.array().cast("array<string>")), lambda x: F.struct(x.alias("file"), F.lit("manifest bin").alias("reason"))), F.transform(F.coalesce(scripts, F.array().cast("array<string>")), lambda x: F.struct(x.alias("file"), F.lit("manifest script").alias("reason"))))
-    named = rows.select("dir", F.inline(every)).where("file is not null and file not like '{%'")
-    # Build output stands for the source it is made from.
-    where = normalise(F.concat_ws("/", F.nullif("dir", F.lit("")), "file"))
-    built = F.regexp_replace(where, r"(^|/)(?:dist|lib|build|out)/", "$1src/")
-    keys = named.select("reason", F.explode(F.array(where, F.regexp_replace(where, r"\.[^./]+\z", ""), built, F.regexp_replace(built, r"\.[^./]+\z", ""))).alias("key")).select("reason", F.concat(F.lit("p:"), "key").alias("key"))
-    return keys.join(file_keys(files.select("path")).where("key like 'p:%'"), "key").select(F.col("target").alias("path"), "reason").distinct()
+def field_entries(files: DataFrame, fields: list[str]) -> DataFrame:
+    """(path, reason): files that further fields of manifests name, in strings up to three levels deep."""
+    rows = manifests.manifests(files)
+    values = F.array(*(F.get_json_object("json", f"$.{f}") for f in fields))
+    paths = F.flatten(F.transform(F.filter(values, lambda x: x.isNotNull()), lambda x: F.when(x.rlike(r"^[\[{]"), F.regexp_extract_all(x, F.lit(r'"(\.?/?[\w@./-]+)"(?!\s*:)'), F.lit(1))).otherwise(F.array(x))))
+    keys = rows.select(F.explode(paths).alias("file"), "dir").select(F.explode(manifests.sources_of(manifests.at("dir", "file"))).alias("key"))
+    return keys.join(file_keys(files.select("path")).where("key like 'p:%'"), "key").select(F.col("target").alias("path"), F.lit("manifest field").alias("reason")).distinct()
 
 
 def page_entries(files: DataFrame) -> DataFrame:
@@ -105,49 +126,46 @@ def entries(files: DataFrame, options: Options = Options()) -> DataFrame:
     path, lang = F.col("path"), F.col("language")
     code = files.withColumn("language", language("path")).where("language is not null")
     checks = [(r, path.rlike(p)) for r, p in [*ENTRY_PATHS, *options.entries]] + [(r, (lang == x) & F.col("content").rlike(p)) for r, x, p in ENTRY_TEXTS]
+    if options.decorators:
+        checks.append(("decorator", F.col("content").rlike(r"(?m)^\s*[@\[](?:" + "|".join(re.escape(d) for d in options.decorators) + r")\b")))
     if options.live:
         checks.append(("dynamic", matches_any("path", options.live)))
     ranked = F.filter(F.array(*(F.when(hit, F.struct(F.lit(i).alias("rank"), F.lit(r).alias("reason"))) for i, (r, hit) in enumerate(checks))), lambda x: x.isNotNull())
     own = code.select("path", F.explode(ranked).alias("e")).select("path", "e.rank", "e.reason")
-    named = manifest_entries(files).union(page_entries(files)).union(framework_entries(files)).withColumn("rank", F.lit(len(checks))).select("path", "rank", "reason")
+    named = manifests.package_entries(files).union(page_entries(files)).union(framework_entries(files)).union(configs.configured_entries(files)).union(manifests.config_entries(files)).union(manifests.in_live_projects(files))
+    if options.manifest_fields:
+        named = named.union(field_entries(files, options.manifest_fields))
+    named = named.withColumn("rank", F.lit(len(checks))).select("path", "rank", "reason")
     every = own.union(named.join(code.select("path"), "path", "left_semi")).where(~path.rlike(VETO))
     return every.groupBy("path").agg(F.min(F.struct("rank", "reason"))["reason"].alias("reason"))
 
 
 def aliases(files: DataFrame) -> DataFrame:
-    """(dir, prefix, target): what module names that begin with `prefix` stand for in files below `dir`.
+    """(dir, prefix, target, place): what module names that begin with `prefix` stand for in files below `dir`; of several targets the one of least place.
 
-    From the paths and baseUrl (prefix empty) of TypeScript configurations, whose
-    comments and last commas are dropped outside strings, and from names of packages.
+    From compiler configurations and what they extend (prefix empty: baseUrl),
+    bundlers' tables, names of packages, and Go modules. A package with an
+    exports map is known by that, others by what is main, their folder, and its src.
     """
-    plain = F.regexp_replace(F.regexp_replace("content", r'(?s)("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', "$1"), r",(\s*[}\]])", "$1")
-    configs = files.where(F.col("path").rlike(r"(?:^|/)[jt]sconfig[^/]*\.json\z")).select(dirname("path").alias("dir"), plain.alias("json"))
-    configs = configs.select("dir", "json", F.get_json_object("json", "$.compilerOptions.baseUrl").alias("base"))
-    star = r"/?\*\z"
-
-    def below(*parts) -> Column:
-        return normalise(F.concat_ws("/", F.nullif("dir", F.lit("")), *parts))
-
-    paths = F.from_json(F.get_json_object("json", "$.compilerOptions.paths"), "map<string,array<string>>")
-    mapped = configs.select("dir", "base", F.explode(paths).alias("alias", "targets")).select("dir", "base", "alias", F.explode("targets").alias("to"))
-    mapped = mapped.select("dir", F.regexp_replace("alias", star, "").alias("prefix"), below("base", F.regexp_replace("to", star, "")).alias("target"))
-    based = configs.where("base is not null").select("dir", F.lit("").alias("prefix"), below("base").alias("target"))
-    packages = files.where(F.col("path").rlike(r"(?:^|/)package\.json\z")).select(dirname("path").alias("target"), F.get_json_object("content", "$.name").alias("prefix"))
-    named = packages.where("prefix is not null and target <> ''").select(F.lit("").alias("dir"), "prefix", F.explode(F.array("target", F.concat("target", F.lit("/src")))).alias("target"))
-    return mapped.union(based).union(named).where("target is not null").distinct()
+    packages = manifests.manifests(files).select(F.col("dir").alias("home"), *(F.get_json_object("json", f"$.{k}").alias(k) for k in ("name", "main", "exports"))).where("name is not null and exports is null and home <> ''")
+    main = F.regexp_replace(F.regexp_replace(manifests.at("home", "main"), r"(^|/)(?:dist|lib|build|out|esm|cjs)/", "$1src/"), r"\.[^./]+\z", "")
+    named = packages.select(F.lit("").alias("dir"), F.col("name").alias("prefix"), F.posexplode(F.array(main, "home", F.concat("home", F.lit("/src")))).alias("place", "target"))
+    every = manifests.config_aliases(files).union(configs.bundler_aliases(files)).union(manifests.export_aliases(files)).union(manifests.go_modules(files)).withColumn("place", F.lit(0))
+    return cut(every.union(named.select("dir", "prefix", "target", "place")).where("target is not null").distinct())
 
 
 def aliased_keys(refs: DataFrame, table: DataFrame) -> DataFrame:
-    """(path, module, kind, rank, key): script references that aliases rewrite; the nearest folder's longest alias ranks first.
+    """(path, module, kind, rank, key): script and Go references that aliases rewrite; the nearest folder's longest alias ranks first.
 
     Folders above and prefixes are exploded, so that this is a join on equality.
     """
-    bare = refs.where((F.col("language") == "javascript") & ~F.col("module").rlike(r"^[./]"))
-    probes = bare.select("path", "module", "kind", F.explode(ancestors("path")).alias("dir")).withColumn("prefix", F.explode(F.concat(prefixes("module", "/"), F.array(F.lit("")))))
+    bare = refs.where(F.col("language").isin("javascript", "go") & (F.col("kind") != "glob") & ~F.col("module").rlike(r"^[./]"))
+    probes = bare.select("path", "language", "module", "kind", F.explode(ancestors("path")).alias("dir")).withColumn("prefix", F.explode(F.concat(prefixes("module", "/"), F.array(F.lit("")))))
     hits = probes.join(table, ["dir", "prefix"])
-    rank = -(F.when(F.col("prefix") != "", 1_000_000).otherwise(0) + F.length("dir") * 500 + F.least(F.length("prefix"), F.lit(499)))
+    rank = F.col("place") - 4 * (F.when(F.col("prefix") != "", 1_000_000).otherwise(0) + F.length("dir") * 500 + F.least(F.length("prefix"), F.lit(499)))
     rest = F.regexp_replace(F.expr("substring(module, length(prefix) + 1)"), "^/", "")
-    return hits.select("path", "module", "kind", rank.cast("int").alias("rank"), F.concat(F.lit("p:"), normalise(F.concat_ws("/", "target", rest))).alias("key"))
+    where = normalise(F.concat_ws("/", F.nullif("target", F.lit("")), F.nullif(rest, F.lit(""))))
+    return hits.select("path", "module", "kind", rank.cast("int").alias("rank"), F.concat(F.when(F.col("language") == "go", "f:").otherwise("p:"), where).alias("key"))
 
 
 def class_edges(files: DataFrame) -> DataFrame:
@@ -192,28 +210,92 @@ def framework_entries(files: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(frameworks(files)), "framework").select("path", F.concat(F.lit("framework "), "framework").alias("reason"))
 
 
-def edges(files: DataFrame) -> DataFrame:
-    """(src, dst): references resolved to files, and hubs that link files of one Go folder, JVM package or C# namespace, and users of C# types."""
+def method_edges(files: DataFrame) -> DataFrame:
+    """Edges from C# files that call an extension method to those that define one of its name, through a hub for each name."""
+    sharp = files.where(language("path") == "csharp")
+    defined = sharp.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\bstatic\s+[\w<>\[\],.?\s]+?\b(\w+)\s*(?:<[^>(]*>)?\s*\(\s*this\s"), F.lit(1)))).alias("name"))
+    used = sharp.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\.(\w+)\s*(?:<[^>(]*>)?\("), F.lit(1)))).alias("name"))
+    hub = F.concat(F.lit("hub:method "), "name")
+    return used.join(defined.select("name").distinct(), "name", "left_semi").select(F.col("path").alias("src"), hub.alias("dst")).union(defined.select(hub, "path"))
+
+
+#: Calls by which containers are given, or asked for, a type: after the manuals of ASP.NET Core, Spring, Guice, tsyringe and Inversify.
+CONTAINERS = [
+    r"\bAdd(?:Scoped|Singleton|Transient|HostedService)<(?:\w+\s*,\s*)?(\w+)>",
+    r"\b(?:GetRequiredService|GetService|Resolve|ResolveNamed|CreateInstance)<(\w+)>",
+    r"\bgetBean\(\s*(?:\"\w+\"\s*,\s*)?(\w+)\.class",
+    r"\bgetInstance\(\s*(\w+)\.class",
+    r"\bbind\(\s*(\w+)(?:\.class)?\s*\)",
+    r"\.to(?:Self|Class)?\(\s*([A-Z]\w*)(?:\.class)?\s*\)",
+    r"\b(?:container|injector|moduleRef)\.(?:get|resolve|register|registerSingleton)(?:<\w+>)?\(\s*([A-Z]\w*)",
+]
+TYPES = r"\b(?:class|interface|record|struct|object)\s+([A-Z]\w*)"
+
+
+def container_edges(files: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Edges from files that ask a container for a type to those that define it, through a hub for each type."""
+    code = files.where(language("path").isin("java", "kotlin", "csharp", "javascript"))
+    defined = code.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(TYPES), F.lit(1)))).alias("name"))
+    calls = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in [*CONTAINERS, *(more or [])])))
+    used = code.select("path", F.explode(F.array_distinct(calls)).alias("name")).where("name <> ''")
+    hub = F.concat(F.lit("hub:bean "), "name")
+    return used.join(defined.select("name").distinct(), "name", "left_semi").select(F.col("path").alias("src"), hub.alias("dst")).union(defined.join(used.select("name").distinct(), "name", "left_semi").select(hub, "path"))
+
+
+def folder_edges(files: DataFrame) -> DataFrame:
+    """Edges from index files that read their own folder to the files in it, through a hub for each folder."""
+    reads = files.where(F.col("path").rlike(r"(?:^|/)index\.[cm]?[jt]s\z") & F.col("content").rlike(r"\breaddir(?:Sync)?\(\s*(?:path\.\w+\(\s*)?(?:__dirname|import\.meta\.dirname|\.)")).select("path", dirname("path").alias("dir"))
+    hub = F.concat(F.lit("hub:folder "), "dir")
+    inside = files.where(language("path").isNotNull()).select("path", dirname("path").alias("dir")).join(reads.select("dir").distinct(), "dir", "left_semi")
+    return reads.select(F.col("path").alias("src"), hub.alias("dst")).union(inside.select(hub, "path"))
+
+
+def glob_edges(files: DataFrame) -> DataFrame:
+    """Edges from files that import by a glob to what it matches, through a hub for each glob."""
+    refs = references(files).where("kind = 'glob'").select("path", normalise(F.concat_ws("/", F.when(F.col("module").startswith("/"), F.lit(None)).otherwise(F.nullif(dirname("path"), F.lit(""))), "module")).alias("glob")).where("glob is not null")
+    found = manifests.globbed(files.where(language("path").isNotNull()).select("path"), refs.select("glob"))
+    hub = F.concat(F.lit("hub:glob "), "glob")
+    return refs.select(F.col("path").alias("src"), hub.alias("dst")).union(found.select(hub, "path"))
+
+
+def resolved(files: DataFrame) -> DataFrame:
+    """(path, module, kind, key, n): the best keys of each reference that files have, and how many files each has.
+
+    References meet distinct keys, not files, so that many importers of a name that many files have make no product.
+    """
+    raw = cut(references(files))
     keys = file_keys(files.where(language("path").isNotNull()).select("path"))
-    raw = references(files)
-    refs = raw.withColumn("keys", reference_keys()).select("path", "module", "kind", F.inline("keys")).unionByName(aliased_keys(raw, aliases(files)))
     # A folder's name doesn't stand for its files that are set aside by theirs.
-    found = refs.join(keys.where(~(F.col("key").startswith("d:") & F.col("target").rlike(VETO))), "key")
-    # The least rank of each reference, aggregated with its targets: no window over hot references.
+    sizes = keys.where(~(F.col("key").rlike("^[df]:") & F.col("target").rlike(VETO))).groupBy("key").agg(F.count("*").alias("n"))
+    refs = with_keys(raw, "path", "module", "kind").unionByName(aliased_keys(raw, aliases(files)))
+    found = cut(refs.join(sizes, "key"))
+    # The least rank of each reference, aggregated with its keys: no window over hot references.
     best = found.groupBy("path", "module", "kind").agg(F.min("rank").alias("rank"))
-    direct = found.join(best, ["path", "module", "kind", "rank"]).select(F.col("path").alias("src"), F.col("target").alias("dst"))
+    return found.join(best, ["path", "module", "kind", "rank"]).select("path", "module", "kind", "key", "n")
+
+
+def edges(files: DataFrame, options: Options = Options()) -> DataFrame:
+    """(src, dst): references resolved to files, through a hub where several files have a name; and hubs that link files of one Go folder, JVM package or C# namespace, users of C# types and methods, of containers, folders and globs."""
+    keys = file_keys(files.where(language("path").isNotNull()).select("path"))
+    keys = keys.where(~(F.col("key").rlike("^[df]:") & F.col("target").rlike(VETO)))
+    best = cut(resolved(files).select("path", "key", "n").distinct())
+    single = best.where("n = 1").join(keys, "key").select(F.col("path").alias("src"), F.col("target").alias("dst"))
+    hub = F.concat(F.lit("hub:"), "key")
+    shared = best.where("n > 1")
+    several = shared.select(F.col("path").alias("src"), hub.alias("dst")).union(keys.join(shared.select("key").distinct(), "key").select(hub, "target"))
     lang = F.col("language")
     unit = F.when(lang == "go", F.concat(F.lit("go "), dirname("path")))
     unit = unit.when(lang.isin("java", "kotlin"), F.concat(F.lit("jvm "), F.regexp_extract("content", r"(?m)^\s*package\s+([\w.]+)", 1)))
     unit = unit.when(lang == "csharp", F.concat(F.lit("cs "), F.regexp_extract("content", r"(?m)^\s*namespace\s+([\w.]+)", 1)))
     members = files.withColumn("language", language("path")).select("path", unit.alias("unit")).where("unit is not null and unit not in ('jvm ', 'cs ')")
     hubs = graph.hub_edges(members, "path", "unit", into=members.where(~F.col("path").rlike(VETO)))
-    return direct.union(hubs).union(class_edges(files)).where("src <> dst").distinct()
+    every = single.union(several).union(hubs).union(class_edges(files)).union(method_edges(files)).union(container_edges(files, options.containers)).union(folder_edges(files)).union(glob_edges(files))
+    return every.where("src <> dst").distinct()
 
 
-def is_generated(path: Column, content: Column) -> Column:
+def is_generated(path: Column, content: Column, more: list[str] | None = None) -> Column:
     head = F.array_join(F.slice(F.split(F.coalesce(content, F.lit("")), "\n", -1), 1, 20), "\n")
-    return path.rlike(GENERATED_PATH) | head.rlike(GENERATED_TEXT)
+    return path.rlike("|".join([GENERATED_PATH, *(f"(?:{p})" for p in more or [])])) | head.rlike(GENERATED_TEXT)
 
 
 @dataclass
@@ -232,15 +314,17 @@ class Report:
 def scan(files: DataFrame, options: Options = Options()) -> Report:
     """Everything about `files` (path, size, content). Contents are read where texts are searched, and never shuffled."""
     seeds = cut(entries(files, options))
-    links = cut(edges(files))
+    links = cut(edges(files, options))
     live = cut(graph.no_hubs(graph.reachable(links, seeds.select(F.col("path").alias("node")))))
     code = files.withColumn("language", language("path")).where("language is not null")
     kept = F.substring(F.coalesce("content", F.lit("")), 1, 2000).rlike(KEEP)
     shown = ~matches_any("path", options.ignore)
-    narrow = code.where(shown & ~kept & (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0) & (F.lit(options.report_generated) | ~is_generated(F.col("path"), F.col("content"))))
+    # Of a file that couldn't be read nothing is known: it is neither live nor dead.
+    narrow = code.where(F.col("content").isNotNull() & shown & ~kept & (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0) & (F.lit(options.report_generated) | ~is_generated(F.col("path"), F.col("content"), options.generated)))
     narrow = narrow.select("path", "language", "size", F.size(F.split("content", "\n", -1)).alias("lines"))
     unreachable = cut(narrow.join(live.withColumnRenamed("node", "path"), "path", "left_anti"))
-    findings = rules.scan_lines(code, CODE_RULES, "content", "path", "language", comments=False, language="language")
+    searched = code.join(unreachable.select("path"), "path", "left_semi") if options.scope == "dead" else code
+    findings = rules.scan_lines(searched, CODE_RULES, "content", "path", "language", comments=False, language="language", quiet=True)
     near = rules.nearness(F.col("path"), NEAR)
     findings = findings.withColumn("severity", rules.level(rules.boosted(rules.rank(F.col("severity")), near))).join(unreachable.select("path", F.lit(True).alias("is_dead")), "path", "left").withColumn("is_dead", F.coalesce("is_dead", F.lit(False)))
     totals = files.agg(F.count("*").alias("total")).crossJoin(seeds.agg(F.count("*").alias("entry_points"))).crossJoin(unreachable.agg(F.count("*").alias("unreachable"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")))
@@ -253,7 +337,7 @@ def unused_exports(files: DataFrame, live: DataFrame, seeds: DataFrame) -> DataF
     Names are compared as words, which errs towards used.
     """
     reached = files.join(live.withColumnRenamed("node", "path"), "path", "left_semi")
-    offered = exports(reached).join(seeds, "path", "left_anti").where("name <> 'default'")
+    offered = exports(reached).where("is_direct").join(seeds, "path", "left_anti").where("name <> 'default'")
     words = reached.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("name"))
     users = words.groupBy("name").agg(F.count("*").alias("n"))
     return offered.join(users.where("n > 1"), "name", "left_anti").select("path", "name")
@@ -264,7 +348,7 @@ def without_references(files: DataFrame, removed: DataFrame) -> DataFrame:
     single = F.filter(F.transform(F.split("content", "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("content"))), lambda s: s["content"].rlike(r"^\s*(?:import|export|from|const|let|var)\b.*"))
     rows = files.where(language("path").isNotNull()).select("path", F.inline(single))
     found = references(rows, "line_no")
-    gone = found.withColumn("keys", reference_keys()).select("path", "line_no", F.inline("keys")).join(file_keys(removed.select("path")).where("key like 'p:%'"), "key").select("path", "line_no").distinct()
+    gone = with_keys(found, "path", "line_no").join(file_keys(removed.select("path")).where("key like 'p:%'"), "key").select("path", "line_no").distinct()
     drop = gone.groupBy("path").agg(F.collect_set("line_no").alias("drop"))
     kept = F.filter(F.split("content", "\n", -1), lambda x, i: ~F.array_contains("drop", (i + 1).cast("int")))
     tidy = F.transform(F.array(kept), lambda k: F.filter(k, lambda x, i: (F.trim(x) != "") | (i == 0) | (F.trim(F.get(k, F.greatest(i - 1, F.lit(0)))) != "")))[0]

@@ -5,12 +5,15 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomline.functions.paths import matches_any
 
-SCHEMA = "path string, size bigint, modified double, content string, error string"
+SCHEMA = "path string, size bigint, modified double, error string"
+#: Bytes of text that a task hands on at a time.
+BATCH_BYTES = 8_000_000
 #: Left out unless other globs are given: dependencies, build output, version control and caches.
 EXCLUDED = ["**/node_modules/**", "**/.git/**", "**/dist/**", "**/build/**", "**/target/**", "**/out/**", "**/vendor/**", "**/.venv/**", "**/venv/**", "**/__pycache__/**", "**/.cache/**", "**/coverage/**", "**/*.min.js", "**/*.map", "**/*.lock"]
 
@@ -23,7 +26,7 @@ class _Part(InputPartition):
 
 class TreeReader(DataSourceReader):
     def __init__(self, options) -> None:
-        self.root, self.most = options["path"], int(options.get("maxBytes", 2_000_000))
+        self.root = options["path"]
 
     def partitions(self) -> list[_Part]:
         """One for each folder two levels down, and one for the files of each folder above."""
@@ -43,20 +46,16 @@ class TreeReader(DataSourceReader):
                 path = os.path.relpath(full, self.root).replace(os.sep, "/")
                 try:
                     stat = os.stat(full)
-                    if stat.st_size > self.most:
-                        yield path, stat.st_size, stat.st_mtime, None, "too large"
-                        continue
-                    with open(full, encoding="utf-8", errors="replace") as f:
-                        yield path, stat.st_size, stat.st_mtime, f.read(), None
+                    yield path, stat.st_size, stat.st_mtime, None
                 except OSError as e:
-                    yield path, None, None, None, str(e)
+                    yield path, None, None, str(e)
 
 
 class TreeSource(DataSource):
-    """`format("tree")` with the options path and maxBytes. The path is one that all executors see.
+    """`format("tree")` with the option path, which all executors see: the names, sizes and times of all files.
 
-    Names that begin with `_` or `.` are read, which Spark's own file sources
-    skip. Files that can't be read, or are larger than maxBytes, are rows with an error.
+    Names that begin with `_` or `.` are listed, which Spark's own file sources
+    skip. Files that can't be looked at are rows with an error.
     """
 
     @classmethod
@@ -70,7 +69,37 @@ class TreeSource(DataSource):
         return TreeReader(self.options)
 
 
-def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None, max_bytes: int = 2_000_000) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None, partitions: int | None = None) -> DataFrame:
+    """(path, size, modified, content, error) of the files below `root` that no glob of `exclude` matches, whole, whatever their size.
+
+    Folders are listed by one task each; the files that are left are then dealt
+    out evenly, whatever folder they are in, and read. Files that can't be read are rows with an error and no content.
+    """
     spark.dataSource.register(TreeSource)
-    files = spark.read.format("tree").option("path", root).option("maxBytes", str(max_bytes)).load()
-    return files.where(~matches_any("path", EXCLUDED if exclude is None else exclude))
+    files = spark.read.format("tree").option("path", root).load().where(~matches_any("path", EXCLUDED if exclude is None else exclude))
+    names = ["path", "size", "modified", "content", "error"]
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.float64(), pa.string(), pa.string()))], names)
+
+        for batch in batches:
+            rows, held = [], 0
+            for path, size, modified, error in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                text = None
+                if error is None:
+                    try:
+                        with open(os.path.join(root, path), encoding="utf-8", errors="replace") as f:
+                            text = f.read()
+                    except OSError as e:
+                        error = str(e)
+                rows.append((path, size, modified, text, error))
+                held += len(text or "")
+                if held > BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+            if rows:
+                yield made(rows)
+
+    dealt = files.repartition(partitions, "path") if partitions else files.repartition("path")
+    return dealt.mapInArrow(contents, "path string, size bigint, modified double, content string, error string")

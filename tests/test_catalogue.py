@@ -4,9 +4,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomline.plans.catalogue import ORACLES, QUERIES
+from loomline.plans import catalogue, trees
+
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalogue.QUERIES | trees.QUERIES, catalogue.ORACLES | trees.ORACLES
 
 
 @pytest.fixture(scope="module")
