@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import cut, read
 
-#: Notices as their licences ask for them.
+#: Notices as their licences ask for them, and titles of licences.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
@@ -33,9 +33,28 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    # Titles with their versions and dates, by which whole licences begin.
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Artistic-1.0", "The Artistic License"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC0-1.0", "exclusive Copyright and Related Rights (defined below) upon the creator and subsequent owner(s) (each and all, an owner) of an original work of authorship and/or a database (each, a Work)"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 ]
 #: A header's first line has one of these; each template has one.
-MARKS = "licen[cs]|copyright|public domain|permission is hereby|redistribution"
+MARKS = "licen[cs]|copyright|public domain|permission is hereby|permission to use|redistribution"
 TOKEN = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Least cosine of a header (a line, or three lines from it on), and of a whole text that is a licence file by what it says.
 HEADER, WHOLE = 0.6, 0.3
@@ -109,7 +128,9 @@ def scan(files: DataFrame, keys: tuple[str, ...] = ("path",), templates=TEMPLATE
     the file's own or there is none) to what `own_licenses` gives. Of several
     licence files in a directory the one with the highest cosine counts, then the least path.
     Null and empty texts have no licence of their own, a null path has no
-    directory; repeated rows are each returned; an empty table gives no rows.
+    directory; a text of any length is searched whole; repeated rows are each
+    returned; an empty table gives no rows; other columns are ignored, whatever
+    their names.
     """
     own = cut(own_licenses(files, keys, templates, header, whole))
     # One row per directory: few rows meet in a join, whatever the size of a directory.

@@ -1,6 +1,8 @@
 import re
+from pathlib import Path
 
 import duckdb
+import pytest
 
 from loomline.llm.licenses import MARKS, TEMPLATES, op6_license_scan, oracle, scan
 
@@ -40,3 +42,15 @@ def test_oracle(spark):
     got = sorted((tuple(r) for r in df.collect()), key=key)
     assert got == sorted(con.execute(oracle()).fetchall(), key=key) and any(r[2] for r in got)
     assert not any(x in df._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_versions_of_whole_licences(spark):
+    """The licence texts that Debian installs, where there are any: none is taken for another version or licence."""
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    found = [(f"d{i}/LICENSE", (folder / n).read_text(errors="replace"), i, "") for i, n in enumerate(names) if (folder / n).exists()]
+    if not found:
+        pytest.skip("no licence texts here")
+    got = {r.path: r.license for r in scan(spark.createDataFrame(found, SCHEMA)).collect()}
+    want = {f"d{i}/LICENSE": v for i, (n, v) in enumerate(names.items()) if (folder / n).exists()}
+    assert got == want
