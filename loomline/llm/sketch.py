@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import cut, read, stored
 
-#: A paragraph is a line; of longer lines, stretches of at least 100 characters up to a sentence's end.
-PARAGRAPH = r"[^\n]{100,}?[.!?]+(?=\s|$)|[^\n]+"
+#: A paragraph is a line; of longer lines, stretches of 40 to 240 characters up to a sentence's end, in any script; without one, of 240.
+PARAGRAPH = r"[^\n]{40,240}?(?:[.!?]+(?=\s|$)|[。！？।؟]+)|[^\n]{240}|[^\n]+"
 #: A sketch has four tables of eight cells; a larger one has 2 ** k such sketches, its segments.
 TABLES, PLACES = 4, 8
 #: Low bits of a digest that check the others, so that a cell with one digest is known by itself.
 CHECK = (1 << 24) - 1
 #: Digests that a segment is meant for when a sketch is made larger, and rounds of peeling.
 LOAD, ROUNDS = 12, 12
-#: Times that size up to which a sketch is made larger.
+#: Times that size up to which a sketch is made larger; from there it is made anew, with other cells.
 LARGEST = 256
+#: Digests of two texts from which the first sketch isn't peeled, as so many differences don't come out of it.
+HOPELESS = 40
 #: Bits of a digest that deal it out to segments in one step, and in all.
 STEP_BITS, SEGMENT_BITS = 4, 24
 _NO_ID = -(2**63)
@@ -29,12 +31,18 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(heads, lambda x: x.bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit(CHECK)))))
 
 
-def cells(keys: Column) -> Column:
+def bits_of(key: str, seed: int) -> str:
+    """What deals a digest to segments and cells: itself, and at later attempts a fresh hash of it."""
+    return f"xxhash64({key}, {seed})" if seed else key
+
+
+def cells(keys: Column, seed: int = 0) -> Column:
     """A sketch: each cell holds all digests dealt to it, combined by XOR."""
 
     def cell(table: int, place: int) -> Column:
         mask, want = F.lit(7 << (24 + 3 * table)), F.lit(place << (24 + 3 * table))
-        return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: F.when(k.bitwiseAND(mask) == want, acc.bitwiseXOR(k)).otherwise(acc))
+        dealt = (lambda k: F.xxhash64(k, F.lit(seed))) if seed else (lambda k: k)
+        return F.aggregate(keys, F.lit(0).cast("long"), lambda acc, k: F.when(dealt(k).bitwiseAND(mask) == want, acc.bitwiseXOR(k)).otherwise(acc))
 
     return F.array(*(cell(t, p) for t in range(TABLES) for p in range(PLACES)))
 
@@ -44,14 +52,14 @@ def subtract(a: str, b: str) -> Column:
     return F.expr(f"zip_with({a}, {b}, (x, y) -> x ^ y)")
 
 
-def peel(difference: str) -> Column:
+def peel(difference: str, seed: int = 0) -> Column:
     """Recovers digests from the cells in column `difference`: struct(cells, found).
 
     Each round takes the digests that are alone in a cell out of all their
     cells. Everything was found if the cells that are left are zero.
     """
     pure = f"array_distinct(filter(s.cells, x -> x <> 0 and (xxhash64(x & {~CHECK}L) & {CHECK}L) = (x & {CHECK}L)))"
-    left = f"transform(s.cells, (x, i) -> aggregate(p, x, (y, k) -> if((shiftright(k, 24 + 3 * cast(i div {PLACES} as int)) & 7) = i % {PLACES}, y ^ k, y)))"
+    left = f"transform(s.cells, (x, i) -> aggregate(p, x, (y, k) -> if((shiftright({bits_of("k", seed)}, 24 + 3 * cast(i div {PLACES} as int)) & 7) = i % {PLACES}, y ^ k, y)))"
     step = f"transform(array({pure}), p -> if(size(p) = 0, s, named_struct('cells', {left}, 'found', concat(s.found, p))))[0]"
     return F.expr(f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {difference}, 'found', cast(array() as array<bigint>)), (s, r) -> {step})")
 
@@ -69,18 +77,19 @@ def differences(pairs: DataFrame) -> DataFrame:
 
     `keys` holds the digests of both versions; those of both cancel in the cells, which is
     what subtracting sketches of that size does. Sizes follow the number of
-    digests; where peeling fails, the sketch is made four times as large.
+    digests; where peeling fails, the sketch is made four times as large, and its
+    cells are dealt by a fresh hash, so that digests that shared all of them part.
     """
-    out, times = None, 1
+    out, times, seed = None, 1, 0
     while (most := pairs.agg(F.max(F.size("keys"))).first()[0]) is not None:
         bits = F.expr(f"cast(least({SEGMENT_BITS}, ceil(log2({times} * ceil(greatest(1, size(keys)) / {LOAD})))) as int)")
         part = pairs.select("row", "pair", "keys", bits.alias("bits"))
         levels = min(SEGMENT_BITS, (max(1, -(-most // LOAD)) * times - 1).bit_length())
         for done in range(0, levels, STEP_BITS):
             own = f"shiftleft(1L, greatest(0, least({STEP_BITS}, bits - {done})))"
-            dealt = f"transform(sequence(0L, {own} - 1L), i -> filter(keys, k -> (shiftright(k, {40 + done}) & ({own} - 1L)) = i))"
+            dealt = f"transform(sequence(0L, {own} - 1L), i -> filter(keys, k -> (shiftright({bits_of("k", seed)}, {40 + done}) & ({own} - 1L)) = i))"
             part = part.select("row", "pair", "bits", F.explode(F.expr(dealt)).alias("keys"))
-        peeled = part.select("row", "pair", cells(F.col("keys")).alias("cells")).select("row", "pair", peel("cells").alias("p"))
+        peeled = part.select("row", "pair", cells(F.col("keys"), seed).alias("cells")).select("row", "pair", peel("cells", seed).alias("p"))
         sums = cut(peeled.groupBy("row", "pair").agg(F.sum(F.size("p.found")).alias("found"), F.max(F.expr(_left_over("p"))).alias("failed")))
         good = sums.where("not failed").select("row", "pair", "found")
         out = good if out is None else out.union(good)
@@ -88,10 +97,9 @@ def differences(pairs: DataFrame) -> DataFrame:
         if failed.isEmpty():
             break
         pairs = cut(pairs.join(failed, ["row", "pair"], "left_semi"))
-        times *= 4
-        if times > LARGEST:
-            # Digests that share all their cells at any size: told apart by counting.
-            return out.union(pairs.select("row", "pair", F.expr("cast(2 * size(array_distinct(keys)) - size(keys) as long)")))
+        times, seed = min(LARGEST, times * 4), seed + 1
+        if seed > 30:
+            raise ValueError("these aren't digests with their own check: no sketch of them can be peeled")
     return out
 
 
@@ -121,8 +129,9 @@ def compare_edited(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty, a null doc_id as the smallest; rows of one
     doc_id are ordered by a hash of their text, and equal rows count as one in
-    the order and are each returned. A single document is its own next one.
-    An empty table gives no rows; extra columns are ignored.
+    the order and are each returned. A single document is its own next one. A
+    text of any length is cut whole. An empty table gives no rows; extra columns
+    are ignored, whatever their names.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("k"), text.alias("text")).withColumn("h", F.xxhash64("text"))
@@ -137,9 +146,11 @@ def compare_edited(docs: DataFrame) -> DataFrame:
     both = both.select("k", "n", F.sha2("edited_text", 256).alias("sha"), "own", "after", digests(F.col("edited_text")).alias("edited"))
     both = both.select("*", *(cells(F.col(c)).alias(f"{c}_cells") for c in ("own", "edited", "after")))
     both = both.select("*", subtract("own_cells", "edited_cells").alias("d0"), subtract("own_cells", "after_cells").alias("d1"))
-    both = both.select("*", peel("d0").alias("p0"), peel("d1").alias("p1"))
-    found = [F.expr(f"if({_left_over(p)}, null, cast(size({p}.found) as long))").alias(f"found{p[1]}") for p in ("p0", "p1")]
-    left = [F.expr(f"if({_left_over(p)}, concat(own, {c}), null)").alias(f"keys{p[1]}") for p, c in (("p0", "edited"), ("p1", "after"))]
+    # Texts of many paragraphs go on to larger sketches at once: that of the next text differs in nearly all, the edited one in a quarter or more.
+    few = [F.size("own") + F.size("edited") <= 2 * HOPELESS, F.size("own") + F.size("after") <= HOPELESS]
+    both = both.select("*", F.when(few[0], peel("d0")).alias("p0"), F.when(few[1], peel("d1")).alias("p1"))
+    found = [F.expr(f"if({p} is null or {_left_over(p)}, null, cast(size({p}.found) as long))").alias(f"found{p[1]}") for p in ("p0", "p1")]
+    left = [F.expr(f"if({p} is null or {_left_over(p)}, concat(own, {c}), null)").alias(f"keys{p[1]}") for p, c in (("p0", "edited"), ("p1", "after"))]
     sizes = [F.size(c).cast("long").alias(f"{c}_size") for c in ("own", "edited", "after")]
     base = stored(both.select(F.monotonically_increasing_id().alias("row"), F.nullif("k", F.lit(_NO_ID)).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), fingerprint("own_cells").alias("fingerprint"), fingerprint("edited_cells").alias("edited_fingerprint"), *sizes, *found, *left))
     again = base.where("keys0 is not null").select("row", F.lit(0).alias("pair"), F.col("keys0").alias("keys")).union(base.where("keys1 is not null").select("row", F.lit(1), "keys1"))
