@@ -79,9 +79,16 @@ edges AS (SELECT DISTINCT src, dst FROM e WHERE dst IS NOT NULL),
 r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN edges ON node = src WHERE depth < 6)
 SELECT node AS user_id, min(depth)::BIGINT AS depth FROM r GROUP BY 1""")
 def q02_reachable_depth(spark, d):
-    """Users within six hops of user 1, where a hop leads to the next error of the day."""
-    day = Window.partitionBy(F.to_date("ts")).orderBy("ts", "event_id")
-    edges = table(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").alias("src"), F.lead("user_id").over(day).alias("dst")).where("dst is not null")
+    """Users within six hops of user 1, where a hop leads to the next error of the day.
+
+    Errors are ordered within each hour; only the first of each is brought together by day.
+    """
+    errors = table(spark, d, "events").where("event_type = 'error'").select("user_id", "ts", "event_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
+    over = Window.partitionBy("day", "hour").orderBy("ts", "event_id")
+    heads = errors.groupBy("day", "hour").agg(F.min(F.struct("ts", "event_id", "user_id"))["user_id"].alias("head"))
+    heads = heads.select("day", "hour", F.lead("head").over(Window.partitionBy("day").orderBy("hour")).alias("after"))
+    edges = errors.withColumn("last", F.lead(F.lit(False), 1, True).over(over)).withColumn("dst", F.lead("user_id").over(over)).join(heads, ["day", "hour"])
+    edges = edges.select(F.col("user_id").alias("src"), F.when(F.col("last"), F.col("after")).otherwise(F.col("dst")).alias("dst")).where("dst is not null")
     return graph.depths(edges, spark.range(1, 2).withColumnRenamed("id", "node"), 6).select(F.col("node").alias("user_id"), F.col("depth").cast("long").alias("depth"))
 
 
@@ -123,11 +130,11 @@ def q05_import_resolve_ranked(spark, d):
 
 @query(f"""
 WITH refs AS (SELECT page_id, unnest(regexp_extract_all(html, '{HREF}', 1)) AS ref FROM pages)
-SELECT regexp_extract(ref, '^[^/?#]*', 0) AS package, count(*) AS n_refs, count(DISTINCT page_id) AS n_pages FROM refs WHERE regexp_extract(ref, '^[^/?#]*', 0) <> '' GROUP BY 1""")
+SELECT regexp_extract(ref, '^(?:@[^/?#]*/)?[^/?#]*', 0) AS package, count(*) AS n_refs, count(DISTINCT page_id) AS n_pages FROM refs WHERE regexp_extract(ref, '^(?:@[^/?#]*/)?[^/?#]*', 0) <> '' GROUP BY 1""")
 def q06_used_packages(spark, d):
-    """First path segments that pages link to."""
+    """First path segments that pages link to; with their scope, if they have one, two."""
     refs = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("ref"))
-    return usage.export_usage(refs.select("page_id", F.regexp_extract("ref", "^[^/?#]*", 0).alias("package")).where("package <> ''"), ["package"], "page_id").withColumnsRenamed({"n_uses": "n_refs", "n_importers": "n_pages"})
+    return usage.export_usage(refs.select("page_id", F.regexp_extract("ref", "^(?:@[^/?#]*/)?[^/?#]*", 0).alias("package")).where("package <> ''"), ["package"], "page_id").withColumnsRenamed({"n_uses": "n_refs", "n_importers": "n_pages"})
 
 
 @query("""
@@ -338,9 +345,12 @@ def q30_json_field(spark, d):
 WITH r AS (SELECT user_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS run_id FROM events)
 SELECT user_id, run_id, count(*) AS n_events FROM r GROUP BY ALL""")
 def q31_session_pending(spark, d):
-    """Runs of a user's events, begun anew by each error."""
-    over = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    runs = table(spark, d, "events").select("user_id", F.sum(F.when(F.col("event_type") == "error", 1).otherwise(0)).over(over).alias("run_id"))
+    """Runs of a user's events, begun anew by each error: counted within each day, and added to the days before."""
+    events = table(spark, d, "events").select("user_id", "ts", "event_id", F.to_date("ts").alias("day"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("error"))
+    over = Window.partitionBy("user_id", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    days = events.groupBy("user_id", "day").agg(F.sum("error").alias("errors"))
+    before = days.select("user_id", "day", F.coalesce(F.sum("errors").over(Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    runs = events.withColumn("run", F.sum("error").over(over)).join(before, ["user_id", "day"]).select("user_id", (F.col("run") + F.col("before")).alias("run_id"))
     return runs.groupBy("user_id", "run_id").agg(F.count("*").alias("n_events"))
 
 
@@ -435,7 +445,9 @@ def q41_range_innermost(spark, d):
     every = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"), "l_orderkey")
     ships = every.groupBy("o_custkey", "l_orderkey", "l_shipdate").agg(F.count("*").alias("n"))
     spans = every.groupBy("o_custkey", F.col("l_orderkey").alias("span"), F.col("o_orderdate").alias("a")).agg(F.max("l_shipdate").alias("b"))
-    inside = ships.join(spans, "o_custkey").where("l_shipdate between a and b")
+    # Spans meet shipments by month, so that a customer of very many doesn't make all pairs.
+    months = spans.where("b >= a").withColumn("month", F.explode(F.expr("sequence(trunc(cast(a as date), 'MM'), trunc(cast(b as date), 'MM'), interval 1 month)")))
+    inside = ships.withColumn("month", F.expr("trunc(cast(l_shipdate as date), 'MM')")).join(months, ["o_custkey", "month"]).where("l_shipdate between a and b")
     inner = inside.groupBy("o_custkey", "l_orderkey", "l_shipdate", "n").agg(F.max(F.struct("a", "span"))["span"].alias("span"))
     return inner.groupBy("l_orderkey").agg(F.sum("n").alias("n_inside"), F.sum(F.expr("if(span = l_orderkey, n, 0)")).alias("n_own"))
 
