@@ -215,7 +215,8 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), part
 
     Texts of more than `part` characters become rows of their parts, which are
     encoded by different tasks; then one task per text joins them, pair by pair.
-    Repeated rows are each encoded; an empty table gives no rows.
+    Repeated rows are each encoded; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
     docs = docs.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys)

@@ -249,7 +249,9 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -
     order, and windows are cut where padding plus penalties are least. What a
     range has left over at its end becomes sequences of powers of two, which
     need no padding. A null or empty text is the end token alone; a null doc_id
-    comes first; rows that repeat are each packed; an empty table gives no rows.
+    comes first; a text of any length is tokenized in a batch of its own; rows
+    that repeat are each packed; an empty table gives no rows; other columns are
+    ignored, whatever their names.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -186,7 +186,8 @@ def quality(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), carry_text: bo
     (and a margin for its length) from its language's reference. References are sums over all rows of a
     language; with under LEAST_REFERENCE words it has none, and distances are 0. A null language counts as
     one named "", whose texts may be near any reference. Null and empty texts have
-    no words and fail. Repeated rows are each judged; an empty table gives no rows.
+    no words and fail. A text of any length is judged whole. Repeated rows are each
+    judged; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     docs = docs.select(*keys, F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("__lang"))
     refs = stored(references(docs))

@@ -1,8 +1,10 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 
-from loomline.llm.quality import LEAST_WORDS, jensen_shannon, quality, repeat_words
+from loomline.llm.quality import COMMON, LEAST_REFERENCE, LEAST_WORDS, MOST_CHAR, MOST_WORD, WORD_NOISE, jensen_shannon, quality, repeat_words
 
 SCHEMA = "text string, doc_id long, lang string, n_words string, kept int"
 
@@ -89,3 +91,64 @@ def test_common_words_of_each_language(spark):
     got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert all(r.kept for d, r in got.items() if d < 9000)
     assert not any(got[9000 + k].kept or got[9000 + k].base_failed for k in range(3))
+
+
+def slow_distance(p, q):
+    """Jensen-Shannon distance of two mappings of counts."""
+    if not sum(p.values()) or not sum(q.values()):
+        return 1.0
+    out = 0.0
+    for k in {*p, *q}:
+        a, b = p.get(k, 0) / sum(p.values()), q.get(k, 0) / sum(q.values())
+        m = (a + b) / 2
+        out += sum(x / 2 * math.log2(x / m) for x in (a, b) if x)
+    return math.sqrt(max(0.0, min(1.0, out)))
+
+
+def kind_of(c):
+    if c > "\x7f":
+        return "beyond_ascii"
+    for name, chars in (("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("space", " \t\n\x0b\x0c\r"), ("stop", ".,;:!?'\"()-"), ("symbol", "#*$%&|<>")):
+        if c in chars:
+            return name
+    return "other"
+
+
+def lowered(text):
+    return [w.decode() for w in (text or "").lower().encode().split()]
+
+
+def test_verdicts_of_given_documents_equal_brute_force(spark):
+    """References, distances and verdicts, counted character by character and word by word."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.collect()
+    chars, words = {}, {}
+    for r in rows:
+        chars.setdefault(r.lang or "", Counter()).update(map(kind_of, r.text or ""))
+        words.setdefault(r.lang or "", Counter()).update(lowered(r.text))
+    refs = {}
+    for lang, tally in words.items():
+        if tally.total() >= LEAST_REFERENCE:
+            known = sorted(((-n, w) for w, n in tally.items() if len(w.encode()) <= 32 and (w.isascii() and w.isalpha() or not w.isascii() and any(map(str.isalpha, w)))))[:COMMON]
+            top = {w: -n for n, w in known}
+            refs[lang] = chars[lang], {**top, "": tally.total() - sum(top.values())}
+    assert len(refs) > 2
+    got = {r.doc_id: r for r in quality(docs).collect()}
+    rejected = 0
+    for r in rows:
+        one, base = got[r.doc_id], slow(r.text)
+        char_far = word_far = 0.0
+        if not base[-1] and base[0] >= LEAST_WORDS and (r.lang or "") in refs:
+            ref_chars, ref_words = refs[r.lang or ""]
+            own = Counter(w if w in ref_words else "" for w in lowered(r.text))
+            char_far, word_far = slow_distance(Counter(map(kind_of, r.text)), ref_chars), slow_distance(own, ref_words)
+        assert abs(one.char_distance - char_far) < 1e-9 and abs(one.word_distance - word_far) < 1e-9
+        assert one.kept == (not base[-1] and char_far <= MOST_CHAR and word_far <= MOST_WORD + WORD_NOISE / max(1, base[0]) ** 0.5)
+        rejected += not one.kept and not base[-1]
+    assert rejected > 10
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i % 7919}" for i in range(400_000))
+    r = quality(spark.createDataFrame([(text, 1, "en", "", 0)], SCHEMA)).first()
+    assert r.n_words == 400_000 and r.base_failed and r.n_repeat_words == 400_000
