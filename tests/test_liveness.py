@@ -72,7 +72,7 @@ def test_scan(files):
     report = scan(files)
     assert {r.path for r in report.unreachable.collect()} == DEAD
     reasons = {r.path: r.reason for r in report.entries.collect()}
-    assert reasons["src/index.ts"] == "main" and reasons["bin/tool.js"] == "script" and reasons["ops/start.js"] == "manifest script" and reasons["web/app.js"] == "html" and reasons["run.py"] == "python main"
+    assert reasons["src/index.ts"] == "main" and reasons["bin/tool.js"] == "script" and reasons["ops/start.js"] == "script" and reasons["web/app.js"] == "html" and reasons["run.py"] == "python main"
     found = {(r.path, r.rule, r.severity, r.is_dead) for r in report.findings.collect()}
     assert found == {("src/lib/b.ts", "eval", "CRITICAL", False), ("src/lib/orphan.ts", "inner-html", "HIGH", True), ("pkg/sub/deep.py", "pickle", "HIGH", False), ("src/auth/login.ts", "secret-literal", "CRITICAL", True), ("src/auth/login.ts", "weak-hash", "HIGH", True)}
     assert ("src/lib/a.ts", "neverUsed") in {tuple(r) for r in report.unused_exports.collect()}
