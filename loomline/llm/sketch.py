@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import cut, read, stored
 
-#: A paragraph is a line; of longer lines, stretches of 40 to 240 characters up to a sentence's end, in any script; without one, of 240.
-PARAGRAPH = r"[^\n]{40,240}?(?:[.!?]+(?=\s|$)|[。！？।؟]+)|[^\n]{240}|[^\n]+"
+#: A paragraph is a line; of longer lines, stretches of 60 to 240 characters up to a sentence's end, in any script; without one, of 240.
+PARAGRAPH = r"[^\n]{60,240}?(?:[.!?]+(?=\s|$)|[。！？।؟]+)|[^\n]{240}|[^\n]+"
 #: A sketch has four tables of eight cells; a larger one has 2 ** k such sketches, its segments.
 TABLES, PLACES = 4, 8
 #: Low bits of a digest that check the others, so that a cell with one digest is known by itself.
