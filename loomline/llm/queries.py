@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.bpe import op8_bpe_round_trip
 from loomline.llm.brown import op10_brown_scores
+from loomline.llm.conversation_repair import op11_conversation_repair
 from loomline.llm.html_extract import op9_html_extraction
 from loomline.llm.licenses import op6_license_scan
 from loomline.llm.licenses import oracle as license_oracle
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_html_extraction": op9_html_extraction,
     "op10_brown_scores": op10_brown_scores,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {"op6_license_scan": license_oracle()}
