@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomline.llm.bpe import op8_bpe_round_trip
 from loomline.llm.brown import op10_brown_scores
+from loomline.llm.chat_format import op12_chat_formatting
+from loomline.llm.chat_format import oracle as chat_oracle
 from loomline.llm.conversation_repair import op11_conversation_repair
 from loomline.llm.html_extract import op9_html_extraction
 from loomline.llm.licenses import op6_license_scan
@@ -31,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_extraction": op9_html_extraction,
     "op10_brown_scores": op10_brown_scores,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_chat_formatting": op12_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {"op6_license_scan": license_oracle()}
+ORACLES: dict[str, str] = {"op6_license_scan": license_oracle(), "op12_chat_formatting": chat_oracle()}
