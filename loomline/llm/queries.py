@@ -15,6 +15,8 @@ from loomline.llm.html_extract import op9_html_extraction
 from loomline.llm.licenses import op6_license_scan
 from loomline.llm.licenses import oracle as license_oracle
 from loomline.llm.packing import op4_packing
+from loomline.llm.prefix_trie import op13_prefix_trie
+from loomline.llm.prefix_trie import oracle as trie_oracle
 from loomline.llm.quality import op7_quality_rules
 from loomline.llm.simhash import op1_simhash_near_dedup
 from loomline.llm.sketch import op5_document_fingerprints
@@ -34,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_brown_scores": op10_brown_scores,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_chat_formatting": op12_chat_formatting,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op6_license_scan": license_oracle(), "op12_chat_formatting": chat_oracle()}
+ORACLES: dict[str, str] = {"op6_license_scan": license_oracle(), "op12_chat_formatting": chat_oracle(), "op13_prefix_trie": trie_oracle()}
