@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.llm.common import cut, read
+from loomline.llm.common import cut, read, slices
 
 #: Conversations in one group begin with turns of its first one: at most one less than GRAFTS.
 GROUP, GRAFTS = 5, 9
@@ -169,28 +169,47 @@ def _path_sums(nodes: DataFrame) -> DataFrame:
 
 
 def _members(ends: DataFrame) -> DataFrame:
-    """The digest of the ids that end at each node, ascending: ids stream through it in order, so their number doesn't matter to memory."""
+    """The digest of the ids that end at each node, ascending.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sha = None, None
+    Ids lie in ranges of (node, id), so those of one node are joined to texts of
+    bounded size by many tasks; only these texts, one after the other, go
+    through a node's digest.
+    """
+    node = ["owner", "depth"]
+    ordered = ends.toDF(*node, "first").repartitionByRange(*node, "first").sortWithinPartitions(*node, "first")
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[tuple[int, int, int, list[str]]] = []
             for owner, depth, conv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not out or out[-1][:2] != (owner, depth):
+                    out.append((owner, depth, conv, []))
+                out[-1][3].append(str(conv))
+            yield of([(*r[:3], ",".join(r[3])) for r in out], ["owner", "depth", "first", "ids"])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha = None, None
+        for batch in slices(batches, "ids"):
+            out = []
+            for owner, depth, _, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (owner, depth) == now:
-                    sha.update(f",{conv}".encode())
+                    sha.update(f",{ids}".encode())
                 else:
                     if now:
                         out.append((*now, sha.hexdigest()))
-                    now, sha = (owner, depth), hashlib.sha256(str(conv).encode())
-            yield of(out)
+                    now, sha = (owner, depth), hashlib.sha256(ids.encode())
+            yield of(out, names)
         if now:
-            yield of([(*now, sha.hexdigest())])
+            yield of([(*now, sha.hexdigest())], names)
 
-    def of(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*out, strict=True) if out else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["conv_id", "depth", "ends_sha256"])
+    def of(out: list[tuple], names: list[str]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [[]] * len(names)
+        types = [*[pa.int64()] * (len(names) - 1), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names)
 
-    return ends.toDF("owner", "depth", "conv_id").repartition("owner", "depth").sortWithinPartitions("owner", "depth", "conv_id").mapInArrow(run, "conv_id long, depth long, ends_sha256 string")
+    names = ["conv_id", "depth", "ends_sha256"]
+    texts = ordered.mapInArrow(joined, "owner long, depth long, first long, ids string")
+    return texts.repartition(*node).sortWithinPartitions(*node, "first").mapInArrow(digest, "conv_id long, depth long, ends_sha256 string")
 
 
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
