@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.facts import CODE, fact, of, with_facts
 from loomline.functions.paths import ancestors, basename, dirname, extension, normalise, prefixes, stem, suffixes
 
 LANGUAGES = {
@@ -32,6 +33,24 @@ def language(path: Column | str) -> Column:
     return out
 
 
+#: One token at a time: strings, which are the first group, and comments. A slash pair behind a colon or a backslash belongs to an address or a pattern.
+_QUOTED = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\''
+SLASHED = rf"({_QUOTED}|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`)|(?<![:\\])//[^\n]*+|/\*[\s\S]*?\*/"
+#: Texts between three quotes are comments, too: they are documentation, or data.
+HASHED = rf'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|({_QUOTED})|#[^\n]*+'
+
+
+def without_comments() -> Column:
+    """The text of a file in one of LANGUAGES without its comments; others as they are."""
+    text, lang = F.coalesce(F.col("content"), F.lit("")), language("path")
+    return F.when(lang == "python", F.regexp_replace(text, HASHED, "$1")).when(lang.isNotNull(), F.regexp_replace(text, SLASHED, "$1")).otherwise(text)
+
+
+def told(files: DataFrame, *names: str) -> DataFrame:
+    """`files` with these facts, taken here if they aren't there."""
+    return with_facts(files, names, without_comments)
+
+
 def _all(text: Column, pattern: str, kind: str, group: int = 1) -> Column:
     return _kinds(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), kind)
 
@@ -88,9 +107,9 @@ def _csharp(text: Column) -> Column:
     return _all(text, r"(?m)^\s*(?:global\s+)?using\s+(?:static\s+)?(?:\w+\s*=\s*)?([A-Z][\w.]*)\s*;", "using")
 
 
-def references(files: DataFrame, *keys: str) -> DataFrame:
-    """(path, `keys`, language, module, kind) of all imports in `files` (path, content)."""
-    text, lang = F.coalesce(F.col("content"), F.lit("")), F.col("language")
+@fact("references")
+def _references(_options) -> Column:
+    text, lang = F.col(CODE), language("path")
     script = F.when(extension("path").isin(".vue", ".svelte"), F.regexp_extract(text, r"(?s)<script[^>]*>(.*?)</script>", 1)).otherwise(text)
     found = (
         F.when(lang == "javascript", _javascript(script))
@@ -100,8 +119,13 @@ def references(files: DataFrame, *keys: str) -> DataFrame:
         .when(lang == "rust", _rust(text))
         .when(lang == "csharp", _csharp(text))
     )
-    rows = files.withColumn("language", language("path")).where("language is not null")
-    return rows.select("path", *keys, "language", F.inline(F.array_distinct(found))).where("module <> ''")
+    return F.array_distinct(found)
+
+
+def references(files: DataFrame, *keys: str) -> DataFrame:
+    """(path, `keys`, language, module, kind) of all imports in `files` (path, content), or in the facts of such; comments hold none."""
+    rows = told(files.withColumn("language", language("path")).where("language is not null"), "references")
+    return rows.select("path", *keys, "language", F.inline(of("references"))).where("module <> ''")
 
 
 def is_upper_first(name: Column) -> Column:
@@ -114,9 +138,9 @@ def _listed(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, lambda x: F.transform(F.split(x, ","), lambda y: F.regexp_extract(y, r"([\w$]+)\s*$", 1))))
 
 
-def exports(files: DataFrame) -> DataFrame:
-    """(path, name, is_direct) of symbols that files offer; not direct: handed on from another file."""
-    text, lang = F.coalesce(F.col("content"), F.lit("")), language("path")
+@fact("exports")
+def _exports(_options) -> Column:
+    text, lang = F.col(CODE), language("path")
 
     def every(pattern: str) -> Column:
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
@@ -145,12 +169,17 @@ def exports(files: DataFrame) -> DataFrame:
     def flagged(found: Column, direct: bool) -> Column:
         return F.transform(F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))), lambda n: F.struct(n.alias("name"), F.lit(direct).alias("is_direct")))
 
-    return files.select("path", F.inline(F.concat(flagged(names, True), flagged(F.array_except(handed, F.coalesce(names, handed)), False)))).where("name <> ''")
+    return F.concat(flagged(names, True), flagged(F.array_except(handed, F.coalesce(names, handed)), False))
 
 
-def imported_names(files: DataFrame) -> DataFrame:
-    """(path, module, name): what JavaScript and Python files take from a module: names as it offers them, `default`, `*` for all, and '' where it only runs."""
-    text, lang = F.coalesce(F.col("content"), F.lit("")), language("path")
+def exports(files: DataFrame) -> DataFrame:
+    """(path, name, is_direct) of symbols that files offer; not direct: handed on from another file."""
+    return told(files, "exports").select("path", F.inline(of("exports"))).where("name <> ''")
+
+
+@fact("imports")
+def _imports(_options) -> Column:
+    text, lang = F.col(CODE), language("path")
 
     def pairs(pattern: str, name: Callable[[Column], Column], module: int = 2, what: int = 1) -> Column:
         both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(what)).alias("a"), F.regexp_extract_all(text, F.lit(pattern), F.lit(module)).alias("m"))
@@ -174,7 +203,12 @@ def imported_names(files: DataFrame) -> DataFrame:
     froms = r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n#]*)"
     python = pairs(froms, lambda x: F.regexp_extract_all(F.regexp_replace(x, r"#[^\n]*|\bas\s+\w+", ""), F.lit(r"\w+|\*"), F.lit(0)), module=1, what=2)
     found = F.when(lang == "javascript", script).when(lang == "python", python)
-    return files.select("path", F.inline(F.array_distinct(found)))
+    return F.array_distinct(found)
+
+
+def imported_names(files: DataFrame) -> DataFrame:
+    """(path, module, name): what JavaScript and Python files take from a module: names as it offers them, `default`, `*` for all, and '' where it only runs."""
+    return told(files, "imports").select("path", F.inline(of("imports")))
 
 
 #: Beginnings of definitions: functions, classes and the like, whose name is the first group.

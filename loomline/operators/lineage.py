@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder; later steps start from there, also after executors are lost."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, of which later steps read the columns they need, where cut() keeps whole rows."""
+    path = f"{shared_dir(df.sparkSession)}/loomline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

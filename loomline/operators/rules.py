@@ -62,8 +62,8 @@ def attribute(place: Column, rules: list[Rule], name: str) -> Column:
     return F.get(F.array(*(F.lit(getattr(r, name)) for r in rules)), place)
 
 
-#: Lines that show rather than do, and lines after such lines.
-EXAMPLE = r"(?i)\bfor example\b|\bexample:|\be\.g\.|@example\b|<(?:code|pre|samp)\b|^\s*```"
+#: Lines of markup, and lines after which text of a page or structured data stands, which are shown and not run.
+MARKUP, BEFORE_TEXT = r"\bclassName\s*=", r"^\s*<[A-Za-z][\w.]*\b(?:.*[^/])?>\s*$|application/ld\+json"
 
 
 def scan_lines(df: DataFrame, rules: list[Rule], text: str, *keys: str, comments: bool = True, language: str | None = None, quiet: bool = False) -> DataFrame:
@@ -71,8 +71,8 @@ def scan_lines(df: DataFrame, rules: list[Rule], text: str, *keys: str, comments
 
     Texts that no rule can match are dropped before their lines are made; the
     rest needs no shuffle either. Without `comments`, comment lines are left out;
-    `quiet` leaves out lines that begin within a template literal, and examples:
-    lines with a mark of one, and the line after.
+    `quiet` leaves out lines that begin within a template literal, and markup:
+    lines of it, and the text after an opening tag.
     """
     some = reduce(or_, (reduce(or_, (F.col(text).contains(x) for x in r.gate)) if r.gate else F.col(text).rlike(f"(?m){r.pattern}") for r in rules))
     every = lines(F.col(text))
@@ -83,11 +83,22 @@ def scan_lines(df: DataFrame, rules: list[Rule], text: str, *keys: str, comments
     if not comments:
         rows = rows.where(~is_comment(F.col("line")))
     if quiet:
-        rows = rows.where(~(F.col("inside") | F.col("line").rlike(EXAMPLE) | F.col("previous").rlike(EXAMPLE)))
+        rows = rows.where(~(F.col("inside") | F.col("line").rlike(MARKUP) | F.col("previous").rlike(BEFORE_TEXT)))
     found = rows.withColumn("__rule", first_match(F.col("line"), rules, F.col(language) if language else None)).where("__rule is not null")
     return found.select(*keys, "line_no", F.substring(F.trim("line"), 1, 120).alias("line"), *(attribute(F.col("__rule"), rules, a).alias(b) for a, b in (("id", "rule"), ("severity", "severity"), ("group", "rule_group"))))
 
 
+def found_lines(text: Column, rules: list[Rule], language: Column) -> Column:
+    """Lines that a rule matches as an array of struct(line_no, line, rule, severity, rule_group), without comments, template literals and markup; null for texts that no rule can match."""
+    some = reduce(or_, (reduce(or_, (text.contains(x) for x in r.gate)) if r.gate else text.rlike(f"(?m){r.pattern}") for r in rules))
+    every = lines(text)
+    numbered = F.transform(F.arrays_zip(every.alias("line"), open_before(every, "`", is_comment).alias("inside")), lambda s, i: F.struct((i + 1).cast("long").alias("line_no"), s["line"].alias("line"), s["inside"].alias("inside"), F.when(i > 0, F.get(every, i - 1)).otherwise("").alias("previous")))
+    live = F.filter(numbered, lambda s: ~(is_comment(s["line"]) | s["inside"] | s["line"].rlike(MARKUP) | s["previous"].rlike(BEFORE_TEXT)))
+    hits = F.filter(F.transform(live, lambda s: F.struct(s["line_no"].alias("line_no"), s["line"].alias("line"), first_match(s["line"], rules, language).alias("place"))), lambda s: s["place"].isNotNull())
+    named = F.transform(hits, lambda s: F.struct(s["line_no"].alias("line_no"), F.trim(s["line"]).alias("line"), *(attribute(s["place"], rules, a).alias(b) for a, b in (("id", "rule"), ("severity", "severity"), ("group", "rule_group")))))
+    return F.when(some, named)
+
+
 def nearness(path: Column, rules: list[Rule]) -> Column:
     """The highest rank of the rules that match a path; 0 if none does."""
     return F.greatest(F.lit(0), *(F.when(path.rlike(r.pattern), LEVELS.index(r.severity) + 1).otherwise(0) for r in rules))

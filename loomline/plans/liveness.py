@@ -8,12 +8,14 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.facts import CODE, fact, of
 from loomline.functions.paths import ancestors, dirname, matches_any, normalise, prefixes
-from loomline.functions.references import exports, file_keys, language, references, with_keys
+from loomline.functions.references import exports, file_keys, language, references, told, with_keys
 from loomline.operators import graph, rules
 from loomline.operators.lineage import cut
 from loomline.operators.rules import Rule
 from loomline.plans import configs, manifests
+from loomline.plans.tables import gathered
 
 #: Why a path is an entry point; the first that matches is the reason.
 ENTRY_PATHS = [
@@ -38,8 +40,15 @@ ENTRY_TEXTS = [
     ("annotation", "kotlin", r"(?m)^\s*@(?:SpringBootApplication|RestController|Controller|Service|Component|Configuration|Repository|Entity)\b"),
     ("injected", "javascript", r"(?m)^\s*@(?:Injectable|Controller|Module|Component|Resolver|Entity)\s*\("),
 ]
-#: Names that are never entry points.
-VETO = r"(?i)(?:^|/)(?:dead|deprecated|legacy|old|unused)[-_][^/]*|(?i)(?:^|/)dead\.[^/]*\z"
+#: Words before a file's name by which people say that it is out of use; such files are no entry points, and a folder's name doesn't stand for them.
+SET_ASIDE = ["abandoned", "dead", "deprecated", "legacy", "obsolete", "old", "retired", "superseded", "unused"]
+
+
+def set_aside(path: Column, words: list[str]) -> Column:
+    """Whether a file's name begins with one of the words and a dash or underscore, or is `dead`."""
+    return path.rlike(rf"(?i)(?:^|/)(?:(?:{'|'.join(map(re.escape, words))})[-_][^/]*|dead\.[^/]*)\z") if words else F.lit(False)
+
+
 GENERATED_PATH = r"(?:^|/)(?:generated|__generated__)/|\.(?:generated|gen|pb)\.[a-z]+\z|_pb2(?:_grpc)?\.py\z"
 GENERATED_TEXT = r"(?i)@generated|do not edit|automatically generated|code generated by"
 KEEP = r"(?i)do not delete"
@@ -103,6 +112,7 @@ class Options:
     decorators: list[str] = field(default_factory=list)
     containers: list[str] = field(default_factory=list)
     manifest_fields: list[str] = field(default_factory=list)
+    set_aside: list[str] = field(default_factory=lambda: list(SET_ASIDE))
     scope: str = "all"
 
 
@@ -121,13 +131,23 @@ def page_entries(files: DataFrame) -> DataFrame:
     return pages.select(normalise(F.concat_ws("/", F.nullif("dir", F.lit("")), "src")).alias("path"), F.lit("html").alias("reason")).where("path is not null").distinct()
 
 
+@fact("entry_texts")
+def _entry_texts(options: Options | None) -> Column:
+    """Places in ENTRY_TEXTS of what the code has; the place behind the last stands for the decorators of the options."""
+    hits = [(language("path") == x) & F.col(CODE).rlike(p) for _, x, p in ENTRY_TEXTS]
+    if options and options.decorators:
+        hits.append(language("path").isNotNull() & F.col(CODE).rlike(r"(?m)^\s*[@\[](?:" + "|".join(re.escape(d) for d in options.decorators) + r")\b"))
+    return F.filter(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(hits))), lambda x: x.isNotNull())
+
+
 def entries(files: DataFrame, options: Options = Options()) -> DataFrame:
     """(path, reason), one row per entry point, with its first reason."""
-    path, lang = F.col("path"), F.col("language")
-    code = files.withColumn("language", language("path")).where("language is not null")
-    checks = [(r, path.rlike(p)) for r, p in [*ENTRY_PATHS, *options.entries]] + [(r, (lang == x) & F.col("content").rlike(p)) for r, x, p in ENTRY_TEXTS]
+    path = F.col("path")
+    files = gathered(files, ["entry_texts"], options)
+    code = files.where(language("path").isNotNull())
+    checks = [(r, path.rlike(p)) for r, p in [*ENTRY_PATHS, *options.entries]] + [(r, F.array_contains(of("entry_texts"), i)) for i, (r, _, _) in enumerate(ENTRY_TEXTS)]
     if options.decorators:
-        checks.append(("decorator", F.col("content").rlike(r"(?m)^\s*[@\[](?:" + "|".join(re.escape(d) for d in options.decorators) + r")\b")))
+        checks.append(("decorator", F.array_contains(of("entry_texts"), len(ENTRY_TEXTS))))
     if options.live:
         checks.append(("dynamic", matches_any("path", options.live)))
     ranked = F.filter(F.array(*(F.when(hit, F.struct(F.lit(i).alias("rank"), F.lit(r).alias("reason"))) for i, (r, hit) in enumerate(checks))), lambda x: x.isNotNull())
@@ -136,7 +156,7 @@ def entries(files: DataFrame, options: Options = Options()) -> DataFrame:
     if options.manifest_fields:
         named = named.union(field_entries(files, options.manifest_fields))
     named = named.withColumn("rank", F.lit(len(checks))).select("path", "rank", "reason")
-    every = own.union(named.join(code.select("path"), "path", "left_semi")).where(~path.rlike(VETO))
+    every = own.union(named.join(code.select("path"), "path", "left_semi")).where(~set_aside(path, options.set_aside))
     return every.groupBy("path").agg(F.min(F.struct("rank", "reason"))["reason"].alias("reason"))
 
 
@@ -168,14 +188,88 @@ def aliased_keys(refs: DataFrame, table: DataFrame) -> DataFrame:
     return hits.select("path", "module", "kind", rank.cast("int").alias("rank"), F.concat(F.when(F.col("language") == "go", "f:").otherwise("p:"), where).alias("key"))
 
 
+def _found(languages: tuple[str, ...], *patterns: str, group: int = 1) -> Column:
+    """What the patterns find in the code of these languages, each once."""
+    return F.when(language("path").isin(*languages), F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(F.col(CODE), F.lit(p), F.lit(group)) for p in patterns)))))
+
+
+@fact("types")
+def _types(_options) -> Column:
+    return _found(("csharp",), r"\b(?:class|interface|record|struct|enum)\s+([A-Z]\w*)")
+
+
+@fact("type_names")
+def _type_names(_options) -> Column:
+    return _found(("csharp",), r"\b[A-Z]\w*", group=0)
+
+
+@fact("extensions")
+def _extensions(_options) -> Column:
+    return _found(("csharp",), r"\bstatic\s+[\w<>\[\],.?\s]+?\b(\w+)\s*(?:<[^>(]*>)?\s*\(\s*this\s")
+
+
+@fact("methods")
+def _methods(_options) -> Column:
+    return _found(("csharp",), r"\.(\w+)\s*(?:<[^>(]*>)?\(")
+
+
+@fact("beans")
+def _beans(_options) -> Column:
+    return _found(("java", "kotlin", "csharp", "javascript"), TYPES)
+
+
+@fact("asked_beans")
+def _asked_beans(options: Options | None) -> Column:
+    return _found(("java", "kotlin", "csharp", "javascript"), *CONTAINERS, *(options.containers if options else []))
+
+
+@fact("reads_folder")
+def _reads_folder(_options) -> Column:
+    return F.col("path").rlike(r"(?:^|/)index\.[cm]?[jt]s\z") & F.col(CODE).rlike(r"\breaddir(?:Sync)?\(\s*(?:path\.\w+\(\s*)?(?:__dirname|import\.meta\.dirname|\.)")
+
+
+@fact("unit")
+def _unit(_options) -> Column:
+    """The Go folder, JVM package or C# namespace that a file belongs to."""
+    lang, code = language("path"), F.col(CODE)
+    package, namespace = (F.nullif(F.regexp_extract(code, rf"(?m)^\s*{word}\s+([\w.]+)", 1), F.lit("")) for word in ("package", "namespace"))
+    return F.when(lang == "go", F.concat(F.lit("go "), dirname("path"))).when(lang.isin("java", "kotlin"), F.concat(F.lit("jvm "), package)).when(lang == "csharp", F.concat(F.lit("cs "), namespace))
+
+
+@fact("words")
+def _words(_options) -> Column:
+    return F.when(language("path").isNotNull(), F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0))))
+
+
+@fact("findings")
+def _findings(_options) -> Column:
+    return F.when(language("path").isNotNull(), rules.found_lines(F.coalesce("content", F.lit("")), CODE_RULES, language("path")))
+
+
+@fact("generated")
+def _generated(_options) -> Column:
+    return F.coalesce(is_generated(F.lit(""), F.col("content")), F.lit(False))
+
+
+@fact("kept")
+def _kept(_options) -> Column:
+    return F.substring(F.coalesce("content", F.lit("")), 1, 2000).rlike(KEEP)
+
+
+@fact("lines")
+def _lines(_options) -> Column:
+    """The number of lines; null if nothing is known of the file, and 0 if it has nothing but white space."""
+    return F.when(F.col("content").isNotNull(), F.when(F.trim("content") == "", 0).otherwise(F.size(F.split("content", "\n", -1))))
+
+
 def class_edges(files: DataFrame) -> DataFrame:
     """Edges from C# files to those that define a type whose name they use, through a hub for each type.
 
     A hub takes as many edges as there are uses and definitions, however many files share a name.
     """
-    sharp = files.where(language("path") == "csharp")
-    defined = sharp.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b(?:class|interface|record|struct|enum)\s+([A-Z]\w*)"), F.lit(1)))).alias("name"))
-    used = sharp.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b[A-Z]\w*"), F.lit(0)))).alias("name"))
+    sharp = told(files.where(language("path") == "csharp"), "types", "type_names")
+    defined = sharp.select("path", F.explode(of("types")).alias("name"))
+    used = sharp.select("path", F.explode(of("type_names")).alias("name"))
     hub = F.concat(F.lit("hub:type "), "name")
     uses = used.join(defined, ["path", "name"], "left_anti").join(defined.select("name").distinct(), "name", "left_semi")
     return uses.select(F.col("path").alias("src"), hub.alias("dst")).union(defined.select(hub, "path"))
@@ -212,9 +306,9 @@ def framework_entries(files: DataFrame) -> DataFrame:
 
 def method_edges(files: DataFrame) -> DataFrame:
     """Edges from C# files that call an extension method to those that define one of its name, through a hub for each name."""
-    sharp = files.where(language("path") == "csharp")
-    defined = sharp.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\bstatic\s+[\w<>\[\],.?\s]+?\b(\w+)\s*(?:<[^>(]*>)?\s*\(\s*this\s"), F.lit(1)))).alias("name"))
-    used = sharp.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\.(\w+)\s*(?:<[^>(]*>)?\("), F.lit(1)))).alias("name"))
+    sharp = told(files.where(language("path") == "csharp"), "extensions", "methods")
+    defined = sharp.select("path", F.explode(of("extensions")).alias("name"))
+    used = sharp.select("path", F.explode(of("methods")).alias("name"))
     hub = F.concat(F.lit("hub:method "), "name")
     return used.join(defined.select("name").distinct(), "name", "left_semi").select(F.col("path").alias("src"), hub.alias("dst")).union(defined.select(hub, "path"))
 
@@ -232,19 +326,18 @@ CONTAINERS = [
 TYPES = r"\b(?:class|interface|record|struct|object)\s+([A-Z]\w*)"
 
 
-def container_edges(files: DataFrame, more: list[str] | None = None) -> DataFrame:
+def container_edges(files: DataFrame) -> DataFrame:
     """Edges from files that ask a container for a type to those that define it, through a hub for each type."""
-    code = files.where(language("path").isin("java", "kotlin", "csharp", "javascript"))
-    defined = code.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(TYPES), F.lit(1)))).alias("name"))
-    calls = F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), F.lit(1)) for p in [*CONTAINERS, *(more or [])])))
-    used = code.select("path", F.explode(F.array_distinct(calls)).alias("name")).where("name <> ''")
+    code = told(files.where(language("path").isin("java", "kotlin", "csharp", "javascript")), "beans", "asked_beans")
+    defined = code.select("path", F.explode(of("beans")).alias("name"))
+    used = code.select("path", F.explode(of("asked_beans")).alias("name")).where("name <> ''")
     hub = F.concat(F.lit("hub:bean "), "name")
     return used.join(defined.select("name").distinct(), "name", "left_semi").select(F.col("path").alias("src"), hub.alias("dst")).union(defined.join(used.select("name").distinct(), "name", "left_semi").select(hub, "path"))
 
 
 def folder_edges(files: DataFrame) -> DataFrame:
     """Edges from index files that read their own folder to the files in it, through a hub for each folder."""
-    reads = files.where(F.col("path").rlike(r"(?:^|/)index\.[cm]?[jt]s\z") & F.col("content").rlike(r"\breaddir(?:Sync)?\(\s*(?:path\.\w+\(\s*)?(?:__dirname|import\.meta\.dirname|\.)")).select("path", dirname("path").alias("dir"))
+    reads = told(files, "reads_folder").where(of("reads_folder")).select("path", dirname("path").alias("dir"))
     hub = F.concat(F.lit("hub:folder "), "dir")
     inside = files.where(language("path").isNotNull()).select("path", dirname("path").alias("dir")).join(reads.select("dir").distinct(), "dir", "left_semi")
     return reads.select(F.col("path").alias("src"), hub.alias("dst")).union(inside.select(hub, "path"))
@@ -258,7 +351,7 @@ def glob_edges(files: DataFrame) -> DataFrame:
     return refs.select(F.col("path").alias("src"), hub.alias("dst")).union(found.select(hub, "path"))
 
 
-def resolved(files: DataFrame) -> DataFrame:
+def resolved(files: DataFrame, options: Options = Options()) -> DataFrame:
     """(path, module, kind, key, n): the best keys of each reference that files have, and how many files each has.
 
     References meet distinct keys, not files, so that many importers of a name that many files have make no product.
@@ -266,7 +359,7 @@ def resolved(files: DataFrame) -> DataFrame:
     raw = cut(references(files))
     keys = file_keys(files.where(language("path").isNotNull()).select("path"))
     # A folder's name doesn't stand for its files that are set aside by theirs.
-    sizes = keys.where(~(F.col("key").rlike("^[df]:") & F.col("target").rlike(VETO))).groupBy("key").agg(F.count("*").alias("n"))
+    sizes = keys.where(~(F.col("key").rlike("^[df]:") & set_aside(F.col("target"), options.set_aside))).groupBy("key").agg(F.count("*").alias("n"))
     refs = with_keys(raw, "path", "module", "kind").unionByName(aliased_keys(raw, aliases(files)))
     found = cut(refs.join(sizes, "key"))
     # The least rank of each reference, aggregated with its keys: no window over hot references.
@@ -274,28 +367,33 @@ def resolved(files: DataFrame) -> DataFrame:
     return found.join(best, ["path", "module", "kind", "rank"]).select("path", "module", "kind", "key", "n")
 
 
+#: Facts that edges are made of.
+LINKS = ["references", "types", "type_names", "extensions", "methods", "beans", "asked_beans", "reads_folder", "unit"]
+
+
 def edges(files: DataFrame, options: Options = Options()) -> DataFrame:
     """(src, dst): references resolved to files, through a hub where several files have a name; and hubs that link files of one Go folder, JVM package or C# namespace, users of C# types and methods, of containers, folders and globs."""
+    files = gathered(files, LINKS, options)
     keys = file_keys(files.where(language("path").isNotNull()).select("path"))
-    keys = keys.where(~(F.col("key").rlike("^[df]:") & F.col("target").rlike(VETO)))
-    best = cut(resolved(files).select("path", "key", "n").distinct())
+    keys = keys.where(~(F.col("key").rlike("^[df]:") & set_aside(F.col("target"), options.set_aside)))
+    best = cut(resolved(files, options).select("path", "key", "n").distinct())
     single = best.where("n = 1").join(keys, "key").select(F.col("path").alias("src"), F.col("target").alias("dst"))
     hub = F.concat(F.lit("hub:"), "key")
     shared = best.where("n > 1")
     several = shared.select(F.col("path").alias("src"), hub.alias("dst")).union(keys.join(shared.select("key").distinct(), "key").select(hub, "target"))
-    lang = F.col("language")
-    unit = F.when(lang == "go", F.concat(F.lit("go "), dirname("path")))
-    unit = unit.when(lang.isin("java", "kotlin"), F.concat(F.lit("jvm "), F.regexp_extract("content", r"(?m)^\s*package\s+([\w.]+)", 1)))
-    unit = unit.when(lang == "csharp", F.concat(F.lit("cs "), F.regexp_extract("content", r"(?m)^\s*namespace\s+([\w.]+)", 1)))
-    members = files.withColumn("language", language("path")).select("path", unit.alias("unit")).where("unit is not null and unit not in ('jvm ', 'cs ')")
-    hubs = graph.hub_edges(members, "path", "unit", into=members.where(~F.col("path").rlike(VETO)))
-    every = single.union(several).union(hubs).union(class_edges(files)).union(method_edges(files)).union(container_edges(files, options.containers)).union(folder_edges(files)).union(glob_edges(files))
+    members = files.select("path", of("unit").alias("unit")).where("unit is not null")
+    hubs = graph.hub_edges(members, "path", "unit", into=members.where(~set_aside(F.col("path"), options.set_aside)))
+    every = single.union(several).union(hubs).union(class_edges(files)).union(method_edges(files)).union(container_edges(files)).union(folder_edges(files)).union(glob_edges(files))
     return every.where("src <> dst").distinct()
 
 
+def generated_path(path: Column, more: list[str] | None = None) -> Column:
+    return path.rlike("|".join([GENERATED_PATH, *(f"(?:{p})" for p in more or [])]))
+
+
 def is_generated(path: Column, content: Column, more: list[str] | None = None) -> Column:
     head = F.array_join(F.slice(F.split(F.coalesce(content, F.lit("")), "\n", -1), 1, 20), "\n")
-    return path.rlike("|".join([GENERATED_PATH, *(f"(?:{p})" for p in more or [])])) | head.rlike(GENERATED_TEXT)
+    return generated_path(path, more) | head.rlike(GENERATED_TEXT)
 
 
 @dataclass
@@ -311,21 +409,53 @@ class Report:
     summary: DataFrame
 
 
-def scan(files: DataFrame, options: Options = Options()) -> Report:
-    """Everything about `files` (path, size, content). Contents are read where texts are searched, and never shuffled."""
+def options_of(files: DataFrame, **overrides) -> Options:
+    """Options by the tree's own configuration (`loomline.json`, `.loomlineignore`), and overrides, which win; a name that isn't an option is an error.
+
+    `entries` in a file is an object of reasons and patterns.
+    """
+    said = configs.load_options(files, overrides=overrides)
+    if isinstance(said.get("entries"), dict):
+        said["entries"] = list(said["entries"].items())
+    unknown = set(said) - set(Options.__dataclass_fields__)
+    if unknown:
+        raise ValueError(f"no such options: {', '.join(sorted(unknown))}")
+    return Options(**said)
+
+
+#: All facts that a scan reads.
+EVERY = [*LINKS, "entry_texts", "exports", "words", "findings", "generated", "kept", "lines"]
+
+
+def scan(files: DataFrame, options: Options | None = None) -> Report:
+    """Everything about `files` (path, size, content), or about the facts of such.
+
+    Contents are read once, in one pass that takes all facts; what follows reads
+    the columns that it needs of a written table, and no text is shuffled.
+    Without `options` they are those of the tree's own configuration; texts are
+    read again if that adds patterns to look for. Folders that version control
+    keeps elsewhere are left out.
+    """
+    table = gathered(files, EVERY, options)
+    if options is None:
+        options = options_of(table)
+        if options.decorators or options.containers:
+            table = gathered(files, EVERY, options)
+    files = manifests.without_submodules(table)
     seeds = cut(entries(files, options))
     links = cut(edges(files, options))
     live = cut(graph.no_hubs(graph.reachable(links, seeds.select(F.col("path").alias("node")))))
     code = files.withColumn("language", language("path")).where("language is not null")
-    kept = F.substring(F.coalesce("content", F.lit("")), 1, 2000).rlike(KEEP)
     shown = ~matches_any("path", options.ignore)
     # Of a file that couldn't be read nothing is known: it is neither live nor dead.
-    narrow = code.where(F.col("content").isNotNull() & shown & ~kept & (F.length(F.trim(F.coalesce("content", F.lit("")))) > 0) & (F.lit(options.report_generated) | ~is_generated(F.col("path"), F.col("content"), options.generated)))
-    narrow = narrow.select("path", "language", "size", F.size(F.split("content", "\n", -1)).alias("lines"))
+    narrow = code.where((of("lines") > 0) & shown & ~of("kept"))
+    if not options.report_generated:
+        narrow = narrow.where(~of("generated") & ~generated_path(F.col("path"), options.generated))
+    narrow = narrow.select("path", "language", "size", of("lines").alias("lines"))
     unreachable = cut(narrow.join(live.withColumnRenamed("node", "path"), "path", "left_anti"))
     searched = code.join(unreachable.select("path"), "path", "left_semi") if options.scope == "dead" else code
-    findings = rules.scan_lines(searched, CODE_RULES, "content", "path", "language", comments=False, language="language", quiet=True)
     near = rules.nearness(F.col("path"), NEAR)
+    findings = searched.select("path", "language", F.inline(of("findings")))
     findings = findings.withColumn("severity", rules.level(rules.boosted(rules.rank(F.col("severity")), near))).join(unreachable.select("path", F.lit(True).alias("is_dead")), "path", "left").withColumn("is_dead", F.coalesce("is_dead", F.lit(False)))
     totals = files.agg(F.count("*").alias("total")).crossJoin(seeds.agg(F.count("*").alias("entry_points"))).crossJoin(unreachable.agg(F.count("*").alias("unreachable"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")))
     return Report(seeds, links, unreachable, unused_exports(files, live, seeds), findings, files.groupBy(language("path").alias("language")).agg(F.count("*").alias("n_files")).where("language is not null"), totals)
@@ -336,9 +466,10 @@ def unused_exports(files: DataFrame, live: DataFrame, seeds: DataFrame) -> DataF
 
     Names are compared as words, which errs towards used.
     """
+    files = told(files, "exports", "words").select("path", "fact_exports", "fact_words")
     reached = files.join(live.withColumnRenamed("node", "path"), "path", "left_semi")
     offered = exports(reached).where("is_direct").join(seeds, "path", "left_anti").where("name <> 'default'")
-    words = reached.select("path", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"[A-Za-z_$][\w$]*"), F.lit(0)))).alias("name"))
+    words = reached.select("path", F.explode(of("words")).alias("name"))
     users = words.groupBy("name").agg(F.count("*").alias("n"))
     return offered.join(users.where("n > 1"), "name", "left_anti").select("path", "name")
 

@@ -508,11 +508,11 @@ def t33_generated(spark, d):
     return files.groupBy(F.when(path, "path").when(both, "text").otherwise("no").alias("kind")).agg(F.count("*").alias("n"))
 
 
-# Findings: a file for each order, with a risky line that is bare, a comment, in a template literal, in or after an example.
+# Findings: a file for each order, with a risky line that is bare, a comment, in a template literal, or the text behind a tag.
 
 def risky(spark: SparkSession, d: str) -> DataFrame:
     line = "concat('const v = eval(', o_orderkey, ');')"
-    text = f"""case o_orderkey % 6 when 0 then {line} when 1 then concat('// ', {line}) when 2 then concat('const t = `\\nsome\\n', {line}, '\\n`;\\n', {line}) when 3 then concat('/* For example: */\\n', {line}, '\\n', {line})
+    text = f"""case o_orderkey % 6 when 0 then {line} when 1 then concat('// ', {line}) when 2 then concat('const t = `\\nsome\\n', {line}, '\\n`;\\n', {line}) when 3 then concat('<pre className="code">\\n', {line}, '\\n', {line})
       when 4 then concat('const s = "\\\\`";\\n', {line}) else concat('const h = createHash("md5");\\n', {line}) end"""
     where = "concat(case o_orderkey % 4 when 0 then 'auth' when 1 then 'x' when 2 then 'api' else 'roles' end, '/o', o_orderkey, '.js')"
     return tree(table(spark, d, "orders").selectExpr(f"{where} as path", f"{text} as content"))
@@ -526,7 +526,7 @@ raw AS (SELECT k, path, near, CASE k % 6 WHEN 0 THEN 1 WHEN 2 THEN 5 WHEN 3 THEN
 
 @query(f"WITH {SQL_RISKY} SELECT path, line_no::BIGINT AS line_no, rule, severity, rule_group, true AS is_dead FROM raw")
 def t40_findings(spark, d):
-    """Risky lines, without comments, template literals, and examples with the line after; weightier near what matters."""
+    """Risky lines, without comments, template literals, and the text behind tags; weightier near what matters."""
     return liveness.scan(risky(spark, d)).findings.select("path", "line_no", "rule", "severity", "rule_group", "is_dead")
 
 
