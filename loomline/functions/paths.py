@@ -33,7 +33,7 @@ def stem(path: Column | str) -> Column:
 
 
 def normalise(path: Column | str) -> Column:
-    """Without empty and `.` parts, `..` resolved; null if that leads above the top."""
+    """Without empty and `.` parts, `..` resolved; null if that leads above the top. Paths without such parts, most of them, are only looked at."""
     parts = F.filter(F.split(_col(path), "/", -1), lambda x: ~x.isin("", "."))
     above = F.lit("..")
 
@@ -42,7 +42,8 @@ def normalise(path: Column | str) -> Column:
         return F.when(x == above, up).otherwise(F.concat(acc, F.array(x)))
 
     done = F.aggregate(parts, F.array().cast("array<string>"), step)
-    return F.when(F.coalesce(F.get(done, F.lit(0)), F.lit("")) != above, F.array_join(done, "/"))
+    resolved = F.when(F.coalesce(F.get(done, F.lit(0)), F.lit("")) != above, F.array_join(done, "/"))
+    return F.when(_col(path).rlike(r"(?:^|/)\.{0,2}(?:/|\z)"), resolved).otherwise(_col(path))
 
 
 def ancestors(path: Column | str) -> Column:

@@ -12,8 +12,6 @@ from loomline.operators.lineage import cut
 
 #: Conditions of an exports map, preferred first; others follow, and `types` is never run.
 CONDITIONS = ("source", "import", "module", "require", "node", "browser", "default")
-#: Levels of an exports map below a subpath, and of `extends` below a configuration.
-DEEPEST = 4
 JSON_MAP, JSON_LIST = "map<string,string>", "array<string>"
 
 
@@ -75,34 +73,35 @@ def workspaces(files: DataFrame) -> DataFrame:
 def exports_targets(files: DataFrame) -> DataFrame:
     """(dir, name, subpath, target, rank): what each subpath of a package's exports map may stand for; rank 0 is preferred.
 
-    The map is walked level by level, as objects nest a few levels only. Values
-    of `types` are left out. A path within the package stands for each step's
-    condition: the ranks of a branch are its digits.
+    The map is walked level by level until nothing is open, however deep objects
+    and lists nest. Values of `types` are left out. What is taken at each level
+    (a condition's place in CONDITIONS, an item's in its list) makes an array,
+    and arrays compare in order.
     """
     none = F.array().cast(JSON_LIST)
     top = cut(manifests(files).select("dir", F.get_json_object("json", "$.name").alias("name"), F.get_json_object("json", "$.exports").alias("value")).where("value is not null"))
-    if top.isEmpty():
-        return top.select("dir", "name", F.lit("").alias("subpath"), F.col("value").alias("target"), F.lit(0).cast("long").alias("rank"))
     entries = F.from_json("value", JSON_MAP)
-    keys = F.coalesce(F.map_keys(entries), none)
-    subpaths = F.exists(keys, lambda k: k.startswith("."))
-    split = top.where(F.col("value").startswith("{")).where(subpaths).select("dir", "name", F.explode(entries).alias("subpath", "value"))
+    subpaths = F.exists(F.coalesce(F.map_keys(entries), none), lambda k: k.startswith("."))
+    split = top.where(F.col("value").startswith("{") & subpaths).select("dir", "name", F.explode(entries).alias("subpath", "value"))
     whole = top.where(~(F.col("value").startswith("{") & subpaths)).select("dir", "name", F.lit(".").alias("subpath"), "value")
-    open_ = split.union(whole).withColumn("rank", F.lit(0).cast("long"))
-    done = None
-    order = F.lit(len(CONDITIONS) + 1)
+    order = F.lit(len(CONDITIONS))
     for i, c in reversed(list(enumerate(CONDITIONS))):
-        order = F.when(F.col("condition") == c, i + 1).otherwise(order)
-    for _ in range(DEEPEST):
-        leaf = open_.where(~F.col("value").startswith("{")).select("dir", "name", "subpath", F.posexplode(strings(F.col("value"))).alias("at", "target"), "rank")
-        leaf = leaf.select("dir", "name", "subpath", "target", (F.col("rank") * 16 + F.least("at", F.lit(15))).alias("rank"))
-        done = leaf if done is None else done.union(leaf)
-        open_ = open_.where(F.col("value").startswith("{")).select("dir", "name", "subpath", F.explode(F.from_json("value", JSON_MAP)).alias("condition", "value"), "rank").where("condition not like 'types%' and value is not null")
-        open_ = open_.select("dir", "name", "subpath", "value", (F.col("rank") * 16 + order).alias("rank"))
-    best = done.where(F.col("target").startswith(".")).groupBy("dir", "name", "subpath", "target").agg(F.min("rank").alias("rank"))
-    ranked = best.groupBy("dir", "name", "subpath").agg(F.sort_array(F.collect_list(F.struct("rank", "target"))).alias("t"))
+        order = F.when(F.col("condition") == c, i).otherwise(order)
+    keep = ["dir", "name", "subpath"]
+    open_, done = split.union(whole).withColumn("taken", F.array().cast("array<int>")), None
+    while True:
+        open_ = cut(open_.where("value is not null"))
+        nested = F.col("value").rlike(r"^[\[{]")
+        done = open_.where(~nested) if done is None else done.union(open_.where(~nested))
+        if open_.where(nested).isEmpty():
+            break
+        objects = open_.where(F.col("value").startswith("{")).select(*keep, F.explode(entries).alias("condition", "value"), "taken").where("condition not like 'types%'")
+        lists = open_.where(F.col("value").startswith("[")).select(*keep, F.posexplode(F.from_json("value", JSON_LIST)).alias("at", "value"), "taken")
+        open_ = objects.select(*keep, "value", F.array_append("taken", order).alias("taken")).union(lists.select(*keep, "value", F.array_append("taken", F.col("at")).alias("taken")))
+    best = done.where(F.col("value").startswith(".")).groupBy(*keep, F.col("value").alias("target")).agg(F.min("taken").alias("taken"))
+    ranked = best.groupBy(*keep).agg(F.sort_array(F.collect_list(F.struct("taken", "target"))).alias("t"))
     # Small, but read in several places: written once.
-    return cut(ranked.select("dir", "name", "subpath", F.posexplode("t").alias("place", "t")).select("dir", "name", "subpath", F.col("t.target").alias("target"), F.col("place").cast("long").alias("rank")))
+    return cut(ranked.select(*keep, F.posexplode("t").alias("place", "t")).select(*keep, F.col("t.target").alias("target"), F.col("place").cast("long").alias("rank")))
 
 
 def sources_of(target: Column) -> Column:
@@ -155,22 +154,29 @@ def globbed(files: DataFrame, globs: DataFrame) -> DataFrame:
 
 
 def configurations(files: DataFrame) -> DataFrame:
-    """(path, dir, json, base): compiler configurations; base is the path of each one that `extends` leads to, itself first, up to DEEPEST levels.
+    """(path, dir, json, base, level): compiler configurations and all that their `extends` leads to, itself first; of two bases that of the lesser level (an array) wins.
 
-    Each level is a join of the few configurations with themselves.
+    Chains of any length, in as many rounds as the logarithm of it: each round
+    joins what is known of a base to what is known of those that lead to it. Of a
+    list the last one wins, with all that it leads to, before the one before it.
+    A route doesn't pass a configuration twice, so rings end.
     """
     every = cut(named(files, r"(?:^|/)[jt]sconfig[^/]*\.json\z").select("path", "dir", "json"))
-    chain = every.select("path", F.col("path").alias("base"), F.lit(0).alias("level"), "dir", "json")
-    if every.where("get_json_object(json, '$.extends') is not null").isEmpty():
-        return chain
-    out, step = chain, chain
-    known = every.select(F.col("path").alias("base"), "dir", "json")
-    for level in range(1, DEEPEST + 1):
-        up = step.select("path", "dir", F.posexplode(strings(F.get_json_object("json", "$.extends"))).alias("at", "to")).where(F.col("to").rlike(r"^\.{1,2}/|^/"))
-        up = up.select("path", "at", at("dir", F.when(F.col("to").endswith(".json"), F.col("to")).otherwise(F.concat("to", F.lit(".json")))).alias("base"))
-        step = up.join(known, "base").select("path", "base", (F.lit(level * 16) - F.least("at", F.lit(15))).alias("level"), "dir", "json")
-        out = out.union(step)
-    return cut(out.groupBy("path", "base").agg(F.min("level").alias("level"), F.first("dir").alias("dir"), F.first("json").alias("json")))
+    up = every.select("path", "dir", F.posexplode(strings(F.get_json_object("json", "$.extends"))).alias("at", "to")).where(F.col("to").rlike(r"^\.{1,2}/|^/"))
+    up = up.select("path", "at", at("dir", F.when(F.col("to").endswith(".json"), F.col("to")).otherwise(F.concat("to", F.lit(".json")))).alias("base"))
+    steps = up.where("base <> path").groupBy("path", "base").agg(F.max("at").alias("at"))
+    known = cut(steps.join(every.select(F.col("path").alias("base")), "base").select("path", "base", F.array(-F.col("at")).alias("level"), F.array("base").alias("route")))
+    while not known.isEmpty():
+        more = known.select(F.col("path").alias("base"), F.col("base").alias("further"), F.col("level").alias("on"), F.col("route").alias("rest"))
+        longer = known.join(more, "base").where((F.col("further") != F.col("path")) & ~F.arrays_overlap("route", "rest") & ~F.array_contains("rest", F.col("path")))
+        longer = longer.select("path", F.col("further").alias("base"), F.concat("level", "on").alias("level"), F.concat("route", "rest").alias("route"))
+        best = cut(known.union(longer).groupBy("path", "base").agg(F.min(F.struct("level", "route")).alias("x")).select("path", "base", "x.level", "x.route"))
+        new = best.join(known, ["path", "base", "level"], "left_anti")
+        known, ended = best, new.isEmpty()
+        if ended:
+            break
+    own = every.select("path", F.col("path").alias("base"), F.array().cast("array<int>").alias("level"))
+    return cut(own.union(known.select("path", "base", "level")).join(every.select(F.col("path").alias("base"), "dir", "json"), "base"))
 
 
 def _nearest(chain: DataFrame, field: str) -> DataFrame:

@@ -610,3 +610,37 @@ def t54_handed_on(spark, d):
     barrels = customer.join(after, "k", "left").selectExpr("concat('b', k, '.ts') as path", "case when k % 7 <> 0 and more then concat(\"export * from './b\", k + 1, \"';\") else 'export {};' end as content")
     users = customer.where("k % 7 = 1").selectExpr("concat('u', k, '.ts') as path", "concat('import { x', k, \" } from './b\", k, \"';\") as content")
     return review.handed_on(tree(barrels, users))
+
+
+# Exports maps of any depth, and configurations that extend each other over long ways and in rings.
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_partkey % 9 + 1 AS depth, p_partkey % 4 = 0 AS listed FROM part),
+t AS (SELECT k, './dist/deep' || depth || '.js' AS target, 0 AS rank FROM p
+  UNION ALL SELECT k, './dist/old.js', 1 FROM p WHERE NOT listed
+  UNION ALL SELECT k, './dist/f' || i || '.js', i + 1 FROM p, range(20) r(i) WHERE listed)
+SELECT 'lib/p' || k AS dir, 'p' || k AS name, '.' AS subpath, target, CAST(rank AS bigint) AS rank FROM t""")
+def t60_deep_exports(spark, d):
+    """Exports maps with one to nine conditions within each other, and lists of twenty things to fall back to."""
+    fallback = ", ".join(f'"./dist/f{i}.js"' for i in range(20))
+    value = f"""case when p_partkey % 4 = 0 then '[{fallback}]' else '"./dist/old.js"' end"""
+    text = f"""concat('{{"name": "p', p_partkey, '", "exports": {{"types": "./t.d.ts", "import": ', repeat('{{"node": ', p_partkey % 9), '"./dist/deep', p_partkey % 9 + 1, '.js"', repeat('}}', p_partkey % 9), ', "default": ', {value}, '}}}}')"""
+    return manifests.exports_targets(tree(table(spark, d, "part").selectExpr("concat('lib/p', p_partkey, '/package.json') as path", f"{text} as content")))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_suppkey // 40 AS g, (SELECT max(s_suppkey) FROM supplier) AS most FROM supplier),
+e AS (SELECT k, g, least(g * 40 + 39, most) AS last, g % 5 = 1 AS ring FROM s),
+b AS (SELECT *, CASE WHEN ring THEN g * 40 + 7 ELSE last END AS base, ring OR k <= last - (last + 7) % 10 AND last - (last + 7) % 10 >= g * 40 OR k % 10 = 3 AS mapped FROM e)
+SELECT 'c/s' || k AS dir, '' AS prefix, 'c/s' || base || '/src' AS target FROM b
+UNION ALL SELECT 'c/s' || k, '@', 'c/s' || base || '/src/lib' FROM b WHERE mapped""")
+def t61_long_extends(spark, d):
+    """Chains of forty configurations, of which the last says where names begin and some say what a name stands for; some chains are rings."""
+    supplier = table(spark, d, "supplier").selectExpr("s_suppkey as k", "floor(s_suppkey / 40) as g")
+    last = supplier.groupBy("g").agg(F.max("k").alias("last"), F.min("k").alias("first"))
+    rows = supplier.join(last, "g").withColumn("ring", F.expr("g % 5 = 1"))
+    to = "case when k < last then k + 1 when ring then first end"
+    base = "case when ring and k % 40 = 7 or not ring and k = last then '\"baseUrl\": \"src\",' else '' end"
+    paths = "case when k % 10 = 3 then '\"paths\": {\"@/*\": [\"lib/*\"]},' else '' end"
+    text = f"concat('{{', coalesce(concat('\"extends\": \"../s', {to}, '/tsconfig\",'), ''), '\"compilerOptions\": {{', {base}, {paths}, '}}}}')"
+    return manifests.config_aliases(tree(rows.selectExpr("concat('c/s', k, '/tsconfig.json') as path", f"{text} as content")))
