@@ -8,49 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.facts import CODE, fact, of, with_facts
+from loomline.functions.blocks import rust_modules
+from loomline.functions.facts import CODE, fact, of, told
+from loomline.functions.languages import LANGUAGES, language
 from loomline.functions.paths import ancestors, basename, dirname, extension, normalise, prefixes, stem, suffixes
 
-LANGUAGES = {
-    "javascript": (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts", ".vue", ".svelte"),
-    "python": (".py", ".pyi"),
-    "java": (".java",),
-    "kotlin": (".kt", ".kts"),
-    "go": (".go",),
-    "rust": (".rs",),
-    "csharp": (".cs",),
-}
 #: Names that stand for their folder.
 FOLDER_NAMES = ("index", "__init__", "mod")
 
 
-def language(path: Column | str) -> Column:
-    """Null for files that aren't parsed."""
-    ext = extension(path)
-    out = F.lit(None).cast("string")
-    for name, known in LANGUAGES.items():
-        out = F.when(ext.isin(*known), name).otherwise(out)
-    return out
-
-
-#: One token at a time: strings, which are the first group, and comments. A slash pair behind a colon or a backslash belongs to an address or a pattern.
-_QUOTED = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\''
-SLASHED = rf"({_QUOTED}|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`)|(?<![:\\])//[^\n]*+|/\*[\s\S]*?\*/"
-#: Texts between three quotes are comments, too: they are documentation, or data.
-HASHED = rf'"""[\s\S]*?"""|\'\'\'[\s\S]*?\'\'\'|({_QUOTED})|#[^\n]*+'
-
-
-def without_comments() -> Column:
-    """The text of a file in one of LANGUAGES without its comments; others as they are."""
-    text, lang = F.coalesce(F.col("content"), F.lit("")), language("path")
-    return F.when(lang == "python", F.regexp_replace(text, HASHED, "$1")).when(lang.isNotNull(), F.regexp_replace(text, SLASHED, "$1")).otherwise(text)
-
-
-def told(files: DataFrame, *names: str) -> DataFrame:
-    """`files` with these facts, taken here if they aren't there."""
-    return with_facts(files, names, without_comments)
-
-
 def _all(text: Column, pattern: str, kind: str, group: int = 1) -> Column:
     return _kinds(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), kind)
 
@@ -95,7 +61,7 @@ def _rust(text: Column) -> Column:
     heads = F.arrays_zip(F.regexp_extract_all(text, F.lit(braces), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(braces), F.lit(2)).alias("b"))
     inner = F.flatten(F.transform(heads, lambda s: F.transform(F.regexp_extract_all(s["b"], F.lit(r"(?:^|,)\s*([\w:]+)"), F.lit(1)), lambda n: F.concat(s["a"], F.lit("::"), n))))
     return F.concat(
-        _all(text, r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?:r#)?(\w+)\s*;", "mod"),
+        _kinds(rust_modules(text), "mod"),
         _all(text, r"""#\[path\s*=\s*"([^"\n]+)"\]""", "path"),
         _all(text, r"""\binclude!\(\s*"([^"\n]+)"\s*\)""", "path"),
         _all(text, r"\buse\s+((?:crate|super|self)(?:::\w+)+)", "use"),

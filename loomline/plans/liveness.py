@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.facts import CODE, fact, of
+from loomline.functions.facts import CODE, fact, of, told
 from loomline.functions.paths import ancestors, dirname, matches_any, normalise, prefixes
-from loomline.functions.references import exports, file_keys, language, references, told, with_keys
+from loomline.functions.references import exports, file_keys, language, references, with_keys
 from loomline.operators import graph, rules
 from loomline.operators.lineage import cut
 from loomline.operators.rules import Rule

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.facts import FACTS, has_facts, with_facts
-from loomline.functions.references import without_comments
 from loomline.operators.lineage import written
 from loomline.plans.configs import BUILDS, SCRAPES
 from loomline.sources.tree import list_tree, read_files
@@ -33,7 +32,7 @@ def extracted(files: DataFrame, names: Iterable[str] | None = None, options: Any
     """
     names = list(FACTS if names is None else names)
     kept = [c for c in KEPT if c in files.columns]
-    rows = with_facts(files.select(*kept, "content"), names, without_comments, options)
+    rows = with_facts(files.select(*kept, "content"), names, options)
     return rows.select(*kept, F.sha2(F.col("content").cast("binary"), 256).alias("sha"), F.when(F.col("path").rlike(CONFIGURATION), F.col("content")).alias("content"), *(f"fact_{n}" for n in names))
 
 

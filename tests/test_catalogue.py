@@ -4,11 +4,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomline.plans import catalogue, trees
+from loomline.plans import catalogue, forms
 
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = catalogue.QUERIES | trees.QUERIES, catalogue.ORACLES | trees.ORACLES
+QUERIES, ORACLES = catalogue.QUERIES | forms.QUERIES, catalogue.ORACLES | forms.ORACLES
 
 
 @pytest.fixture(scope="module")
