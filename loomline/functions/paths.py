@@ -34,16 +34,18 @@ def stem(path: Column | str) -> Column:
 
 def normalise(path: Column | str) -> Column:
     """Without empty and `.` parts, `..` resolved; null if that leads above the top. Paths without such parts, most of them, are only looked at."""
-    parts = F.filter(F.split(_col(path), "/", -1), lambda x: ~x.isin("", "."))
     above = F.lit("..")
 
     def step(acc: Column, x: Column) -> Column:
         up = F.when((F.size(acc) == 0) | (F.element_at(acc, -1) == above), F.concat(acc, F.array(above))).otherwise(F.slice(acc, 1, F.size(acc) - 1))
         return F.when(x == above, up).otherwise(F.concat(acc, F.array(x)))
 
-    done = F.aggregate(parts, F.array().cast("array<string>"), step)
-    resolved = F.when(F.coalesce(F.get(done, F.lit(0)), F.lit("")) != above, F.array_join(done, "/"))
-    return F.when(_col(path).rlike(r"(?:^|/)\.{0,2}(?:/|\z)"), resolved).otherwise(_col(path))
+    def resolved(p: Column) -> Column:
+        done = F.aggregate(F.filter(F.split(p, "/", -1), lambda x: ~x.isin("", ".")), F.array().cast("array<string>"), step, lambda d: F.when(F.coalesce(F.get(d, F.lit(0)), F.lit("")) != above, F.array_join(d, "/")))
+        return F.when(p.rlike(r"(?:^|/)\.{0,2}(?:/|\z)"), done).otherwise(p)
+
+    # The path stands once in the expression, however often it is looked at.
+    return F.get(F.transform(F.array(_col(path)), resolved), F.lit(0))
 
 
 def ancestors(path: Column | str) -> Column:

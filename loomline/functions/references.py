@@ -265,7 +265,11 @@ def _candidates() -> Column:
     python = F.when(kind == "lazy", both).otherwise(python)
     dotted = F.translate(module, ".", "/")
     jvm = F.when(module.rlike(PLATFORM_PACKAGES), F.array().cast("array<struct<rank: int, key: string>>"))
-    jvm = jvm.when(module.endswith(".*"), ranked(key("d:", F.regexp_replace(dotted, r"/\*\z", "")), key("s:", F.regexp_replace(dotted, r"/\*\z", "")))).otherwise(ranked(key("s:", dotted), key("s:", dirname(dotted))))
+    parent = F.regexp_replace(module, r"\.[^.]*\z", "")
+    # Declared packages come first, then ends of paths, then the name of a class alone.
+    last = F.substring_index(module, ".", -1)
+    alone = F.when(is_upper_first(last) & last.rlike("^[A-Za-z]"), key("c:", last))
+    jvm = jvm.when(module.endswith(".*"), ranked(key("d:", F.regexp_replace(dotted, r"/\*\z", "")), key("s:", F.regexp_replace(dotted, r"/\*\z", "")))).otherwise(ranked(key("j:", module), key("j:", parent), key("s:", dotted), key("s:", dirname(dotted)), alone))
     ends_of = suffixes("module")
     go = F.transform(ends_of, lambda x, i: F.struct((i + 1).alias("rank"), key("d:", x).alias("key")))
     parts = F.split(module, "::")

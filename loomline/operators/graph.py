@@ -9,28 +9,50 @@ from pyspark.sql import functions as F
 from loomline.operators.lineage import cut
 
 
+#: Edges of one source that a task holds at most; the edges of sources with more are dealt out over as many tasks as that takes.
+SPLIT = 1_000_000
+
+
+def dealt(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges with a `part`, dealt out by source and part; and the number of parts of each source that has several (src, parts).
+
+    A source's edges go to parts by their ends, so none has much more than SPLIT of one source.
+    """
+    heavy = cut(edges.groupBy("src").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("parts")).where("parts > 1"))
+    if heavy.isEmpty():
+        return edges.withColumn("part", F.lit(0)).repartition("src"), heavy
+    part = F.pmod(F.hash("dst"), F.coalesce("parts", F.lit(1)))
+    return edges.join(heavy, "src", "left").select("src", "dst", part.alias("part")).repartition("src", "part"), heavy
+
+
 def depths(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """(node, depth): the fewest edges from a seed to each node that is within `most` of one.
 
     `edges` has src and dst, `seeds` has node. Each round joins the nodes found
     last with the edges and drops nodes known before, so cycles end. A round's rows
     are written to the shared folder. Edges are written there too, and held in
-    memory, dealt out by src once, so that a round moves its frontier only; what
-    is held on an executor that is lost is read again. Distinct aggregates before it shuffles.
+    memory, dealt out once, so that a round moves its frontier only; what is held
+    on an executor that is lost is read again. A node with very many edges meets
+    each part of them by a row of its own. Distinct aggregates before it shuffles.
     """
-    edges = cut(edges.select("src", "dst").where("src <> dst").distinct()).repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
+    held, heavy = dealt(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    held = held.persist(StorageLevel.MEMORY_AND_DISK)
+    split = not heavy.isEmpty()
     frontier = cut(seeds.select("node").where("node is not null").distinct().withColumn("depth", F.lit(0)))
     known, depth = frontier, 0
     while most is None or depth < most:
         depth += 1
-        found = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        asked = frontier.select(F.col("node").alias("src"))
+        if split:
+            asked = asked.join(heavy, "src", "left").select("src", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        found = held.join(asked, asked.columns).select(F.col("dst").alias("node")).distinct()
         frontier = cut(found.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         known = known.union(frontier)
         if depth % 8 == 0:
             known = cut(known)
-    edges.unpersist()
+    held.unpersist()
     return known
 
 

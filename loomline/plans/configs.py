@@ -148,12 +148,3 @@ def load_options(files: DataFrame, defaults: dict | None = None, overrides: dict
     if ignored:
         out["ignore"] = [*out.get("ignore", []), *ignored]
     return {**out, **(overrides or {})}
-
-
-def frameworks_configured(files: DataFrame) -> DataFrame:
-    """(framework): frameworks known by a configuration file of theirs."""
-    known = {"nuxt": r"(?:^|/)nuxt\.config\.[cm]?[jt]s\z", "next": r"(?:^|/)next\.config\.[cm]?[jt]s\z", "angular": r"(?:^|/)angular\.json\z", "astro": r"(?:^|/)astro\.config\.[cm]?[jt]s\z", "svelte": r"(?:^|/)svelte\.config\.[cm]?js\z"}
-    label = F.lit(None).cast("string")
-    for name, pattern in known.items():
-        label = F.when(F.col("path").rlike(pattern), name).otherwise(label)
-    return files.select(label.alias("framework")).where("framework is not null").distinct()

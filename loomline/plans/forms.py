@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.blocks import members, struct_tags
+from loomline.plans import liveness, manifests, tables
 from loomline.plans.catalogue import table
+from loomline.plans.entry_rules import FRAMEWORKS, TOOLS, braces, rule_entries, rules
 from loomline.plans.trees import ORACLES, QUERIES, graph_edges, query, tree
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -141,3 +143,118 @@ def t70_struct_tags(spark, d):
     """Tags of fields of structures in Go."""
     text = 'package p\n\ntype T struct {\n\tName string `json:"name~,omitempty" db:"n"`\n\t// Gone string `json:"gone"`\n\tSize int `json:"-"`\n\tBare int\n}\n'
     return struct_tags(tree(table(spark, d, "part").select(F.expr("concat('p', p_partkey, '.go')").alias("path"), _numbered(text).alias("content"))))
+
+
+# Entry points by rules: paths made of the rules' own globs, which SQL tries one by one on every path.
+
+def ruled(spark: SparkSession, d: str) -> DataFrame:
+    """A path for each page and each of a rule's globs in turn, and one for each part that nearly matches."""
+    globs = [(i, g.replace("**/", "w/").replace("**", "w/x.ts").replace("*", "x")) for i, g in enumerate(g for *_, gs in [(k, v) for k, v in TOOLS.items()] + [(k, v[1]) for k, v in FRAMEWORKS.items()] for x in gs for g in braces(x))]
+    made = spark.createDataFrame(globs, "i long, name string")
+    page = table(spark, d, "pages").select((F.col("page_id") * 7 % len(globs)).alias("i"), F.regexp_extract("url", r"^https?://[^/]*/?([^?#]*)", 1).alias("at"))
+    # Broadcast: as many rows as the rules have globs.
+    hit = page.join(F.broadcast(made), "i").select(F.concat(F.regexp_replace(F.col("at"), r"[^\w/]", ""), F.lit("/d"), "i", F.lit("/"), "name").alias("path"))
+    near = table(spark, d, "part").select((F.col("p_partkey") % len(globs)).alias("i"), "p_partkey").join(F.broadcast(made), "i").select(F.concat(F.lit("p"), "p_partkey", F.lit("/"), F.regexp_replace("name", r"(\w)(\.\w+)\z", "$1q$2")).alias("path"))
+    return tree(hit.union(near).distinct().withColumn("content", F.lit("x")))
+
+
+def _sql_rules() -> str:
+    rows = ", ".join(f"({rank}, '{reason}', '{pattern.replace(chr(39), chr(39) * 2)}', {'true' if packages else 'false'})" for rank, reason, _, pattern, packages in rules())
+    names = " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(g.replace("**/", "w/").replace("**", "w/x.ts").replace("*", "x") for gs in [*TOOLS.values(), *(v[1] for v in FRAMEWORKS.values())] for x in gs for g in braces(x)))
+    n = names.count("WHEN ")
+    return rf"""
+    WITH r(rank, reason, pattern, bound) AS (VALUES {rows}),
+    p AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^https?://[^/]*/?([^?#]*)', 1), '[^A-Za-z0-9_/]', '', 'g') || '/d' || page_id * 7 % {n} || '/' || CASE page_id * 7 % {n} {names} END AS path FROM pages
+      UNION SELECT 'p' || p_partkey || '/' || regexp_replace(CASE p_partkey % {n} {names} END, '(\w)(\.\w+)$', '\1q\2') FROM part)
+    SELECT path, min_by(reason, rank) AS reason FROM p JOIN r ON NOT bound AND regexp_matches(path, pattern)
+    WHERE regexp_matches(path, '\.(js|jsx|mjs|cjs|ts|tsx|mts|cts|vue|svelte|py|pyi|java|kt|kts|go|rs|cs)$') GROUP BY 1"""
+
+
+@query(_sql_rules())
+def t71_ruled_entries(spark, d):
+    """Entry points by hundreds of globs, of which each path meets those only that share a literal with it; the first one gives the reason."""
+    return rule_entries(ruled(spark, d))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS kind, 'packages/s' || s_suppkey AS home FROM supplier),
+t(kind, name, reason) AS (VALUES (0, 'pages/a.tsx', 'framework next'), (0, 'middleware.ts', 'framework next'), (1, 'pages/a.tsx', 'framework nuxt'), (1, 'middleware/m.ts', 'framework nuxt'), (2, 'u.guard.ts', 'framework nestjs'), (2, 'inner/src/pages/b.tsx', 'framework gatsby'))
+SELECT home || '/' || name AS path, reason FROM s JOIN t USING (kind)""")
+def t72_frameworks_by_package(spark, d):
+    """Equal paths in packages of different frameworks, known by manifests and by a configuration; a package within one has its own."""
+    supplier = table(spark, d, "supplier").selectExpr("s_suppkey % 4 as kind", "concat('packages/s', s_suppkey) as home")
+    depends = """case kind when 0 then '{"dependencies": {"next": "1"}}' when 2 then '{"devDependencies": {"@nestjs/core": "1"}}' else '{}' end"""
+    made = [supplier.selectExpr("concat(home, '/package.json') as path", f"{depends} as content")]
+    made += [supplier.where("kind = 1").selectExpr("concat(home, '/nuxt.config.ts') as path", "'' as content"), supplier.where("kind = 2").selectExpr("concat(home, '/inner/package.json') as path", """'{"dependencies": {"gatsby": "1"}}' as content""")]
+    names = {"pages/a.tsx": 4, "middleware.ts": 4, "middleware/m.ts": 4, "u.guard.ts": 4, "inner/pages/a.tsx": 2, "inner/src/pages/b.tsx": 2}
+    made += [supplier.where(f"kind = {kind} or {kind} = 4").selectExpr(f"concat(home, '/{n}') as path", "'x' as content") for n, kind in names.items()]
+    return rule_entries(tree(*made))
+
+
+# Packages that only use each other, and classes that two roots offer.
+
+@query("""
+WITH RECURSIVE s AS (SELECT s_suppkey AS k, s_suppkey // 5 AS g FROM supplier), ring AS (SELECT g, min(k) AS first, max(k) AS last FROM s GROUP BY 1),
+e AS (SELECT k AS a, CASE WHEN k < last THEN k + 1 ELSE first END AS b FROM s JOIN ring USING (g) WHERE g % 3 < 2),
+pairs AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+live(k) AS (SELECT k FROM s WHERE g % 3 = 1 AND k % 5 = 0 OR g % 3 = 2 AND (k % 2 = 0 OR k % 7 = 0) UNION SELECT b FROM live JOIN pairs ON a = k)
+SELECT 'packages/s' || k AS dir FROM s WHERE k NOT IN (SELECT k FROM live)""")
+def t73_abandoned_packages(spark, d):
+    """Packages that nobody uses and nobody publishes, alone or in rings; what code of the tree imports is used."""
+    rows = table(spark, d, "supplier").selectExpr("s_suppkey as k", "floor(s_suppkey / 5) as g")
+    ring = rows.join(rows.groupBy("g").agg(F.min("k").alias("first"), F.max("k").alias("last")), "g")
+    depends = "case when g % 3 < 2 then concat(', \"dependencies\": {\"@r/s', case when k < last then k + 1 else first end, '\": \"1\"}') else '' end"
+    main = "case when g % 3 = 1 and k % 5 = 0 then ', \"main\": \"x.js\"' else '' end"
+    made = [ring.selectExpr("concat('packages/s', k, '/package.json') as path", f"concat('{{\"name\": \"@r/s', k, '\"', {depends}, {main}, '}}') as content")]
+    made += [ring.where("g % 3 = 2 and k % 2 = 0").selectExpr("concat('apps/a', k, '.ts') as path", "concat(\"import '@r/s\", k, \"/deep/x';\") as content"), ring.where("g % 3 = 2 and k % 7 = 0").selectExpr("concat('packages/s', k, '/pyproject.toml') as path", "'' as content")]
+    root = spark.createDataFrame([("package.json", '{"private": true}')], "path string, content string")
+    return manifests.abandoned(tree(*made, root))
+
+
+SQL_ROOTS = "s AS (SELECT s_suppkey AS k, s_suppkey % 4 AS kind FROM supplier)"
+
+
+@query(f"""WITH {SQL_ROOTS}
+SELECT 'use/U' || k || '.java' AS src, CASE kind WHEN 1 THEN 'lib/java/S' || k || '.java' WHEN 3 THEN 'core/src/main/java/org/m' || k || '/S' || k || '.java' ELSE 'core/src/main/java/org/n' || k || '/S' || k || '.java' END AS dst FROM s WHERE k % 8 <> 7""")
+def t74_declared_classes(spark, d):
+    """Imports meet declared packages before paths, then names of classes, unless several files have one."""
+    s = table(spark, d, "supplier").selectExpr("s_suppkey as k", "s_suppkey % 4 as kind")
+    made = [
+        s.selectExpr("concat('use/U', k, '.java') as path", "concat('package u', k, ';\\nimport ', case when kind = 3 then 'gone.away' else concat('org.n', k) end, '.S', k, ';\\nimport java.util.List;\\nclass U', k, ' {}\\n') as content"),
+        s.where("kind in (0, 2)").selectExpr("concat('core/src/main/java/org/n', k, '/S', k, '.java') as path", "concat('package org.n', k, ';\\npublic class S', k, ' {}\\n') as content"),
+        s.where("kind = 1").selectExpr("concat('lib/java/S', k, '.java') as path", "concat('package org.n', k, ';\\npublic class S', k, ' {}\\n') as content"),
+        s.where("kind = 2").selectExpr("concat('old/java/org/n', k, '/S', k, '.java') as path", "concat('package attic.n', k, ';\\npublic class S', k, ' {}\\n') as content"),
+        s.where("kind = 3").selectExpr("concat('core/src/main/java/org/m', k, '/S', k, '.java') as path", "concat('package org.m', k, ';\\npublic class S', k, ' {}\\n') as content"),
+        s.where("k % 8 = 7").selectExpr("concat('more/java/org/o', k, '/S', k, '.java') as path", "concat('package org.o', k, ';\\npublic class S', k, ' {}\\n') as content"),
+    ]
+    return graph_edges(tree(*made))
+
+
+@query(f"""WITH {SQL_ROOTS}
+SELECT 'core/src/main/java' AS root, count(*) AS votes FROM s WHERE kind <> 1 UNION ALL SELECT 'more/java', count(*) FROM s WHERE k % 8 = 7 UNION ALL SELECT 'lib/kt', count(*) FROM s WHERE kind = 1""")
+def t75_source_roots(spark, d):
+    """Folders below which paths are what packages say, by votes; files that say something else have none."""
+    s = table(spark, d, "supplier").selectExpr("s_suppkey as k", "s_suppkey % 4 as kind")
+    path = "case when k % 8 = 7 then concat('more/java/org/o', k, '/T', k, '.java') when kind = 1 then concat('lib/kt/org/p', k, '/S', k, '.kt') else concat('core/none/S', k, '.java') end"
+    odd = s.where("kind = 1 or kind = 0 or k % 8 = 7").selectExpr(f"{path} as path", "concat('package org.', case when k % 8 = 7 then 'o' else 'p' end, k, '\\n') as content")
+    usual = s.where("kind <> 1").selectExpr("concat('core/src/main/java/org/n', k, '/S', k, '.java') as path", "concat('package org.n', k, ';\\n') as content")
+    return liveness.source_roots(tree(odd, usual))
+
+
+@query("""
+WITH e AS (SELECT user_id AS u, event_type AS t, min(ts) AS first FROM events GROUP BY ALL), half AS (SELECT min(ts) + (max(ts) - min(ts)) / 50 AS h FROM events),
+v AS (SELECT u, string_agg(t, ',' ORDER BY t) FILTER (first <= h) AS old, string_agg(t, ',' ORDER BY t) AS new FROM e, half GROUP BY u)
+SELECT 'u' || u || '.ts' AS path, './' || t AS module, coalesce(old = new, false) AS unchanged FROM e JOIN v USING (u) WHERE u % 10 <> 0""")
+def t76_rescan(spark, d):
+    """Two versions of a tree: files of the second that the first has as they are keep their facts, others are searched anew, and some went."""
+    events = table(spark, d, "events")
+    half = events.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 50).alias("h"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_set("event_type")), lambda t: F.concat(F.lit("import './"), t, F.lit("';"))), "\n")
+
+    def version(rows: DataFrame) -> DataFrame:
+        return tree(rows.groupBy("user_id").agg(text.alias("content")).select(F.expr("concat('u', user_id, '.ts')").alias("path"), "content"))
+
+    # One row, broadcast.
+    old = tables.written(tables.extracted(version(events.join(F.broadcast(half), F.col("ts") <= F.col("h"))), ["references"]))
+    new = tables.written(tables.refreshed(old.withColumn("modified", F.lit(1.0)), version(events.where("user_id % 10 <> 0"))))
+    return new.select("path", F.inline("fact_references"), F.col("modified").isNotNull().alias("unchanged")).drop("kind")

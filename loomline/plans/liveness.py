@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.facts import CODE, fact, of, told
-from loomline.functions.paths import ancestors, dirname, matches_any, normalise, prefixes
+from loomline.functions.paths import ancestors, basename, dirname, matches_any, normalise, prefixes
 from loomline.functions.references import exports, file_keys, language, references, with_keys
 from loomline.operators import graph, rules
 from loomline.operators.lineage import cut
 from loomline.operators.rules import Rule
 from loomline.plans import configs, manifests
+from loomline.plans.entry_rules import nearest, rule_entries
 from loomline.plans.tables import gathered
 
 #: Why a path is an entry point; the first that matches is the reason.
@@ -140,10 +141,19 @@ def _entry_texts(options: Options | None) -> Column:
     return F.filter(F.array(*(F.when(h, F.lit(i)) for i, h in enumerate(hits))), lambda x: x.isNotNull())
 
 
+def used_packages(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Entries (path, reason) without those of abandoned packages; a package within one is judged by itself."""
+    gone = manifests.abandoned(files)
+    if gone.isEmpty():
+        return found
+    held = nearest(found.select("path").distinct(), manifests.manifests(files))
+    return found.join(held.join(gone, "dir").select("path"), "path", "left_anti")
+
+
 def entries(files: DataFrame, options: Options = Options()) -> DataFrame:
     """(path, reason), one row per entry point, with its first reason."""
     path = F.col("path")
-    files = gathered(files, ["entry_texts"], options)
+    files = gathered(files, ["entry_texts", "references"], options)
     code = files.where(language("path").isNotNull())
     checks = [(r, path.rlike(p)) for r, p in [*ENTRY_PATHS, *options.entries]] + [(r, F.array_contains(of("entry_texts"), i)) for i, (r, _, _) in enumerate(ENTRY_TEXTS)]
     if options.decorators:
@@ -152,10 +162,11 @@ def entries(files: DataFrame, options: Options = Options()) -> DataFrame:
         checks.append(("dynamic", matches_any("path", options.live)))
     ranked = F.filter(F.array(*(F.when(hit, F.struct(F.lit(i).alias("rank"), F.lit(r).alias("reason"))) for i, (r, hit) in enumerate(checks))), lambda x: x.isNotNull())
     own = code.select("path", F.explode(ranked).alias("e")).select("path", "e.rank", "e.reason")
-    named = manifests.package_entries(files).union(page_entries(files)).union(framework_entries(files)).union(configs.configured_entries(files)).union(manifests.config_entries(files)).union(manifests.in_live_projects(files))
+    named = used_packages(manifests.package_entries(files), files).union(page_entries(files)).union(configs.configured_entries(files)).union(manifests.config_entries(files)).union(manifests.in_live_projects(files))
     if options.manifest_fields:
         named = named.union(field_entries(files, options.manifest_fields))
-    named = named.withColumn("rank", F.lit(len(checks))).select("path", "rank", "reason")
+    # What the tree itself names comes before what tools and frameworks find by its path.
+    named = named.withColumn("rank", F.lit(len(checks))).union(rule_entries(files).withColumn("rank", F.lit(len(checks) + 1))).select("path", "rank", "reason")
     every = own.union(named.join(code.select("path"), "path", "left_semi")).where(~set_aside(path, options.set_aside))
     return every.groupBy("path").agg(F.min(F.struct("rank", "reason"))["reason"].alias("reason"))
 
@@ -275,35 +286,6 @@ def class_edges(files: DataFrame) -> DataFrame:
     return uses.select(F.col("path").alias("src"), hub.alias("dst")).union(defined.select(hub, "path"))
 
 
-#: Packages by which a framework is known, and paths it calls by itself.
-FRAMEWORKS = {
-    "nestjs": (("@nestjs/core", "@nestjs/common"), r"\.(?:controller|module|resolver|gateway|guard|interceptor|pipe)\.ts\z"),
-    "vue": (("vue",), r"(?:^|/)(?:router|plugins)/[^/]+\.[jt]s\z"),
-    "nuxt": (("nuxt", "nuxt3"), r"(?:^|/)(?:components|composables|layouts|middleware|plugins|server)/"),
-    "pinia": (("pinia", "vuex"), r"(?:^|/)stores?/[^/]+\.[jt]s\z"),
-    "oclif": (("@oclif/core", "@oclif/command"), r"(?:^|/)commands/.*\.[jt]s\z"),
-    "eslint": (("eslint",), r"(?:^|/)\.?eslint[^/]*\.[cm]?js\z"),
-}
-
-
-def frameworks(files: DataFrame) -> DataFrame:
-    """(framework): those that a package manifest depends on."""
-    manifests = files.where(F.col("path").rlike(r"(?:^|/)package\.json\z"))
-    fields = F.array(*(F.map_keys(F.from_json(F.get_json_object("content", f"$.{f}"), "map<string,string>")) for f in ("dependencies", "devDependencies", "peerDependencies")))
-    names = manifests.select(F.explode(F.flatten(F.filter(fields, lambda x: x.isNotNull()))).alias("package")).distinct()
-    label = F.lit(None).cast("string")
-    for name, (packages, _) in FRAMEWORKS.items():
-        label = F.when(F.col("package").isin(*packages), name).otherwise(label)
-    return names.select(label.alias("framework")).where("framework is not null").distinct()
-
-
-def framework_entries(files: DataFrame) -> DataFrame:
-    """(path, reason): files that a framework in use calls by their path; at most one row per framework is broadcast."""
-    hits = F.filter(F.array(*(F.when(F.col("path").rlike(p), F.lit(name)) for name, (_, p) in FRAMEWORKS.items())), lambda x: x.isNotNull())
-    rows = files.where(language("path").isNotNull()).select("path", F.explode(hits).alias("framework"))
-    return rows.join(F.broadcast(frameworks(files)), "framework").select("path", F.concat(F.lit("framework "), "framework").alias("reason"))
-
-
 def method_edges(files: DataFrame) -> DataFrame:
     """Edges from C# files that call an extension method to those that define one of its name, through a hub for each name."""
     sharp = told(files.where(language("path") == "csharp"), "extensions", "methods")
@@ -351,15 +333,44 @@ def glob_edges(files: DataFrame) -> DataFrame:
     return refs.select(F.col("path").alias("src"), hub.alias("dst")).union(found.select(hub, "path"))
 
 
+def _package() -> Column:
+    return F.regexp_extract(of("unit"), r"^jvm (.+)", 1)
+
+
+def source_roots(files: DataFrame) -> DataFrame:
+    """(root, votes): folders below which Java and Kotlin files lie as their packages say, by how many do."""
+    rows = told(files.where(language("path").isin("java", "kotlin")), "unit").select(dirname("path").alias("folder"), F.translate(_package(), ".", "/").alias("inner")).where("inner <> ''")
+    fits = F.concat(F.lit("/"), "folder").endswith(F.concat(F.lit("/"), F.col("inner")))
+    root = F.expr("substring(folder, 1, greatest(length(folder) - length(inner) - 1, 0))")
+    return rows.where(fits).groupBy(root.alias("root")).agg(F.count("*").alias("votes"))
+
+
+def class_keys(files: DataFrame) -> DataFrame:
+    """(key, target) of Java and Kotlin files: j: by package and name, c: by name. A file that declares no package has that of its place below the root with the most votes."""
+    rows = told(files.where(language("path").isin("java", "kotlin")), "unit").select("path", F.nullif(_package(), F.lit("")).alias("package"))
+    bare = rows.where("package is null").select("path", F.explode(ancestors("path")).alias("root")).join(source_roots(files), "root")
+    placed = bare.groupBy("path").agg(F.max_by("root", "votes").alias("root")).select("path", F.translate(F.regexp_replace(F.expr("substring(path, length(root) + 1)"), r"^/|/?[^/]*\z", ""), "/", ".").alias("package"))
+    every = rows.where("package is not null").union(placed)
+    name = F.regexp_replace(basename("path"), r"\.[^.]*\z", "")
+    whole = F.concat(F.lit("j:"), F.concat_ws(".", F.nullif("package", F.lit("")), name))
+    named = rows.select(F.concat(F.lit("c:"), name).alias("key"), F.col("path").alias("target"))
+    return every.select(whole.alias("key"), F.col("path").alias("target")).union(named)
+
+
+def keys_of(files: DataFrame, options: Options) -> DataFrame:
+    """(key, target): by what references may name a file. A folder's name, or that of a class alone, doesn't stand for files that are set aside."""
+    keys = file_keys(files.where(language("path").isNotNull()).select("path")).union(class_keys(files))
+    return keys.where(~(F.col("key").rlike("^[dfc]:") & set_aside(F.col("target"), options.set_aside)))
+
+
 def resolved(files: DataFrame, options: Options = Options()) -> DataFrame:
     """(path, module, kind, key, n): the best keys of each reference that files have, and how many files each has.
 
     References meet distinct keys, not files, so that many importers of a name that many files have make no product.
     """
     raw = cut(references(files))
-    keys = file_keys(files.where(language("path").isNotNull()).select("path"))
-    # A folder's name doesn't stand for its files that are set aside by theirs.
-    sizes = keys.where(~(F.col("key").rlike("^[df]:") & set_aside(F.col("target"), options.set_aside))).groupBy("key").agg(F.count("*").alias("n"))
+    # A class's name alone means a file only if it is the one with that name.
+    sizes = keys_of(files, options).groupBy("key").agg(F.count("*").alias("n")).where("n = 1 or key not like 'c:%'")
     refs = with_keys(raw, "path", "module", "kind").unionByName(aliased_keys(raw, aliases(files)))
     found = cut(refs.join(sizes, "key"))
     # The least rank of each reference, aggregated with its keys: no window over hot references.
@@ -374,8 +385,7 @@ LINKS = ["references", "types", "type_names", "extensions", "methods", "beans",
 def edges(files: DataFrame, options: Options = Options()) -> DataFrame:
     """(src, dst): references resolved to files, through a hub where several files have a name; and hubs that link files of one Go folder, JVM package or C# namespace, users of C# types and methods, of containers, folders and globs."""
     files = gathered(files, LINKS, options)
-    keys = file_keys(files.where(language("path").isNotNull()).select("path"))
-    keys = keys.where(~(F.col("key").rlike("^[df]:") & set_aside(F.col("target"), options.set_aside)))
+    keys = keys_of(files, options)
     best = cut(resolved(files, options).select("path", "key", "n").distinct())
     single = best.where("n = 1").join(keys, "key").select(F.col("path").alias("src"), F.col("target").alias("dst"))
     hub = F.concat(F.lit("hub:"), "key")

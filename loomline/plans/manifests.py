@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.paths import ancestors, dirname, glob_pattern, glob_root, normalise
-from loomline.functions.references import file_keys
+from loomline.functions.references import file_keys, references
 from loomline.operators import graph
 from loomline.operators.lineage import cut
 
@@ -252,3 +252,40 @@ def depended_on(files: DataFrame) -> DataFrame:
     """(package): names that any manifest depends on."""
     fields = F.array(*(F.map_keys(F.from_json(F.get_json_object("json", f"$.{f}"), JSON_MAP)) for f in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")))
     return manifests(files).select(F.explode(F.flatten(F.filter(fields, lambda x: x.isNotNull()))).alias("package")).distinct()
+
+
+#: Fields by which a package is published, or run by itself.
+PUBLISHED = ("main", "module", "source", "types", "browser", "bin", "exports", "ember", "ember-addon", "angular", "ng-package", "scripts.start", "scripts.dev", "scripts.build")
+#: Files beside a manifest that make it one of another language's project.
+OTHER_PROJECTS = r"(?:^|/)(?:pyproject\.toml|setup\.(?:py|cfg)|go\.mod|Cargo\.toml|build\.gradle|pom\.xml|Gemfile|mix\.exs|Package\.swift)\z"
+
+
+def package_edges(files: DataFrame) -> DataFrame:
+    """(src, dst): folders of packages, where the first depends on the second's name, or has code that imports it."""
+    homes = manifests(files).select("dir", F.get_json_object("json", "$.name").alias("package"))
+    fields = F.array(*(F.map_keys(F.from_json(F.get_json_object("json", f"$.{f}"), JSON_MAP)) for f in ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")))
+    told = manifests(files).select("dir", F.explode(F.flatten(F.filter(fields, lambda x: x.isNotNull()))).alias("package"))
+    known = homes.where("package is not null")
+    # Few names of all that are imported are packages of the tree, and few folders import each.
+    used = references(files).where("language = 'javascript'").select(dirname("path").alias("folder"), F.regexp_extract("module", r"^(?:@[^/]+/)?[^/]+", 0).alias("package")).distinct().join(known.select("package").distinct(), "package", "left_semi")
+    probes = used.select("folder", "package", F.explode(F.array_union(F.array("folder"), ancestors("folder"))).alias("dir")).join(homes.select("dir"), "dir")
+    inside = probes.groupBy("folder", "package").agg(F.max_by("dir", F.length("dir")).alias("dir")).select("dir", "package")
+    return told.union(inside).distinct().join(known.withColumnRenamed("dir", "dst"), "package").select(F.col("dir").alias("src"), "dst").where("src <> dst").distinct()
+
+
+def abandoned(files: DataFrame) -> DataFrame:
+    """(dir): packages that nothing published or run leads to or uses, over any number of packages in between; rings of them, too.
+
+    The tree's own manifest, packages with one of PUBLISHED, and those that
+    belong to another language's project stand by themselves.
+    """
+    rows = manifests(files).where("dir <> '' and get_json_object(json, '$.name') is not null")
+    own = F.coalesce(*(F.get_json_object("json", "$['" + f.replace(".", "']['") + "']") for f in PUBLISHED))
+    others = files.where(F.col("path").rlike(OTHER_PROJECTS)).select(dirname("path").alias("dir")).distinct()
+    doubted = cut(rows.where(own.isNull()).join(others, "dir", "left_anti").select("dir"))
+    if doubted.isEmpty():
+        return doubted
+    edges = cut(package_edges(files))
+    every = manifests(files).select("dir").distinct()
+    live = graph.reachable(edges.union(edges.select("dst", "src")), every.join(doubted, "dir", "left_anti").select(F.col("dir").alias("node")))
+    return doubted.join(live.withColumnRenamed("node", "dir"), "dir", "left_anti")

@@ -59,3 +59,24 @@ def test_rules(spark):
     ranks = spark.createDataFrame([(s, b) for s in range(1, 5) for b in range(5)], "s int, b int").select("s", "b", rules.boosted(F.col("s"), F.col("b")).alias("r"))
     assert all(r.r == (min(4, r.s + 1) if r.b and r.b >= r.s else r.s) for r in ranks.collect())
     assert rules.gate(rules.scan_lines(df, own, "t", "k"), "HIGH").first().failed and not rules.gate(df.limit(0).withColumn("severity", F.lit("LOW")), "LOW").first().failed
+
+
+def test_heavy_sources_are_dealt_over_tasks(spark, monkeypatch):
+    from loomline.operators import graph
+
+    rows = [("hub", f"n{i}") for i in range(3000)] + [(f"n{i}", f"m{i % 40}") for i in range(3000)] + [(f"n{i}", f"n{i + 1}") for i in range(3000)] + [("m3", "hub")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    seeds = spark.createDataFrame([("m3",), (None,)], "node string")
+    whole = {tuple(r) for r in graph.depths(edges, seeds).collect()}
+    monkeypatch.setattr(graph, "SPLIT", 100)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held, heavy = graph.dealt(edges)
+        sizes = sorted(r["count"] for r in held.groupBy(F.spark_partition_id()).count().collect())
+        assert [(r.src, r.parts) for r in heavy.collect()] == [("hub", 30)]
+        assert len(sizes) == 16 and sizes[-1] < 10 * sizes[8] and sum(sizes) == len(rows)
+        assert {tuple(r) for r in graph.depths(edges, seeds).collect()} == whole and ("m7", 3) in whole
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
