@@ -25,3 +25,13 @@ def language(path: Column | str) -> Column:
     for name, known in LANGUAGES.items():
         out = F.when(ext.isin(*known), name).otherwise(out)
     return out
+
+
+#: Ends of files that aren't code but belong to it.
+STYLES, ASSETS = (".css", ".scss", ".sass", ".less"), (".png", ".jpg", ".jpeg", ".gif", ".svg", ".webp", ".ico", ".woff", ".woff2", ".ttf", ".eot")
+
+
+def category(path: Column | str) -> Column:
+    """The language, or css, assets, or other."""
+    ext = extension(path)
+    return F.coalesce(language(path), F.when(ext.isin(*STYLES), "css").when(ext.isin(*ASSETS), "assets").otherwise("other"))

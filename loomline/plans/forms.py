@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.functions.blocks import members, struct_tags
-from loomline.plans import liveness, manifests, tables
+from loomline.functions.languages import category
+from loomline.plans import liveness, manifests, review, tables
 from loomline.plans.catalogue import table
 from loomline.plans.entry_rules import FRAMEWORKS, TOOLS, braces, rule_entries, rules
 from loomline.plans.trees import ORACLES, QUERIES, graph_edges, query, tree
@@ -258,3 +259,108 @@ def t76_rescan(spark, d):
     old = tables.written(tables.extracted(version(events.join(F.broadcast(half), F.col("ts") <= F.col("h"))), ["references"]))
     new = tables.written(tables.refreshed(old.withColumn("modified", F.lit(1.0)), version(events.where("user_id % 10 <> 0"))))
     return new.select("path", F.inline("fact_references"), F.col("modified").isNotNull().alias("unchanged")).drop("kind")
+
+
+# A risky line for each rule, and one that only looks like it: file's end, line, near miss.
+
+RISKS = {
+    "private-key": ("py", 'k = "-----BEGIN RSA PRIVATE KEY-----"', 'k = "-----BEGIN RSA PUBLIC KEY-----"'),
+    "provider-token": ("go", 't := "glpat-0123456789abcdefghij"', 't := "glpat-0123"'),
+    "secret-literal": ("ts", 'const apiKey = "abcdef123";', "const apiKey = env.apiKey;"),
+    "eval py": ("py", "x = eval(y)", "x = model.eval(y)"),
+    "process py": ("py", "os.system(cmd)", "os.path(cmd)"),
+    "pickle": ("py", "pickle.loads(b)", "json.loads(b)"),
+    "yaml-load": ("py", "yaml.load(f)", "yaml.load(f, Loader=SafeLoader)"),
+    "sql-text py": ("py", 'cur.execute("SELECT 1 WHERE a = " + x)', 'cur.execute("SELECT 1 WHERE a = ?", x)'),
+    "unverified py": ("py", "get(u, verify=False)", "get(u, verify=True)"),
+    "temporary-name": ("py", "tempfile.mktemp()", "tempfile.mkstemp()"),
+    "eval js": ("js", "new Function(x)", "new Functional(x)"),
+    "process js": ("js", "exec(`ls ${x}`)", "exec('ls')"),
+    "inner-html": ("js", "a.innerHTML = b", "a.innerHTML == b"),
+    "request-path": ("js", "readFile(req.query.f)", "readFile(name)"),
+    "request-url": ("js", "fetch(req.query.u)", "fetch(url)"),
+    "sql-text js": ("js", "db.query(`select ${x}`)", "db.query(`select 1`)"),
+    "weak-random": ("js", "const token = Math.random()", "const place = Math.random()"),
+    "told-error": ("js", "res.send(err.message)", "res.send(message)"),
+    "logged-secret": ("js", "console.log(user.password)", "console.log(user.name)"),
+    "process go": ("go", 'exec.Command("sh", "-c", x)', 'exec.Command("ls")'),
+    "unverified go": ("go", "InsecureSkipVerify: true", "InsecureSkipVerify: false"),
+    "process jvm": ("java", "rt.exec(a + b);", "rt.exec(a);"),
+    "object-stream jvm": ("kt", "XMLDecoder(s)", "XMLEncoder(s)"),
+    "sql-text jvm": ("java", 'st.executeQuery("select " + x);', 'st.executeQuery("select 1");'),
+    "object-stream cs": ("cs", "var f = new BinaryFormatter();", "var f = new JsonFormatter();"),
+    "unsafe": ("rs", "unsafe { go() }", "unsafely { go() }"),
+    "weak-hash": ("ts", "createHash('md5')", "createHash('sha256')"),
+    "weak-cipher": ("ts", "createCipher('des-ede3-cbc', k)", "createCipher('aes-256-gcm', k)"),
+}
+_RISKY = [(i, name.split()[0], end, line, near) for i, (name, (end, line, near)) in enumerate(RISKS.items())]
+
+
+def _levels() -> str:
+    """The level and weakness of each rule in RISKS, as the library's table has them."""
+    rows = []
+    for i, name, end, *_ in _RISKY:
+        lang = {"py": "python", "js": "javascript", "ts": "javascript", "go": "go", "java": "java", "kt": "kotlin", "cs": "csharp", "rs": "rust"}[end]
+        rule = next(r for r in liveness.CODE_RULES if r.id == name and (not r.languages or lang in r.languages))
+        rows.append(f"({i}, '{name}', '{end}', '{rule.severity}', '{rule.group}')")
+    return ", ".join(rows)
+
+
+@query(f"""WITH t(i, rule, e, severity, rule_group) AS (VALUES {_levels()})
+SELECT 'x/o' || o_orderkey || '.' || e AS path, 2::BIGINT AS line_no, rule, severity, rule_group FROM orders JOIN t ON o_orderkey % {len(RISKS)} = i""")
+def t77_every_rule(spark, d):
+    """A line that each rule finds, after one that only looks like it."""
+    kinds = spark.createDataFrame([(i, end, f"{near}\n{line}\n") for i, _, end, line, near in _RISKY], "i int, e string, content string")
+    # Broadcast: a row for each rule.
+    made = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % len(RISKS)).cast("int").alias("i")).join(F.broadcast(kinds), "i")
+    files = tree(made.selectExpr("concat('x/o', o_orderkey, '.', e) as path", "content"))
+    return tables.extracted(files, ["findings"]).select("path", F.inline("fact_findings")).drop("line")
+
+
+KEPT_TEXTS = [("// DO NOT DELETE", True), ("# do  not remove", True), ("/* Keep this file */", True), ("/** @preserve */", True), ("// do not", False), ("// keep these files", False), ("// @preserved", False)]
+GENERATED_PATHS = [("generated/a.ts", True), ("x/__generated__/a.ts", True), ("codegen/a.py", True), ("a.g.cs", True), ("b/graphql.ts", True), ("m_pb2.py", True), ("m.pb.go", True), ("Item_.java", True), ("F.Designer.cs", True), ("Migrations/M.cs", True), ("mocks/m.go", True), ("kind_string.go", True), ("x/mock_a.go", True), (".next/a.js", True), ("a/degenerated/b.ts", False), ("Designer.cs", False), ("graphql2.ts", False), ("pb2.py", False), ("mocks/m.ts", False)]
+
+
+@query(f"""WITH k(i, kept) AS (VALUES {", ".join(f"({i}, {x})" for i, (_, x) in enumerate(KEPT_TEXTS))}), g(j, path, made) AS (VALUES {", ".join(f"({i}, '{p}', {x})" for i, (p, x) in enumerate(GENERATED_PATHS))})
+SELECT c_custkey, kept, made AS generated FROM customer JOIN k ON c_custkey % {len(KEPT_TEXTS)} = i JOIN g ON c_custkey % {len(GENERATED_PATHS)} = j""")
+def t78_kept_and_generated(spark, d):
+    """Files that ask to stay, and files that generators write, by text and path, with near misses."""
+    texts, paths = (F.array(*(F.lit(x) for x, _ in some)) for some in (KEPT_TEXTS, GENERATED_PATHS))
+    files = table(spark, d, "customer").select("c_custkey", F.get(paths, (F.col("c_custkey") % len(GENERATED_PATHS)).cast("int")).alias("path"), F.get(texts, (F.col("c_custkey") % len(KEPT_TEXTS)).cast("int")).alias("content"))
+    return files.select("c_custkey", F.col("content").rlike(liveness.KEEP).alias("kept"), liveness.generated_path(F.col("path")).alias("generated"))
+
+
+CATEGORIES = [("a.ts", "javascript"), ("b.pyi", "python"), ("C.java", "java"), ("d.kts", "kotlin"), ("e.cs", "csharp"), ("f.go", "go"), ("g.rs", "rust"), ("h.SCSS", "css"), ("i.woff2", "assets"), ("j", "other"), (".css", "other"), ("k.js.map", "other")]
+
+
+@query(f"""WITH t(i, category) AS (VALUES {", ".join(f"({i}, '{c}')" for i, (_, c) in enumerate(CATEGORIES))})
+SELECT category, count(*) AS n_files, sum(p_size)::BIGINT AS size FROM part JOIN t ON p_partkey % {len(CATEGORIES)} = i GROUP BY 1""")
+def t79_categories(spark, d):
+    """Files and their sizes by category."""
+    name = F.get(F.array(*(F.lit(n) for n, _ in CATEGORIES)), (F.col("p_partkey") % len(CATEGORIES)).cast("int"))
+    return table(spark, d, "part").groupBy(category(name).alias("category")).agg(F.count("*").alias("n_files"), F.sum("p_size").cast("long").alias("size"))
+
+
+MARKED = [a for some in liveness.ANNOTATIONS.values() for a in some]
+
+
+@query(f"""WITH n AS (SELECT c_custkey AS k, c_custkey % {2 * len(set(MARKED))} AS i FROM customer) SELECT 'c' || k || '/A.java' AS path, 'annotation' AS reason FROM n WHERE i < {len(set(MARKED))}""")
+def t80_annotations(spark, d):
+    """Classes that frameworks find by an annotation; longer names that begin like one aren't."""
+    names = list(dict.fromkeys(MARKED))
+    every = F.array(*(F.lit(f"@{n}\nclass A {{}}\n") for n in names), *(F.lit(f"// @{n}\n@{n}Extra\nclass A {{}}\n") for n in names))
+    files = table(spark, d, "customer").select(F.expr("concat('c', c_custkey, '/A.java')").alias("path"), F.get(every, (F.col("c_custkey") % (2 * len(names))).cast("int")).alias("content"))
+    return liveness.entries(tree(files))
+
+
+@query("""
+WITH u AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber <= 2), n AS (SELECT s, count(*) AS live FROM u GROUP BY 1)
+SELECT count(*) AS n_files, sum(2)::BIGINT AS n_names FROM n JOIN supplier ON s = s_suppkey""")
+def t81_dead_names(spark, d):
+    """How many files have names that nothing takes, and how many such names there are."""
+    line = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_partkey", "l_suppkey").distinct()
+    users = line.groupBy("l_partkey").agg(F.array_join(F.collect_list(F.expr("concat('import { a', l_suppkey, \" } from './s\", l_suppkey, \"';\")")), "\n").alias("content")).select(F.expr("concat('p', l_partkey, '.ts')").alias("path"), "content")
+    made = table(spark, d, "supplier").selectExpr("concat('s', s_suppkey, '.ts') as path", "concat('export const a', s_suppkey, ' = 1;\\nexport const b = 1;\\n// export const no = 1;\\nexport class C {}\\n') as content")
+    files = tree(users, made)
+    none = files.limit(0).select("path")
+    return review.dead_names(review.partly_dead(files, files.select(F.col("path").alias("node")), none))

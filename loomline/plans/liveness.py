@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.facts import CODE, fact, of, told
-from loomline.functions.paths import ancestors, basename, dirname, matches_any, normalise, prefixes
+from loomline.functions.paths import ancestors, basename, dirname, glob_regex, matches_any, normalise, prefixes
 from loomline.functions.references import exports, file_keys, language, references, with_keys
 from loomline.operators import graph, rules
 from loomline.operators.lineage import cut
@@ -29,6 +29,16 @@ ENTRY_PATHS = [
     ("migration", r"(?:^|/)migrations?/"),
     ("story", r"\.stories\.[jt]sx?\z"),
 ]
+#: Annotations by which frameworks of Java and Kotlin find a class.
+ANNOTATIONS = {
+    "spring": ["SpringBootApplication", "RestController", "Controller", "Service", "Component", "Configuration", "Repository", "Bean", "Aspect", "ControllerAdvice", "RestControllerAdvice", "EnableAutoConfiguration", "Import", "ComponentScan"],
+    "cdi": ["ApplicationScoped", "RequestScoped", "SessionScoped", "Dependent", "Singleton", "Named", "Startup", "Stateless", "Stateful", "MessageDriven"],
+    "quarkus": ["QuarkusMain", "QuarkusTest", "QuarkusIntegrationTest", "BuildStep", "BuildSteps", "Recorder", "TargetClass", "Substitute"],
+    "persistence": ["Entity", "MappedSuperclass", "Embeddable", "Converter"],
+    "web": ["Path", "Provider", "ApplicationPath", "WebServlet", "WebFilter", "WebListener"],
+    "tests": ["Test", "ParameterizedTest", "TestMethodOrder", "TestInstance", "ExtendWith", "SpringBootTest", "WebMvcTest", "DataJpaTest"],
+}
+ANNOTATED = rf"(?m)^\s*@(?:\w+\.)*(?:{'|'.join(dict.fromkeys(a for some in ANNOTATIONS.values() for a in some))})\b"
 #: Why a text makes its file an entry point.
 ENTRY_TEXTS = [
     ("python main", "python", r"""if\s+__name__\s*==\s*['"]__main__['"]"""),
@@ -37,8 +47,8 @@ ENTRY_TEXTS = [
     ("rust main", "rust", r"(?m)^\s*(?:async\s+)?fn\s+main\s*\("),
     ("jvm main", "java", r"public\s+static\s+void\s+main\s*\("),
     ("jvm main", "kotlin", r"(?m)^\s*fun\s+main\s*\("),
-    ("annotation", "java", r"(?m)^\s*@(?:SpringBootApplication|RestController|Controller|Service|Component|Configuration|Repository|Entity)\b"),
-    ("annotation", "kotlin", r"(?m)^\s*@(?:SpringBootApplication|RestController|Controller|Service|Component|Configuration|Repository|Entity)\b"),
+    ("annotation", "java", ANNOTATED),
+    ("annotation", "kotlin", ANNOTATED),
     ("injected", "javascript", r"(?m)^\s*@(?:Injectable|Controller|Module|Component|Resolver|Entity)\s*\("),
 ]
 #: Words before a file's name by which people say that it is out of use; such files are no entry points, and a folder's name doesn't stand for them.
@@ -50,9 +60,17 @@ def set_aside(path: Column, words: list[str]) -> Column:
     return path.rlike(rf"(?i)(?:^|/)(?:(?:{'|'.join(map(re.escape, words))})[-_][^/]*|dead\.[^/]*)\z") if words else F.lit(False)
 
 
-GENERATED_PATH = r"(?:^|/)(?:generated|__generated__)/|\.(?:generated|gen|pb)\.[a-z]+\z|_pb2(?:_grpc)?\.py\z"
-GENERATED_TEXT = r"(?i)@generated|do not edit|automatically generated|code generated by"
-KEEP = r"(?i)do not delete"
+#: Where and under what names generators put what they make, what their files say first, and by what people ask for a file to stay.
+GENERATED_FOLDERS = {
+    "generators": ["generated", "__generated__", "codegen", "__graphql__", "api-client", "swagger-client", "mocks/*.go"],
+    "builds": ["target/generated-sources", "target/generated-test-sources", "build", "dist", "out", "output", "obj", ".next", ".nuxt", ".output", "bazel-bin", "bazel-out", "bazel-testlogs"],
+    "dependencies": ["node_modules", "vendor"],
+    "migrations": ["Migrations/*.cs"],
+}
+GENERATED_NAMES = ["*.generated.*", "*.gen.*", "*.g.ts", "*.g.js", "graphql.{ts,tsx,js}", "gql.{ts,tsx,js}", "*.graphql.{ts,tsx,js}", "*_pb.js", "*_pb.d.ts", "*_pb2.py", "*_pb2_grpc.py", "*.pb.*", "*_.java", "*.Designer.cs", "*.g.cs", "*.g.i.cs", "*.AssemblyAttributes.cs", "*GlobalSuppressions.cs", "*_gen.go", "mock_*.go", "*_mock.go", "*_string.go", "*.rs.bk"]
+GENERATED_PATH = "|".join(glob_regex(g) for g in [*(f"**/{f}" if "*" in f else f"**/{f}/**" for some in GENERATED_FOLDERS.values() for f in some), *(f"**/{n}" for n in GENERATED_NAMES)])
+GENERATED_TEXT = r"(?i)@generated\b|\bdo not edit\b|\bauto(?:matically)?[- ]?generated\b|\bcode generated by\b|^(?://|#) generated (?:code|by)\b|\bgenerated from |(?m:^)/\*\s*eslint-disable\s*\*/|(?m:^)// @ts-nocheck"
+KEEP = r"(?i)\bdo\s+not\s+(?:delete|remove)\b|\bkeep\s+this\s+file\b|@preserve\b"
 JS, PY, JVM = ("javascript",), ("python",), ("java", "kotlin")
 #: Lines that deserve a look, by language; the first that matches a line counts. Chosen from the checks that public linters
 #: document (Bandit, gosec, ESLint's security plugin, Find Security Bugs, the .NET analyzers), with the number of their
