@@ -1,5 +1,7 @@
 import html
+import random
 import re
+import time
 
 import numpy as np
 
@@ -93,3 +95,113 @@ def test_levels_decide(monkeypatch):
     assert main_text(text) == want
     monkeypatch.setattr(html_extract, "smoothed", lambda x: rng.random(len(x)))
     assert sum(main_text(text) != want for _ in range(20)) > 10
+
+
+def brute(html_text):
+    """The method by its definition: every line has the set of its elements, and all sums are taken over all lines."""
+    p = html_extract.Lines()
+    p.feed(html_text)
+    p.close()
+    p.flush()
+
+    def path(k):
+        return set() if not k else {k} | path(p.parent[k])
+
+    rows = [(t, tags, max(0, len(t) - linked), path(k)) for t, tags, linked, k in p.lines]
+    lifted = set()
+    while True:
+        left = [r[3] & p.marked - lifted for r in rows]
+        plain = [not r[3] & p.aside for r in rows]
+        mass = {k: sum(r[2] for r, m, ok in zip(rows, left, plain, strict=True) if ok and m == {k}) for k in p.marked - lifted}
+        free = sum(r[2] for r, m, ok in zip(rows, left, plain, strict=True) if ok and not m)
+        named = any(ok and not m and r[3] & p.roots for r, m, ok in zip(rows, left, plain, strict=True))
+        k = max(sorted(mass), key=lambda k: mass[k], default=0)
+        if named or mass.get(k, 0) <= 4 * free:
+            break
+        lifted.add(k)
+    free = [i for i in range(len(rows)) if plain[i] and not left[i]]
+    if not free:
+        return ""
+
+    def held(ids):
+        return sum(rows[i][2] for i in free if rows[i][3] & ids)
+
+    roots = {k for k in p.roots if held({k})}
+    if roots and 2 * held(roots) >= sum(rows[i][2] for i in free):
+        inside = {k: {r for r in roots if r != k and k in path(r)} for k in roots}
+        roots = {k for k in roots if not inside[k] or held(inside[k]) < 0.9 * held({k})}
+    else:
+        roots = set()
+    scores = []
+    for i, (_, tags, n, elements) in enumerate(rows):
+        score = np.log1p(n / max(1, tags)) if i in free else 0.0
+        if score and elements & p.headings:
+            score += 1.0
+        if i in free and roots:
+            score = score + 1.5 if elements & roots else score * 0.3
+        scores.append(score)
+    kernel = {d: np.exp(-(d**2) / 2) for d in range(-2, 3)}
+    last = len(rows) - 1
+    level = np.array([sum(w * scores[min(max(i + d, 0), last)] for d, w in kernel.items()) / sum(kernel.values()) for i in range(len(rows))])
+    high = min(level.std(), level.max())
+    chosen = {i for i in free if level[i] >= high} or set(free)
+    home = {i: max(rows[i][3] & p.containers, default=0) for i in free}
+    for order in (free, free[::-1]):
+        for before, i in zip(order, order[1:]):
+            if before in chosen and level[i] >= 0.5 * high and (home[i] == home[before] or order is not free and rows[i][3] & p.headings):
+                chosen.add(i)
+    every = sum(rows[i][2] for i in free)
+    for_text = {}
+    for i in free:
+        pieces = [k for k in rows[i][3] & p.pieces if 2 * held({k}) <= every]
+        for_text[i] = max((k for k in rows[i][3] & p.containers if not any(x in path(k) for x in pieces)), default=0)
+    for h in set(for_text.values()):
+        own = [i for i in free if for_text[i] == h]
+        if 2 * sum(rows[i][2] for i in own if i in chosen) > sum(rows[i][2] for i in own):
+            chosen |= set(own)
+    return " ".join(rows[i][0] for i in sorted(chosen))
+
+
+def test_equals_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rng = random.Random(4)
+    tags = ["div", "p", "article", "main", "section", "table", "tr", "td", "ul", "li", "nav", "header", "h2", "a href=/x", "span", "b", "form", 'div class="sidebar"', 'div class="comments"', "footer", "br", "script", "article"]
+    for _ in range(400):
+        out, open_ = [], []
+        for _ in range(rng.randint(1, 60)):
+            x = rng.random()
+            if x < 0.4:
+                t = rng.choice(tags)
+                out.append(f"<{t}>")
+                open_.append(t.split()[0])
+            elif x < 0.6 and open_:
+                out.append(f"</{rng.choice(open_)}>")
+            else:
+                out.append("words " * rng.choice([1, 1, 2, 5, 30, 200]))
+        pages.append("".join(out))
+    assert len(pages) > 600
+    for page_ in pages:
+        assert main_text(page_) == brute(page_), page_[:200]
+
+
+def test_time_is_in_proportion_to_elements():
+    many = "<main>" + "<article><p>words of an article here</p></article>" * 10_000 + "</main>"
+    began = time.perf_counter()
+    assert main_text(many).count("article") == 10_000
+    nested = "<div>some words" * 20_000
+    assert main_text(nested).count("some") == 20_000
+    assert time.perf_counter() - began < 10
+
+
+def test_short_parts_of_an_article_are_kept():
+    table = "<table>" + "".join(f"<tr><td>{i}</td><td>{i * i}</td></tr>" for i in range(10)) + "</table>"
+    refs = "<ul>" + "".join(f"<li><a href=/r{i}>Reference {i}</a></li>" for i in range(8)) + "</ul>"
+    got = main_text(body(f"<div><h1>Title</h1><p>{LONG}</p>{table}<p>{LONG}</p>{refs}</div><div><a href=/1>one</a> <a href=/2>two</a></div>"))
+    assert got.startswith("Title") and "7 49 8 64" in got and got.endswith("Reference 7")
+    assert main_text(body(f"<main><header><h1>Title</h1></header><p>{LONG}</p></main>", "<header><h2>Site</h2></header>")) == f"Title {LONG.strip()}"
+
+
+def test_readers_texts_are_left_out():
+    for name in ('id="disqus_thread"', 'class="user-reviews"', 'class="customer_reviews list"', 'id="giscus"', 'class="fb-comments"'):
+        assert main_text(body(f"<div><p>{LONG}</p><p>{SHORT}</p></div><div {name}><p>{SHORT}</p><p>{LONG[:200]}</p></div>")) == f"{LONG.strip()} {SHORT}", name
+    assert main_text(body(f'<div class="book-reviews"><p>{LONG}</p></div>')) == LONG.strip()
