@@ -9,6 +9,10 @@ from loomline.llm.common import cut, read, stored
 
 #: A paragraph is a line; of longer lines, stretches of 60 to 240 characters up to a sentence's end, in any script; without one, of 240.
 PARAGRAPH = r"[^\n]{60,240}?(?:[.!?]+(?=\s|$)|[。！？।؟]+)|[^\n]{240}|[^\n]+"
+#: Of texts under SHORT characters a piece is a line, or of one of more than 32 characters 16 to 24 up to a word's end, or 24: such a text has few sentences. From BOTH on texts have
+#: paragraphs, too, so that versions on either side of the bound have something in common.
+PIECE = r"[^\n]{1,32}(?![^\n])|[^\n]{16,24}?(?=\s|$)|[^\n]{24}"
+SHORT, BOTH = 1200, 800
 #: A sketch has four tables of eight cells; a larger one has 2 ** k such sketches, its segments.
 TABLES, PLACES = 4, 8
 #: Low bits of a digest that check the others, so that a cell with one digest is known by itself.
@@ -25,8 +29,11 @@ _NO_ID = -(2**63)
 
 
 def digests(text: Column) -> Column:
-    """The set of a text's paragraphs, each as 40 bits of its hash and a 24-bit check on them."""
-    pieces = F.filter(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != "")
+    """The set of a text's paragraphs, or of a short text's pieces, each as 40 bits of its hash and a 24-bit check on them."""
+    none, long = F.array().cast("array<string>"), F.length(text)
+    fine = F.when(long < SHORT, F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))).otherwise(none)
+    coarse = F.when(long >= BOTH, F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))).otherwise(none)
+    pieces = F.filter(F.transform(F.concat(fine, coarse), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c"))), lambda x: x != "")
     heads = F.transform(pieces, lambda x: F.xxhash64(x).bitwiseAND(F.lit(~CHECK)))
     return F.array_distinct(F.transform(heads, lambda x: x.bitwiseOR(F.xxhash64(x).bitwiseAND(F.lit(CHECK)))))
 

@@ -79,3 +79,14 @@ def test_edited_texts_are_like_their_own(spark):
     rows = [(t, i, 0, "") for i, t in enumerate(texts)]
     for r in compare_edited(spark.createDataFrame(rows, SCHEMA)).collect():
         assert r.near_edited > 0.3 and r.near_next < 0.1
+
+
+def test_short_texts_are_like_what_is_made_of_three_quarters_of_them(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for i, n in enumerate([100, 101, 130, 180, 250, 400, 700, 790, 810, 1000, 1190, 1210, 1500, 3000] * 6):
+        text = " ".join(word() for _ in range(n)) if i % 3 else "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n))
+        rows.append((text[:n] + (". " if i % 2 else ""), i, 0, ""))
+    got = compare_edited(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len(rows) and min(r.near_edited for r in got if r.n_chars < 1200) > 0.3 and min(r.near_edited for r in got) > 0.05
