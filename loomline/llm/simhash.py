@@ -131,6 +131,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4) -> Dat
     return fps.join(ids, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row of `docs` of each component, whole: that with the least doc_id (null: the greatest), then the least hash of its text.
 
@@ -138,17 +144,19 @@ def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     with its own component. Of rows that agree in both, one stays.
     """
     fps, of = _members(docs, shingle, distance)
-    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    # Names that no column of the table has, whatever its columns are called.
+    kept_id, kept_digest, place = (unused(docs, n) for n in ("kept_id", "kept_digest", "place"))
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias(kept_id), F.col("digest").alias(kept_digest))
     least = fps.groupBy("fp").agg(F.min(order).alias("row"))
-    kept = cut(least.join(of, "fp").groupBy("label").agg(F.min("row").alias("row")).select("row.kept_id", "row.kept_digest"))
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("kept_digest"))
+    kept = cut(least.join(of, "fp").groupBy("label").agg(F.min("row").alias("row")).select(f"row.{kept_id}", f"row.{kept_digest}"))
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.xxhash64(F.col("text").cast("string")) == F.col(kept_digest))
     out = docs.join(kept, own, "left_semi")
     # Only where rows repeat are they ranked, which moves them once more.
-    if fps.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))).groupBy("kept_id", "kept_digest").count().where("count > 1").isEmpty():
+    if fps.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col("digest") == F.col(kept_digest))).groupBy(kept_id, kept_digest).count().where("count > 1").isEmpty():
         return out
     text = F.xxhash64(F.col("text").cast("string"))
-    first = Window.partitionBy(F.col("doc_id").cast("long"), text).orderBy(F.xxhash64(*(c for c, t in out.dtypes if not t.startswith("map"))))
-    return out.withColumn("__rank", F.row_number().over(first)).where("__rank = 1").drop("__rank")
+    first = Window.partitionBy(F.col("doc_id").cast("long"), text).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c, t in out.dtypes if not t.startswith("map"))))
+    return out.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

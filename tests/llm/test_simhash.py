@@ -94,3 +94,11 @@ def test_very_long_text(spark):
     got = near_duplicates(spark.createDataFrame([(text, 4, 0, ""), (text + " x", 2, 0, "")], SCHEMA)).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(4, 2), (2, 2)}
     assert {r.doc_id: int(r.fingerprint, 16) for r in got}[4] == slow(text)
+
+
+def test_clashing_names(spark):
+    names = ["kept_id", "kept_digest", "place", "__rank", "row", "fp", "label", "digest", "unnamed", "count", "places", "octets", "KEPT_ID_"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(i, t, *names) for i, t in [(1, "one two three four five six"), (2, "one two three four five six"), (3, "something else that is longer than it"), (3, "something else that is longer than it"), (None, None)]]
+    got = keep_one(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 3] and all(r[n] == n for r in got for n in names)
