@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from loomline.llm.common import cut, read, stored
 
-#: A paragraph is a line; of longer lines, stretches of 60 to 240 characters up to a sentence's end, in any script; without one, of 240.
-PARAGRAPH = r"[^\n]{60,240}?(?:[.!?]+(?=\s|$)|[。！？।؟]+)|[^\n]{240}|[^\n]+"
+#: A paragraph is a line; of longer lines, stretches of 60 to 160 characters up to a sentence's end, in any script; without one, of 160.
+PARAGRAPH = r"[^\n]{60,160}?(?:[.!?]+(?=\s|$)|[。！？।؟]+)|[^\n]{160}|[^\n]+"
 #: Of texts under SHORT characters a piece is a line, or of one of more than 32 characters 16 to 24 up to a word's end, or 24: such a text has few sentences. From BOTH on texts have
 #: paragraphs, too, so that versions on either side of the bound have something in common.
 PIECE = r"[^\n]{1,32}(?![^\n])|[^\n]{16,24}?(?=\s|$)|[^\n]{24}"
-SHORT, BOTH = 1200, 800
+SHORT, BOTH = 480, 360
 #: A sketch has four tables of eight cells; a larger one has 2 ** k such sketches, its segments.
 TABLES, PLACES = 4, 8
 #: Low bits of a digest that check the others, so that a cell with one digest is known by itself.
