@@ -19,7 +19,7 @@ BATCH_BYTES = 8_000_000
 #: Folders that aren't source: fixed values, as what is found in a tree depends on them.
 FOLDERS = {
     "dependencies": ["node_modules", "bower_components", "jspm_packages", "web_modules", "vendor", "_vendor", "_distutils", "third_party", "3rdparty", ".venv", "venv"],
-    "version control and kept files": [".git", ".swynx-quarantine"],
+    "version control": [".git"],
     "output": ["dist", "build", "target", "out", "obj", "bin/Debug", "bin/Release", "gen/proto", "static/assets", "coverage"],
     "caches and logs": [".cache", "cache", "__pycache__", ".pytest_cache", ".mypy_cache", "log", "logs", "tmp", "temp"],
     "test data": [
