@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import islice
 from operator import itemgetter
 
 import numpy as np
@@ -54,7 +55,7 @@ class Remembered:
         self.mark, self.mark_id = next(iter(special.items()), (None, None))
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
     def learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of pieces that aren't known, encoded together with a special token between them."""
@@ -157,6 +158,14 @@ class Tree:
         parts = self.specials.split(text)
         return b"".join(self.memory.specials[p].to_bytes(4, "little") if i % 2 else b"".join(self.node(p)[1]) for i, p in enumerate(parts))
 
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """As `encode` for each; texts of one leaf look their pieces up together, so that new ones are learnt once for all."""
+        leaf = [len(x) <= self.leaf and not (self.specials and self.specials.search(x)) for x in texts]
+        rows = [self.pieces(x) for x, one in zip(texts, leaf, strict=True) if one]
+        ids = iter(self.memory.ids([p for row in rows for p in row]))
+        short = (b"".join(islice(ids, len(row))) for row in rows)
+        return [next(short) if one else self.encode(x) for x, one in zip(texts, leaf, strict=True)]
+
 
 def octets_of(path: str) -> list[bytes]:
     """What each id of a byte-level vocabulary stands for."""
@@ -224,7 +233,7 @@ def encode(docs: DataFrame, path: str, keys: tuple[str, ...] = ("doc_id",), part
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tree(path)
         for batch in slices(batches, "text", SLICE_BYTES):
-            yield _with(batch, list(keys), [own.encode(x) for x in text_bytes(batch)])
+            yield _with(batch, list(keys), own.encode_all(text_bytes(batch)))
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tree(path)

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm.bpe import SLICE_BYTES, id_slices, picked, tables, tree
+from loomline.llm.bpe import SLICE_BYTES, id_slices, tables, tree
 from loomline.llm.common import read, slices, text_bytes, tokenizer_path
 
 #: A turn is TURN role TEXT text END. Their ids lie above all of the vocabulary's.
@@ -109,7 +110,7 @@ def assemble(conversations: DataFrame, path: str) -> DataFrame:
             names = text_bytes(batch, "role")
             known = {r: own.encode(_safe(r)) for r in set(names)}
             role = [known[r] for r in names]
-            text = [own.encode(_safe(x)) for x in text_bytes(batch)]
+            text = own.encode_all([_safe(x) for x in text_bytes(batch)])
             ids, loss, ends = spliced(role, text, np.array([r == LEARNT.encode() for r in names], dtype=bool), marks)
             offsets = pa.array(ends, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -125,22 +126,35 @@ def read_back(assembled: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         octets, marks = tables(path)[0], reserved(path)
+        # Marks stand for no octets.
+        octets = pa.array([*octets, *[b""] * len(MARKS)], pa.large_binary())
         around = sum(map(len, MARKS))
         for batch in id_slices(batches):
-            out = []
-            for i in range(batch.num_rows):
-                ids = batch.column("ids")[i].values.to_numpy(zero_copy_only=False)
-                on = np.flatnonzero(batch.column("loss")[i].values.to_numpy(zero_copy_only=False))
-                own = ids.tolist()
-                middle = own.index(marks[1])
-                if own[0] != marks[0] or own[-1] != marks[2]:
-                    raise ValueError("a turn isn't between its marks")
-                role, text = (b"".join(picked(octets, x)) for x in (own[1:middle], own[middle + 1 : -1]))
-                whole = len(on) == len(own) - middle - 2 and (not len(on) or on[0] == middle + 1 and on[-1] == len(own) - 2)
-                learnt = None if whole or not len(on) else _own(b"".join(picked(octets, ids[on].tolist())))
-                out.append((_own(role), _own(text), learnt, bool(whole and len(on)), len(role.decode()) + len(text.decode()) + around, len(own)))
-            types = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
-            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)]
+            ids, loss = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "loss"))
+            ends = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False), dtype=np.int64)
+            starts, middles = np.concatenate([[0], ends])[:-1], np.flatnonzero(ids == marks[1])
+            if len(middles) != len(ends) or (middles <= starts).any() or (middles >= ends - 1).any() or (ids[starts] != marks[0]).any() or (ids[ends - 1] != marks[2]).any():
+                raise ValueError("a turn isn't between its marks")
+            taken = octets.take(pa.array(ids))
+            raw, at = taken.buffers()[2].to_pybytes() if taken.buffers()[2] else b"", np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1]
+            under = np.concatenate([[0], np.cumsum(loss, dtype=np.int64)])
+            n_on, n_text = under[ends] - under[starts], ends - middles - 2
+            same = (n_on == n_text) & (under[ends - 1] - under[middles + 1] == n_text) & (n_text > 0)
+            shown: dict[bytes, tuple[str, int]] = {}
+            roles, texts, learnt, chars = [], [], [], []
+            for i, (a, b, c, d) in enumerate(zip(at[starts].tolist(), at[middles].tolist(), at[middles].tolist(), at[ends - 1].tolist(), strict=True)):
+                role, text = raw[a:b], raw[c:d]
+                if role not in shown:
+                    shown = {role: (_own(role), len(role.decode()))}
+                roles.append(shown[role][0])
+                texts.append(_own(text))
+                chars.append(shown[role][1] + len(text.decode()) + around)
+                own = None
+                if n_on[i] and not same[i]:
+                    on = starts[i] + np.flatnonzero(loss[starts[i] : ends[i]])
+                    own = _own(b"".join(raw[at[k] : at[k + 1]] for k in on.tolist()))
+                learnt.append(own)
+            columns = [pa.array(x, t) for x, t in ((roles, pa.string()), (texts, pa.string()), (learnt, pa.string()), (same, pa.bool_()), (chars, pa.int64()), (ends - starts, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), *columns], ["conv_id", "turn", "role", "text", "learnt", "same", "chars", "n_tokens"])
 
     return assembled.mapInArrow(run, f"{kinds}, role string, text string, learnt string, same boolean, chars long, n_tokens long")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from loomline.llm.bpe import Tree, decode, digests, encode, load
@@ -41,3 +42,12 @@ def test_rows(spark):
     assert got == sorted(want)
     assert sorted(r.text for r in decode(ids, PATH).collect()) == sorted(t or "" for t in texts)
     assert digests(encode(spark.createDataFrame([], SCHEMA), PATH), PATH).count() == 0
+
+
+def test_texts_together_equal_texts_alone():
+    own = Tree(PATH)
+    rng = random.Random(11)
+    made = ["".join(rng.choice(["a", "é ", "  ", "\n", "the ", "日本", "<|endoftext|>", "x" * 3000, "　", "\x85"]) for _ in range(rng.randint(0, 9))).encode() for _ in range(400)]
+    assert own.encode_all(made) == [Tree.encode(own, x) for x in made]
+    assert [list(np.frombuffer(x, "<u4")) for x in own.encode_all(made)] == [own.tokenizer.encode(x.decode(), add_special_tokens=False).ids for x in made]
+    assert own.encode_all([]) == []
