@@ -21,12 +21,12 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other", "beyon
 LEAST_WORDS = 40
 #: Common words of a language's reference: its most frequent; words of more octets are known by a digest.
 COMMON, WORD_OCTETS = 40, 32
-#: Words of a language below which its histograms are no reference, and its texts are judged by the base rules only.
-LEAST_REFERENCE = 5_000
+#: Languages, those with the most words, that texts without one may be near to.
+LANGUAGES = 1_000
 #: Distinct words that a task counts before it hands them on.
 TALLIED = 200_000
-#: Largest accepted distances (base 2, 0 to 1) from the reference; a text of n words may be WORD_NOISE / sqrt(n) farther in words.
-MOST_CHAR, MOST_WORD, WORD_NOISE = 0.28, 0.2, 1.6
+#: Largest accepted distances (base 2, 0 to 1) from the reference, before what chance adds; see `limits`.
+MOST_CHAR, MOST_WORD, CHAR_NOISE, WORD_NOISE = 0.28, 0.2, 1.0, 1.6
 SLICE_BYTES = 4_000_000
 
 
@@ -62,6 +62,15 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> float:
     return float(np.sqrt(max(0.0, min(1.0, (kl(p) + kl(q)) / 2))))
 
 
+def limits(n: int, words: float) -> tuple[float, float]:
+    """Largest accepted distances in characters and words of a text of n words from a reference of `words` words.
+
+    Two samples of one distribution are apart by a multiple of sqrt(1/n + 1/m):
+    the smaller a language's reference, the farther its texts may be from it.
+    """
+    return MOST_CHAR + CHAR_NOISE / max(1.0, words) ** 0.5, MOST_WORD + WORD_NOISE * (1 / max(1, n) + 1 / max(1.0, words)) ** 0.5
+
+
 def repeat_words(ids: np.ndarray, window: int = 8) -> int:
     """Words inside windows of 8 that occur at least twice; exact, by doubling ranks."""
     ranks, n = ids, len(ids)
@@ -116,13 +125,13 @@ def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """(__lang, __ref) for each language of `docs` (text, __lang) with LEAST_REFERENCE words; see `parsed`. Counts cover all rows."""
+    """(__lang, __n words, __ref) for each language of `docs` (text, __lang), however few its words; see `parsed`. Counts cover all rows."""
     counts = docs.select("text", "__lang").mapInArrow(_tallies, "lang string, what string, n long").groupBy("lang", "what").agg(F.sum("n").alias("n"))
     # Spark takes the first of each language before rows are brought together.
     order = Window.partitionBy("lang").orderBy(F.col("what").startswith(" ").desc(), F.desc("n"), "what")
     first = counts.withColumn("at", F.row_number().over(order)).where(F.col("at") <= COMMON + len(CLASSES) + 1)
-    rows = first.groupBy("lang").agg(F.max(F.expr("if(what = ' words', n, 0)")).alias("n"), F.to_json(F.sort_array(F.collect_list(F.struct("at", "what", "n")))).alias("__ref"))
-    return rows.where(F.col("n") >= LEAST_REFERENCE).select(F.col("lang").alias("__lang"), "__ref")
+    n = F.max(F.expr("if(what = ' words', n, 0)")).alias("__n")
+    return first.groupBy(F.col("lang").alias("__lang")).agg(n, F.to_json(F.sort_array(F.collect_list(F.struct("at", "what", "n")))).alias("__ref"))
 
 
 def parsed(ref: str) -> tuple[np.ndarray, dict[str, int], np.ndarray]:
@@ -155,23 +164,27 @@ def _judge(batches: Iterator[pa.RecordBatch], unnamed, carry_text: bool) -> Iter
             points = len(text) - int(octets[128:192].sum())
             failed = n < 20 or 100 * repeats > 30 * n
             char_far = word_far = 0.0
+            near = True
             if not failed and n >= LEAST_WORDS and refs:
                 times: dict[str, int] = {}
                 for w, k in zip(seen, np.bincount(ids).tolist(), strict=True):
                     low = _key(_low(w))
                     times[low] = times.get(low, 0) + k
-                char_far = min(jensen_shannon(chars, c) for c, _, _ in refs)
-                # A reference without common words is at 0 from any text.
                 fars = []
-                for _, at, ref in refs:
+                for ref_chars, at, ref in refs:
+                    far = 0.0  # a reference without common words is at 0 from any text
                     if at:
                         own = np.zeros(len(ref))
                         for w, i in at.items():
                             own[i] = times.get(w, 0)
                         own[-1] = n - own.sum()
-                        fars.append(jensen_shannon(own, ref))
-                word_far = min(fars, default=0.0)
-            rows.append((n, points - int(chars[CLASSES.index("space")]), int(octets[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeats, failed, not failed and char_far <= MOST_CHAR and word_far <= MOST_WORD + WORD_NOISE / max(1, n) ** 0.5, char_far, word_far))
+                        far = jensen_shannon(own, ref)
+                    most_char, most_word = limits(n, ref.sum())
+                    fars.append((jensen_shannon(chars, ref_chars), most_char, far, most_word))
+                # The nearest reference decides, not one so small that all is within its limits.
+                (char_far, most_char), (word_far, most_word) = min(x[:2] for x in fars), min(x[2:] for x in fars)
+                near = char_far <= most_char and word_far <= most_word
+            rows.append((n, points - int(chars[CLASSES.index("space")]), int(octets[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeats, failed, not failed and near, char_far, word_far))
         kinds = (pa.int64(),) * 5 + (pa.bool_(),) * 2 + (pa.float64(),) * 2
         names = [c for c in batch.schema.names if c not in ("__lang", "__ref") and (c != "text" or carry_text)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], [*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance"])
@@ -183,16 +196,17 @@ def quality(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), carry_text: bo
     A text fails by its base counts (fewer than 20 words, or over 30 % of them
     in repeated windows), or, from LEAST_WORDS words on, if its histogram of
     character classes or of common words is farther than MOST_CHAR or MOST_WORD
-    (and a margin for its length) from its language's reference. References are sums over all rows of a
-    language; with under LEAST_REFERENCE words it has none, and distances are 0. A null language counts as
-    one named "", whose texts may be near any reference. Null and empty texts have
+    (and a margin for its length and that of the reference, see `limits`) from its
+    language's reference. References are sums over all rows of a
+    language, rare ones included. A null language counts as
+    one named "", whose texts may be near any reference of the LANGUAGES largest. Null and empty texts have
     no words and fail. A text of any length is judged whole. Repeated rows are each
     judged; an empty table gives no rows; other columns are ignored, whatever their names.
     """
     docs = docs.select(*keys, F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("__lang"))
     refs = stored(references(docs))
-    # All references, of about 1 KB each, go along only if texts without a language need them.
-    every = [] if refs.where("__lang = ''").isEmpty() else [parsed(r["__ref"]) for r in refs.collect()]
+    # References, of about 1 KB each, go along only if texts without a language need them.
+    every = [] if refs.where("__lang = ''").isEmpty() else [parsed(r["__ref"]) for r in refs.orderBy(F.desc("__n"), "__lang").limit(LANGUAGES).collect()]
     unnamed = docs.sparkSession.sparkContext.broadcast(every)
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keys), *["text string"] * carry_text, "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"])
     # Few languages, so that Spark broadcasts them; the texts stay where they are.

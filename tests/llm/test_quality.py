@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from loomline.llm.quality import COMMON, LEAST_REFERENCE, LEAST_WORDS, MOST_CHAR, MOST_WORD, WORD_NOISE, jensen_shannon, quality, repeat_words
+from loomline.llm.quality import CHAR_NOISE, COMMON, LEAST_WORDS, MOST_CHAR, MOST_WORD, WORD_NOISE, jensen_shannon, quality, repeat_words
 
 SCHEMA = "text string, doc_id long, lang string, n_words string, kept int"
 
@@ -71,7 +71,7 @@ def words_of(letters, rng, n=300):
     return lambda k: " ".join(vocab[int(n * rng.random() ** 3)] for _ in range(k))
 
 
-def test_rare_language_is_not_judged_by_others(spark):
+def test_rare_language_is_judged_by_its_own_reference(spark):
     rng = random.Random(3)
     common, rare, mid = words_of("abcdefghij", rng), words_of("абвгдежзик", rng), words_of("klmnopqrst", rng)
     rows = [(common(4000), i, "en", "", 0) for i in range(500)]
@@ -79,7 +79,20 @@ def test_rare_language_is_not_judged_by_others(spark):
     got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert len(got) == 585 and all(r.kept for r in got.values() if not r.base_failed)
     assert sum(got[d].base_failed for d in got) == 0
-    assert all(got[1000 + i].char_distance == 0 for i in range(5)) and all(got[2000 + i].word_distance > 0 for i in range(80))
+    assert all(0 < got[d].char_distance < 0.3 and got[d].word_distance > 0 for d in [1000 + i for i in range(5)] + [2000 + i for i in range(80)])
+
+
+def test_odd_text_of_a_rare_language_is_rejected(spark):
+    """3,000 words in all: too few for the least reference there once was."""
+    rng = random.Random(8)
+    make = words_of("абвгдежзик", rng)
+    odd = " ".join(f"{rng.randrange(10**9)} {rng.randrange(10**6)};;" for _ in range(100))
+    rows = [(make(140), i, "ru", "", 0) for i in range(20)] + [(odd, 99, "ru", "", 0)]
+    # A single text is its language's reference, and at no distance from it.
+    rows.append((odd, 100, "xx", "", 0))
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert [d for d, r in got.items() if not r.kept] == [99] and not got[99].base_failed
+    assert got[100].char_distance == got[100].word_distance == 0
 
 
 def test_common_words_of_each_language(spark):
@@ -128,22 +141,22 @@ def test_verdicts_of_given_documents_equal_brute_force(spark):
         words.setdefault(r.lang or "", Counter()).update(lowered(r.text))
     refs = {}
     for lang, tally in words.items():
-        if tally.total() >= LEAST_REFERENCE:
-            known = sorted(((-n, w) for w, n in tally.items() if len(w.encode()) <= 32 and (w.isascii() and w.isalpha() or not w.isascii() and any(map(str.isalpha, w)))))[:COMMON]
-            top = {w: -n for n, w in known}
-            refs[lang] = chars[lang], {**top, "": tally.total() - sum(top.values())}
+        known = sorted(((-n, w) for w, n in tally.items() if len(w.encode()) <= 32 and (w.isascii() and w.isalpha() or not w.isascii() and any(map(str.isalpha, w)))))[:COMMON]
+        top = {w: -n for n, w in known}
+        refs[lang] = chars[lang], {**top, "": tally.total() - sum(top.values())}, tally.total()
     assert len(refs) > 2
     got = {r.doc_id: r for r in quality(docs).collect()}
     rejected = 0
     for r in rows:
         one, base = got[r.doc_id], slow(r.text)
         char_far = word_far = 0.0
+        size = math.inf
         if not base[-1] and base[0] >= LEAST_WORDS and (r.lang or "") in refs:
-            ref_chars, ref_words = refs[r.lang or ""]
+            ref_chars, ref_words, size = refs[r.lang or ""]
             own = Counter(w if w in ref_words else "" for w in lowered(r.text))
             char_far, word_far = slow_distance(Counter(map(kind_of, r.text)), ref_chars), slow_distance(own, ref_words)
         assert abs(one.char_distance - char_far) < 1e-9 and abs(one.word_distance - word_far) < 1e-9
-        assert one.kept == (not base[-1] and char_far <= MOST_CHAR and word_far <= MOST_WORD + WORD_NOISE / max(1, base[0]) ** 0.5)
+        assert one.kept == (not base[-1] and char_far <= MOST_CHAR + CHAR_NOISE / size**0.5 and word_far <= MOST_WORD + WORD_NOISE * (1 / max(1, base[0]) + 1 / size) ** 0.5)
         rejected += not one.kept and not base[-1]
     assert rejected > 10
 
