@@ -386,7 +386,7 @@ _BY_CONFIDENCE = sorted(TEXT_RULES, key=lambda r: -r.confidence)
 @query(f"SELECT doc_id, {_case('text', lambda r: f"'{r.id}'", order=_BY_CONFIDENCE)} AS rule, {_case('text', lambda r: f'{r.confidence}::double', order=_BY_CONFIDENCE)} AS confidence FROM documents WHERE {_case('text', lambda r: 'true', 'false')}")
 def q35_max_confidence(spark, d):
     """The most confident rule that a document matches anywhere; ties go to the earlier rule."""
-    hits = F.filter(F.array(*(F.when(F.col("text").rlike(r.pattern), F.struct(F.lit(r.confidence).alias("confidence"), F.lit(-i).alias("ordinal"))) for i, r in enumerate(TEXT_RULES))), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*(F.when(r.hits(F.col("text")), F.struct(F.lit(r.confidence).alias("confidence"), F.lit(-i).alias("ordinal"))) for i, r in enumerate(TEXT_RULES))), lambda x: x.isNotNull())
     best = table(spark, d, "documents").select("doc_id", F.array_max(hits).alias("best")).where("best is not null")
     return best.select("doc_id", rules.attribute(-F.col("best.ordinal"), TEXT_RULES, "id").alias("rule"), F.col("best.confidence").alias("confidence"))
 
