@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -10,6 +9,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +28,14 @@ FEW = 5.0
 #: Taken from each known word's count for the unknown word of its class.
 DISCOUNT = 0.7
 SLICE_BYTES = 2_000_000
+#: Octets of token ids, of four each, that a step over them handles at a time.
+SLICE_IDS = 4_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-def held_out(doc_id: int | None, mod: int, remainder: int) -> bool:
-    """A null id is in the training part."""
-    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % mod == remainder
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) over all tokens of `docs`, ends included; exact."""
 
@@ -146,30 +143,98 @@ def choose_items(counts: DataFrame, top: list[tuple[bytes, int]]) -> Items:
     return Items(words, {r.ending.encode(): len(words) + i for i, r in enumerate(rows)})
 
 
-def item_bigrams(docs: DataFrame, items: Items) -> np.ndarray:
-    """Counts of neighbouring items in all of `docs`; an end stands before each text."""
-    size = items.size
+@dataclass
+class Vocabulary:
+    """Counts of all words of the training rows, and what stands for a word in `coded` texts: its place in `top` if it is carried, else a number after these for its item."""
+
+    counts: DataFrame
+    total: int
+    distinct: int
+    top: list[tuple[bytes, int]]
+    #: Count from which words are carried, besides the end.
+    least: int | None
+    items: Items
+
+    @property
+    def item_of(self) -> np.ndarray:
+        """The item of each number in `coded` texts."""
+        return np.append(np.array([self.items.of(w) for w, _ in self.top], dtype=np.int64), np.arange(self.items.size))
+
+    @property
+    def end(self) -> int:
+        """The number of the end; without training rows it isn't carried, and is item 0."""
+        return next((i for i, (w, _) in enumerate(self.top) if w == END), len(self.top))
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    counts = stored(word_counts(docs))
+    size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    top, least = carried_words(counts, CARRIED)
+    return Vocabulary(counts, size.n or 0, size.v, top, least, choose_items(counts, top))
+
+
+def coded(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """(row, doc_id, held, ids, rare) for each row of `docs` (doc_id, text, held), as a table: texts are taken apart once, and all that follows reads numbers.
+
+    ids: the numbers of a text's tokens, 32 bits each; rare: its words that aren't carried, how often it has each, and their items.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(words.top)}, words.items))  # bounded by CARRIED words
+    kind = pa.struct([("word", pa.string()), ("tf", pa.int64()), ("item", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * size, dtype=np.int64)
-        memory: dict[bytes, int] = dict(items.words)
+        top, items = shared.value
+        size = len(top)
         for batch in slices(batches, "text", SLICE_BYTES):
-            row = [END]
+            row, lengths = [], []
             for text in text_bytes(batch):
-                row += tokens(text)
-            found = list(map(memory.get, row))
-            if None in found:
-                new = {w: items.of(w) for w, f in zip(row, found, strict=True) if f is None}
-                if len(memory) < CARRIED:
-                    memory.update(new)
-                found = [new[w] if f is None else f for w, f in zip(row, found, strict=True)]
-            ids = np.array(found, dtype=np.int64)
-            total += np.bincount(ids[:-1] * size + ids[1:], minlength=size * size)
+                own = tokens(text)
+                row += own
+                lengths.append(len(own))
+            ids = np.fromiter(map(top.get, row, repeat(size)), dtype=np.int32, count=len(row))
+            of = np.repeat(np.arange(len(lengths)), lengths)
+            rest = np.flatnonzero(ids == size)
+            others = [row[i] for i in rest.tolist()]
+            item = {w: items.of(w) for w in set(others)}
+            ids[rest] += np.fromiter(map(item.get, others), dtype=np.int32, count=len(others))
+            # In the order of first occurrences, so text by text.
+            tally = Counter(zip(of[rest].tolist(), others, strict=True))
+            each = np.bincount(np.fromiter((d for d, _ in tally), dtype=np.int64, count=len(tally)), minlength=len(lengths))
+            parts = [pa.array([w.decode("utf-8") for _, w in tally], pa.string()), pa.array(list(tally.values()), pa.int64()), pa.array([item[w] for _, w in tally], pa.int32())]
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), pa.StructArray.from_arrays(parts, fields=list(kind)))
+            octets, ends = ids.astype("<i4").tobytes(), 4 * np.cumsum(lengths)
+            texts = pa.array([octets[b - 4 * n : b] for b, n in zip(ends.tolist(), lengths, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("held"), texts, rare], ["row", "doc_id", "held", "ids", "rare"])
+
+    # The id is made in the one scan that all rows come from.
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held", "text")
+    return stored(keyed.mapInArrow(run, "row long, doc_id long, held boolean, ids binary, rare array<struct<word: string, tf: bigint, item: int>>"))
+
+
+def _numbers(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("ids").to_pylist()), dtype="<i4")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+    """For each slice of coded texts their numbers, one behind the other; an end stands before the first."""
+    for batch in slices(batches, "ids", SLICE_IDS):
+        yield np.append(np.int32(end), _numbers(batch))
+
+
+def item_bigrams(texts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Counts of neighbouring items in all of the coded `texts`; an end stands before each text."""
+    size = words.items.size
+    end, item_of = words.end, words.item_of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, dtype=np.int64)
+        for ids in _numbered(batches, end):
+            own = item_of[ids]
+            total += np.bincount(own[:-1] * size + own[1:], minlength=size * size)
         at = np.flatnonzero(total)
         for part in np.array_split(at, 1 + len(at) // 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["pair", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.select("ids").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size * size)
     out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(size, size)
@@ -188,61 +253,50 @@ class Classes:
         at = self.top.get(word)
         return int(self.item_class[self.items.of(word)] if at is None else self.top_class[at])
 
-
-def _numbered(batches: Iterator[pa.RecordBatch], classes: Classes) -> Iterator[np.ndarray]:
-    """For each slice of texts, one behind the other, the numbers of its tokens: of carried words their place, of others a number after these for their class."""
-    size, memory = len(classes.top), dict(classes.top)
-    for batch in slices(batches, "text", SLICE_BYTES):
-        row = [END]
-        for text in text_bytes(batch):
-            row += tokens(text)
-        found = list(map(memory.get, row))
-        if None in found:
-            new = {w: size + classes.of(w) for w, f in zip(row, found, strict=True) if f is None}
-            if len(memory) < 2 * CARRIED:
-                memory.update((w, x) for w, x in new.items() if len(w) < 64)
-            found = [new[w] if f is None else f for w, f in zip(row, found, strict=True)]
-        yield np.array(found, dtype=np.int64)
+    @property
+    def of_numbers(self) -> np.ndarray:
+        """The class of each number in `coded` texts."""
+        return np.append(self.top_class, self.item_class)
 
 
-def neighbours(docs: DataFrame, classes: Classes) -> DataFrame:
+def neighbours(texts: DataFrame, classes: Classes) -> DataFrame:
     """(word, side, n): how often a class stands behind (side: the class) or before (side: CLASSES + 1 + the class) each carried word.
 
     All words that aren't carried count as one word of their class, numbered after the carried ones.
     """
-    kinds = CLASSES + 1
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # bounded by CARRIED words
+    kinds, size = CLASSES + 1, len(classes.top)
+    end = classes.top.get(END, size)
+    of = classes.of_numbers
+    # What each number counts as: a carried word, or the others of a class.
+    word_of = np.append(np.arange(size), size + classes.item_class)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        of = np.append(m.top_class, np.arange(kinds))
-        total = np.zeros(len(of) * 2 * kinds, dtype=np.int32)  # 34 MB at most
-        for ids in _numbered(batches, m):
-            left, right = ids[:-1] * (2 * kinds), ids[1:] * (2 * kinds)
-            np.add.at(total, left + of[ids[1:]], 1)
-            np.add.at(total, right + kinds + of[ids[:-1]], 1)
+        total = np.zeros((size + kinds) * 2 * kinds, dtype=np.int32)  # 34 MB at most
+        for ids in _numbered(batches, end):
+            own, at = of[ids], word_of[ids] * (2 * kinds)
+            np.add.at(total, at[:-1] + own[1:], 1)
+            np.add.at(total, at[1:] + kinds + own[:-1], 1)
         keys = np.flatnonzero(total)
         for part in np.array_split(keys, 1 + len(keys) // 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], ["key", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = texts.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return rows.select(F.expr(f"key div {2 * kinds}").alias("word"), F.expr(f"cast(key % {2 * kinds} as int)").alias("side"), "n")
 
 
-def class_bigrams(docs: DataFrame, classes: Classes) -> np.ndarray:
-    """Counts of neighbouring classes in all texts."""
-    kinds = CLASSES + 1
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # bounded by CARRIED words
+def class_bigrams(texts: DataFrame, classes: Classes) -> np.ndarray:
+    """Counts of neighbouring classes in all coded texts."""
+    kinds, end = CLASSES + 1, classes.top.get(END, len(classes.top))
+    of = classes.of_numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = np.append(shared.value.top_class, np.arange(kinds))
         total = np.zeros(kinds * kinds, dtype=np.int64)
-        for ids in _numbered(batches, shared.value):
+        for ids in _numbered(batches, end):
             own = of[ids]
             total += np.bincount(own[:-1] * kinds + own[1:], minlength=kinds * kinds)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(kinds * kinds)), pa.array(total)], ["pair", "n"])
 
-    return _square(docs.select("text").mapInArrow(run, "pair long, n long"))
+    return _square(texts.select("ids").mapInArrow(run, "pair long, n long"))
 
 
 def _square(pairs: DataFrame) -> np.ndarray:
@@ -341,30 +395,27 @@ class Model:
         return np.log10(np.where(counts > 0, known, unknown)) - np.log10(mass)
 
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all words of `docs`."""
-    counts = stored(word_counts(docs))
-    size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top, least = carried_words(counts, CARRIED)
-    items = choose_items(counts, top)
-    item_class = exchange(item_bigrams(docs, items), CLASSES + 1)
+def fitted(texts: DataFrame, vocab: Vocabulary) -> Model:
+    """The model of coded `texts`, all of training rows."""
+    counts, top, items = vocab.counts, vocab.top, vocab.items
+    item_class = exchange(item_bigrams(texts, vocab), CLASSES + 1)
     names = {w: i for i, (w, _) in enumerate(top)}
     classes = Classes(items, item_class, names, np.array([item_class[items.of(w)] for w in names], dtype=np.int64))
     between = None
     for _ in range(ROUNDS):
-        found = cut(neighbours(docs, classes))
+        found = cut(neighbours(texts, classes))
         between = between_classes(found, classes)
         new = Classes(items, item_class, names, exchanged(found, classes, between))
-        then = class_bigrams(docs, new)
+        then = class_bigrams(texts, new)
         # All at once may overshoot; exchanges that don't pay are taken back.
         if information(then) <= information(between):
             break
         classes, between = new, then
     if between is None:
-        between = class_bigrams(docs, classes)
+        between = class_bigrams(texts, classes)
     share = (between.sum(0) + 1) / (between.sum() + CLASSES + 1)
     moves = np.log10((between + 5 * share) / (between.sum(1, keepdims=True) + 5))
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # bounded by CARRIED words
+    shared = texts.sparkSession.sparkContext.broadcast(classes)  # bounded by CARRIED words
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -376,74 +427,51 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     mass, words = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     for r in counts.mapInArrow(tally, "c long, n long, v long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         mass[r.c], words[r.c] = r.n, r.v
-    return Model(classes, moves, mass, words, np.array([n for _, n in top], dtype=np.int64), size.n or 0, size.v, least), counts
+    return Model(classes, moves, mass, words, np.array([n for _, n in top], dtype=np.int64), vocab.total, vocab.distinct, vocab.least)
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model, and the counts of all words of `docs` (doc_id, text)."""
+    vocab = vocabulary(docs)
+    return fitted(coded(docs.withColumn("held", F.lit(False)), vocab), vocab), vocab.counts
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, mod: int, remainder: int) -> DataFrame:
-    """One row per row of `docs`; see `language_model_scores`."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by CARRIED words
-    names = ["row", "word", "tf", "class", "doc_id", "held", "n", "known", "base", "model"]
+def score(texts: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+    """One row per row of the coded `texts`; see `language_model_scores`."""
+    top_class, item_class = model.classes.top_class, model.classes.item_class
+    size, items, of = len(top_class), len(item_class), model.classes.of_numbers
+    # Words that aren't carried have terms that are joined.
+    base = np.append(np.log10(model.top_counts + 1.0), np.zeros(items))
+    emit = np.append(model.emission(model.top_counts, top_class), np.zeros(items))
+    moves, start = model.moves, model.classes.of(END)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        top, top_class = m.classes.top, m.classes.top_class
-        # A last entry for words that aren't carried, whose terms are joined.
-        base = np.append(np.log10(m.top_counts + 1.0), 0.0)
-        emit = np.append(m.emission(m.top_counts, top_class), 0.0)
-        carried = np.append(np.ones(len(top), dtype=np.int64), 0)
-        start = m.classes.of(END)
-        for batch in slices(batches, "text", SLICE_BYTES):
-            row, lengths = [], []
-            for text in text_bytes(batch):
-                own = tokens(text)
-                row += own
-                lengths.append(len(own))
-            ids = np.fromiter(map(top.get, row, repeat(len(top))), dtype=np.int64, count=len(row))
-            firsts = np.cumsum([0, *lengths[:-1]])
-            of = np.repeat(np.arange(len(lengths)), lengths)
-            classes = np.append(top_class, 0)[ids]
-            rest = np.flatnonzero(ids == len(top))
-            words = [row[i] for i in rest.tolist()]
-            item = {w: m.classes.of(w) for w in set(words)}
-            classes[rest] = [item[w] for w in words]
+        for batch in slices(batches, "ids", SLICE_IDS):
+            ids, lengths = _numbers(batch), pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False) // 4
+            firsts = np.cumsum(lengths) - lengths
+            classes = of[ids]
             before = np.empty_like(classes)
             before[1:] = classes[:-1]
             before[firsts] = start
-            terms = m.moves[before, classes] + emit[ids]
-            keys = batch.column("row").to_numpy()
-            tally = Counter(zip(keys[of[rest]].tolist(), words, strict=True))
-            k = len(tally)
-            columns = [
-                (pa.int64(), [*keys.tolist(), *(r for r, _ in tally)]),
-                # A document's own row has a key that no word is, so that it joins nothing.
-                (pa.string(), [*(f" {x}" for x in keys.tolist()), *(w.decode("utf-8") for _, w in tally)]),
-                (pa.int64(), [*[0] * len(lengths), *tally.values()]),
-                (pa.int32(), [*[0] * len(lengths), *(item[w] for _, w in tally)]),
-                (pa.int64(), [*batch.column("doc_id").to_pylist(), *[None] * k]),
-                (pa.bool_(), [*(held_out(d, mod, remainder) for d in batch.column("doc_id").to_pylist()), *[None] * k]),
-                (pa.int64(), [*lengths, *[None] * k]),
-                (pa.int64(), [*np.add.reduceat(carried[ids], firsts).tolist(), *[None] * k]),
-                (pa.float64(), [*np.add.reduceat(base[ids], firsts).tolist(), *[None] * k]),
-                (pa.float64(), [*np.add.reduceat(terms, firsts).tolist(), *[None] * k]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in columns], names)
+            sums = [np.add.reduceat(x, firsts) for x in ((ids < size).astype(np.int64), base[ids], moves[before, classes] + emit[ids])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "held")), pa.array(lengths, pa.int64()), *map(pa.array, sums)], ["row", "doc_id", "held", "n", "known", "base", "model"])
 
-    # The id is made in the one scan that all rows come from.
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    terms = keyed.mapInArrow(run, "row long, word string, tf long, class int, doc_id long, held boolean, n long, known long, base double, model double")
+    terms = texts.select("row", "doc_id", "held", "ids").mapInArrow(run, "row long, doc_id long, held boolean, n long, known long, base double, model double")
     others = counts if model.least is None else counts.where(F.col("n") < model.least)
-    joined = terms.join(others.select("word", F.col("n").alias("c")), "word", "left")
+    rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(others.select("word", F.col("n").alias("c")), "word", "left")
     logs = np.log10(np.maximum(model.tokens, 1.0))
     unknown = np.log10(np.maximum(DISCOUNT * model.words, DISCOUNT))
-    mass = F.element_at(F.lit(logs.tolist()), F.col("class") + 1)
-    share = F.when(F.col("c") > 0, F.log10(F.col("c") - F.lit(DISCOUNT))).otherwise(F.element_at(F.lit(unknown.tolist()), F.col("class") + 1)) - mass
-    sums = joined.groupBy("row").agg(
+    at, seen = F.col("item") + 1, F.col("c") > 0
+    share = F.when(seen, F.log10(F.col("c") - F.lit(DISCOUNT))).otherwise(F.element_at(F.lit(unknown[item_class].tolist()), at)) - F.element_at(F.lit(logs[item_class].tolist()), at)
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("held", "boolean"), ("n", "long"))]
+    joined = rare.select("row", *none, F.when(seen, F.col("tf")).otherwise(0).alias("known"), (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("base"), (F.col("tf") * share).alias("model"))
+    sums = terms.union(joined).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held").alias("held_out"),
         F.max("n").alias("n_tokens"),
-        (F.sum(F.coalesce("known", F.lit(0))) + F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0))).cast("long").alias("n_known"),
-        (F.sum(F.coalesce("base", F.lit(0.0))) + F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1.0))).alias("base"),
-        (F.sum(F.coalesce("model", F.lit(0.0))) + F.sum(F.when(F.col("tf") > 0, F.col("tf") * share).otherwise(0.0))).alias("score"),
+        F.sum("known").alias("n_known"),
+        F.sum("base").alias("base"),
+        F.sum("model").alias("score"),
     )
     return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(model.total + model.distinct + 1)))).alias("base_score"), "score")
 
@@ -465,9 +493,10 @@ def language_model_scores(docs: DataFrame, mod: int = 7, remainder: int = 2) ->
     columns are ignored, whatever their names.
     """
     train_rows = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)), F.lit((remainder + 1) % mod)) != remainder
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model, counts = train(docs.where(train_rows))
-    return score(docs, model, counts, mod, remainder)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (~train_rows).alias("held"))
+    vocab = vocabulary(docs.where("not held"))
+    texts = coded(docs, vocab)
+    return score(texts, fitted(texts.where("not held"), vocab), vocab.counts)
 
 
 def op10_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

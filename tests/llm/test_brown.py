@@ -140,6 +140,27 @@ def test_words_beyond_the_frequent_are_clustered_by_their_neighbours(spark, monk
     assert sum(max(x[k] for x in kinds) for k in {*kinds[0], *kinds[1]}) >= 0.95 * len(a + b)
 
 
+def test_texts_are_taken_apart_twice_only(spark, monkeypatch):
+    """Once to count words and once to number them; clustering and scoring read the numbers."""
+    rows, df = docs(spark)
+    steps, step = [], type(df).mapInArrow
+
+    def noted(self, *args, **kwargs):
+        steps.append("text" in self.columns)
+        return step(self, *args, **kwargs)
+
+    monkeypatch.setattr(type(df), "mapInArrow", noted)
+    assert language_model_scores(df).count() == len(rows)
+    assert sum(steps) == 2 < len(steps)
+
+
+def test_no_training_rows(spark):
+    held = [d for d in range(60) if zlib.crc32(str(d).encode()) % 7 == 2]
+    out = language_model_scores(spark.createDataFrame([(f"a b{d}", d) for d in held], "text string, doc_id long")).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in out) == [(d, True, 3, 0, 0, 0.0) for d in held]
+    assert all(r.score < 0 for r in out)
+
+
 def test_very_long_text(spark):
     text = " ".join(f"w{i % 5003}" for i in range(300_000))
     got = {r.doc_id: r for r in language_model_scores(spark.createDataFrame([(text, 4, 0, "", ""), ("w1 w2", 3, 0, "", "")], SCHEMA)).collect()}
