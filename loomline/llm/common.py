@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.lineage import cut, shared_dir
 
-__all__ = ["crc_mod", "cut", "map_texts", "read", "shared_dir", "slices", "stored", "text_bytes", "texts", "tokenizer_path", "worker_threads_off"]
+__all__ = ["crc_mod", "cut", "give_back", "map_texts", "read", "shared_dir", "slices", "stored", "text_bytes", "texts", "tokenizer_path", "worker_threads_off"]
 
 #: Characters of a text that one Python step handles at a time.
 SLICE_CHARS = 8_000_000
@@ -30,8 +31,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def give_back() -> None:
+    """Hand what Python has freed back to the system, which a worker would hold between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about `limit` bytes of text, or one row."""
+    """Cut Arrow batches so that each holds about `limit` bytes of text, or one row; what the task before has left is given back first."""
+    give_back()
     for batch in batches:
         at, size = 0, 0
         lengths = pc.binary_length(batch.column(text)).to_pylist()
@@ -42,6 +52,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             size += n or 0
         if at < batch.num_rows:
             yield batch.slice(at)
+    give_back()
 
 
 def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:

@@ -6,7 +6,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.bpe import load
-from loomline.llm.common import read, slices, tokenizer_path
+from loomline.llm.common import give_back, read, slices, tokenizer_path
 
 CAPACITY, END = 4096, 2
 #: What a cut costs, in tokens of padding: at a sentence's end, and elsewhere in a document.
@@ -24,8 +24,8 @@ SENTENCE, ANYWHERE = 16, 128
 #: Farthest that two possible cuts lie apart, and tokens that are packed at a time.
 GAP, BLOCK = 256, 1 << 19
 SLICE_BYTES = 8_000_000
-#: Most words whose ids a worker remembers; others are encoded each time.
-REMEMBERED = 1_200_000
+#: Most words whose ids a worker remembers in a task, others are encoded each time; and those that it keeps for the next task, the first it met.
+REMEMBERED, KEPT = 1_200_000, 100_000
 
 
 def best_cuts(places: list[int], costs: list[int], capacity: int = CAPACITY) -> list[int]:
@@ -213,6 +213,13 @@ class WordIds:
             self.values = np.concatenate([self.values, gathered(values, starts[short], sizes[short])])
         return both, all_starts, all_sizes
 
+    def forget(self, most: int) -> None:
+        """Keeps the `most` words met first, among them the frequent ones."""
+        if len(self.sizes) > most:
+            self.known = dict(islice(self.known.items(), most))
+            self.starts, self.sizes = self.starts[:most].copy(), self.sizes[:most].copy()
+            self.values = self.values[: self.sizes.sum()].copy()
+
 
 _memory: dict[str, WordIds] = {}
 #: Marks between a letter or digit and white space are a run of their own.
@@ -265,11 +272,16 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -
             out = packer.taken()
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names)
 
-        for batch in slices(batches, "text", SLICE_BYTES):
-            packer.add(batch.column("doc_id").to_pylist(), *token_ids(_memory[path], batch.column("text"), end))
+        try:
+            for batch in slices(batches, "text", SLICE_BYTES):
+                packer.add(batch.column("doc_id").to_pylist(), *token_ids(_memory[path], batch.column("text"), end))
+                yield rows()
+            packer.pack(last=True)
             yield rows()
-        packer.pack(last=True)
-        yield rows()
+        finally:
+            # The worker stays when the task ends, also while other queries run.
+            _memory[path].forget(KEPT)
+            give_back()
 
     return docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 

@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from loomline.llm.bpe import load
 from loomline.llm.common import tokenizer_path
-from loomline.llm.packing import best_cuts, pack, powers
+from loomline.llm.packing import WordIds, best_cuts, pack, powers, token_ids
 
 PATH = tokenizer_path("word_bpe_49k.json")
 SCHEMA = "text string, doc_id long, offset string, start int"
@@ -72,3 +73,12 @@ def test_edge_rows(spark):
 def test_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert check(pack(docs, PATH).collect(), {r.doc_id: r.text for r in docs.collect()}, 4096) < 0.01
+
+
+def test_ids_stay_right_when_a_worker_forgets_words_after_a_task():
+    memory, fresh = WordIds(PATH), WordIds(PATH)
+    token_ids(memory, pa.array(["hello there you", "some more words.", "über größe x1"]))
+    memory.forget(2)
+    assert len(memory.known) == len(memory.sizes) == 2 and len(memory.values) == memory.sizes.sum()
+    later = pa.array(["words hello x1 there über unbelievably", "", None, "you you."])
+    assert all((a == b).all() for a, b in zip(token_ids(memory, later), token_ids(fresh, later)))
