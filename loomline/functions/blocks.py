@@ -7,8 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.facts import CODE, fact, of, told
-from loomline.functions.languages import language
+from loomline.functions.facts import CODE, LANG, fact, of, told
 
 MEMBERS = "array<struct<owner: string, name: string, kind: string, marks: array<string>>>"
 #: Strings and characters, whose brackets count for nothing; one character of Rust between quotes isn't a lifetime.
@@ -90,7 +89,7 @@ def _indented(code: Column) -> Column:
 
 @fact("members")
 def _members(_options) -> Column:
-    code, lang = F.col(CODE), language("path")
+    code, lang = F.col(CODE), F.col(LANG)
     out = F.when(lang == "python", _indented(code))
     for name, syntax in SYNTAX.items():
         out = out.when(lang == name, _stacked(code, syntax))
@@ -115,7 +114,7 @@ def _tags(_options) -> Column:
         zipped = F.arrays_zip(F.regexp_extract_all(s["text"], F.lit(pair), F.lit(1)).alias("key"), F.regexp_extract_all(s["text"], F.lit(pair), F.lit(2)).alias("value"))
         return F.transform(zipped, lambda z: F.struct(s["field"].alias("field"), z["key"].alias("key"), z["value"].alias("value")))
 
-    return F.when(language("path") == "go", F.flatten(F.transform(both, pairs)))
+    return F.when(F.col(LANG) == "go", F.flatten(F.transform(both, pairs)))
 
 
 def members(files: DataFrame) -> DataFrame:
