@@ -104,7 +104,8 @@ def links(fps: DataFrame, distance: int = 4, star_from: int = STAR_FROM) -> Data
     many = postings.where(F.col("n") > star_from).select("fp").distinct()
     near = many.select("fp", F.explode(F.lit(balls).cast("array<bigint>")).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("spot"))
     hubs = near.groupBy("spot").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1").select("spot", "hub")
-    stars = near.join(hubs, "spot").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
+    # By a merge: Spark takes a list's length for one row, and would broadcast all lists once their fingerprints alone are few.
+    stars = near.hint("merge").join(hubs, "spot").where("fp <> hub").select(F.col("fp").alias("u"), F.col("hub").alias("v"))
     return pairs.union(stars)
 
 
