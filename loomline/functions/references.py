@@ -194,14 +194,12 @@ def definitions(files: DataFrame) -> DataFrame:
     every = F.split(F.coalesce("content", F.lit("")), "\n", -1)
     lang, name = language("path"), lambda x, p: F.coalesce(*(F.nullif(F.regexp_extract(x, p, g + 1), F.lit("")) for g in range(re.compile(p).groups)))
 
-    def own(x: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for k, p in DEFINITIONS.items():
-            out = F.when(lang == k, name(x, p)).otherwise(out)
-        return out
-
-    found = F.filter(F.transform("__lines", lambda x, i: F.struct((i + 1).alias("line_no"), own(x).alias("name"))), lambda s: s["name"].isNotNull())
-    rows = files.where(lang.isNotNull()).select("path", every.alias("__lines")).select("path", "__lines", found.alias("__found"))
+    # The language chooses the pattern once a row, outside the lines.
+    def own(p: str) -> Column:
+        return F.filter(F.transform("__lines", lambda x, i: F.struct((i + 1).alias("line_no"), name(x, p).alias("name"))), lambda s: s["name"].isNotNull())
+
+    found = F.coalesce(*(F.when(F.col(LANG) == k, own(p)) for k, p in DEFINITIONS.items()))
+    rows = files.where(lang.isNotNull()).select("path", lang.alias(LANG), every.alias("__lines")).select("path", "__lines", found.alias("__found"))
     stop = lambda i: F.coalesce(F.get("__found", i + 1)["line_no"], F.size("__lines") + 1)
     sized = F.transform("__found", lambda s, i: F.struct(s["line_no"].alias("line_no"), s["name"].alias("name"), F.length(F.array_join(F.slice("__lines", s["line_no"], stop(i) - s["line_no"]), "\n")).alias("size")))
     return rows.select("path", F.array_sort(sized).alias("definitions")).where(F.size("definitions") > 0)
